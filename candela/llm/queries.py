@@ -53,11 +53,11 @@ SELECT doc_id, size, source_size, target, list_sum([greatest(0, least(p * source
 WITH split AS (
   SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
 ), windows AS (
-  SELECT doc_id, text, at, l[at + 1 : at + 3] AS w FROM (SELECT *, unnest(range(greatest(len(l) - 2, 1))) AS at FROM split)
+  SELECT doc_id, text, i0, l[i0 + 1 : i0 + 3] AS w FROM (SELECT *, unnest(range(greatest(len(l) - 2, 1))) AS i0 FROM split)
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, text, at) AS nth FROM windows WHERE len(list_filter(w, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 0
+  SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, text, i0) AS nth FROM windows WHERE len(list_filter(w, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 0
 ), gone AS (
-  SELECT doc_id, text, list_distinct(flatten(list([at, at + 1, at + 2]))) AS places FROM ranked WHERE nth > 1 GROUP BY doc_id, text
+  SELECT doc_id, text, list_distinct(flatten(list([i0, i0 + 1, i0 + 2]))) AS places FROM ranked WHERE nth > 1 GROUP BY doc_id, text
 ), joined AS (
   SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS l, g.places FROM documents d LEFT JOIN gone g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text = g.text
 ), rest AS (
