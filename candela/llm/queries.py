@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import linededup, mixing, packing, quality
+from candela.llm import langid, linededup, mixing, packing, quality, secrets, tokenfile
 from candela.llm.common import read
 
 
@@ -18,15 +18,29 @@ def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.fresh_path(spark, "token-ids")
+    tokenfile.write(read(spark, sf_dir, "documents"), path)
+    return tokenfile.read(spark, path)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op3_best_fit, op7_line_dedup, op9_quality)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op3_best_fit, op6_language, op7_line_dedup, op8_token_file, op9_quality, op10_secrets)}
 
 SQL = {
     "op1_mix": r"""
