@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import langid, linededup, mixing, packing, quality, secrets, tokenfile
+from candela.llm import ann, langid, linededup, mixing, packing, quality, secrets, tokenfile, urls
 from candela.llm.common import read
 
 
@@ -18,6 +18,15 @@ def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), urls.rules_table(spark))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -40,7 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op3_best_fit, op6_language, op7_line_dedup, op8_token_file, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op3_best_fit, op4_url_filter, op5_nearest, op6_language, op7_line_dedup, op8_token_file, op9_quality, op10_secrets)}
 
 SQL = {
     "op1_mix": r"""
@@ -62,6 +71,21 @@ WITH sized AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, list_sum([greatest(0, least(p * source_size + start + size, words) - (p * source_size + start)) FOR p IN range(3)])::BIGINT AS taken FROM placed
+""",
+    "op4_url_filter": r"""
+WITH parsed AS (
+  SELECT row_number() OVER () AS k, page_id, url, strpos(url, '://') AS i, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), p AS (
+  SELECT k, page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parsed
+), listed(h, f, v, is_rule) AS (
+  VALUES ('com', '/en/', 'block', true), ('example.com', '/en/7', 'allow', true), ('net', '/de/', 'allow', true), ('example.net', '/de/8', 'block', true), ('org', '/es/', 'block', true),
+    ('cheap-pills.example.com', '/', 'block', false), ('spam-farm.example.org', '/', 'block', false)
+), hits AS (
+  SELECT k, h || f AS u, v, is_rule, row_number() OVER (PARTITION BY k, is_rule ORDER BY len(h || f) DESC, len(f) DESC, h || f DESC) AS n
+  FROM p JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f)
+)
+SELECT page_id, host, path, r.u AS rule, coalesce(r.v, l.v, 'allow') AS verdict, l.u AS listed_url
+FROM p LEFT JOIN hits r ON p.k = r.k AND r.is_rule AND r.n = 1 LEFT JOIN hits l ON p.k = l.k AND NOT l.is_rule AND l.n = 1
 """,
     "op7_line_dedup": r"""
 WITH split AS (
