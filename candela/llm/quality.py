@@ -114,17 +114,18 @@ def references(t: DataFrame) -> list:
     t: measured(). One row for each language comes to the driver, MOST_LANGS at most; a
     language beyond those, or with fewer than LEAST_DOCS documents, is held against ANY.
     """
-    t = _histograms(t.filter(~_failed())).select("lang", "_p", "_q")
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("_p", len(CLASSES)), ("_q", len(WORDS) + 1)) for i in range(n)]
-    by = t.groupBy("lang").agg(F.count("*").alias("n"), *sums)
-    rows = by.groupBy(F.when(F.col("n") >= LEAST_DOCS, F.coalesce("lang", F.lit(ANY))).otherwise(ANY).alias("lang")).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in by.columns[2:]])
-    rows = rows.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS).collect()
-    vector = lambda r, c, n: [r[f"{c}{i}"] / r["n"] for i in range(n)]
-    refs = {r["lang"]: (vector(r, "_p", len(CLASSES)), vector(r, "_q", len(WORDS) + 1)) for r in rows}
-    total = sum(r["n"] for r in rows)
-    mean = lambda k: [sum(r["n"] * refs[r["lang"]][k][i] for r in rows) / total for i in range(len(refs[rows[0]["lang"]][k]))]
-    if rows:
-        refs[ANY] = (mean(0), mean(1))
+    t = _histograms(t.filter(~_failed())).select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.posexplode(F.concat("_p", "_q")).alias("i", "x"))
+    by = t.groupBy("lang", "i").agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+    listed = by.filter("i = 0").orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS).select("lang", F.when(F.col("n") >= LEAST_DOCS, F.col("lang")).otherwise(ANY).alias("ref"))
+    rows = by.join(listed, "lang", "left").groupBy(F.coalesce("ref", F.lit(ANY)).alias("ref"), "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+    sums: dict[str, dict] = {}
+    for r in rows:
+        sums.setdefault(r["ref"], {})[r["i"]] = (r["n"], r["x"])
+    places, cut_at = range(len(CLASSES) + len(WORDS) + 1), len(CLASSES)
+    means = {k: [v[i][1] / v[i][0] for i in places] for k, v in sums.items()}
+    if sums:
+        means[ANY] = [sum(v[i][1] for v in sums.values()) / sum(v[i][0] for v in sums.values()) for i in places]
+    refs = {k: (v[:cut_at], v[cut_at:]) for k, v in means.items()}
     return sorted((k, *v) for k, v in refs.items())
 
 
