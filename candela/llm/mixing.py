@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candela.llm.common import WORD, cut
+from candela.llm.common import WORD, cut, row_keys, words_of
 
 #: Words in a block, slots that one row of the schedule's first stage stands for.
 BLOCK, CHUNK = 512, 4096
@@ -95,7 +95,8 @@ def axis(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select("doc_id", "source", size.alias("size"), order.alias("order")))
+    keys = [c for c in ("_k1", "_k2") if c in docs.columns]
+    sized = cut(docs.select("doc_id", "source", size.alias("size"), order.alias("order"), *keys))
     sized = sized.withColumn("bucket", F.substring("order", 1, 3))
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, most)
@@ -108,7 +109,7 @@ def axis(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3
         "*", F.row_number().over(within).alias("pos"), (F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("_in")
     )
     rows = rows.join(parts.drop("source"), ["_key", "bucket"])
-    rows = rows.select("doc_id", "size", "source", "source_size", F.col("place").alias("source_place"), "target", "bucket", "pos", (F.col("_in") + F.col("ahead")).alias("start"))
+    rows = rows.select("doc_id", "size", "source", "source_size", F.col("place").alias("source_place"), "target", "bucket", "pos", (F.col("_in") + F.col("ahead")).alias("start"), *keys)
     return rows, targets
 
 
@@ -133,10 +134,27 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = "mix", weights: tuple[i
     out = held.unionByName(none).join(slots, ["source_place", "rank"], "left")
     begin, end = F.greatest("from", "begin"), F.least("to", "end")
     length = F.when(F.col("slot").isNull(), F.lit(0)).otherwise(F.greatest(end - begin, F.lit(0))).cast("long")
-    return out.select("doc_id", "size", "source", "source_size", "source_place", "target", "bucket", "pos", "slot", "pass", (begin - F.col("from")).alias("first"), length.alias("length"))
+    return out.select("doc_id", "size", "source", "source_size", "source_place", "target", "bucket", "pos", "slot", "pass", (begin - F.col("from")).alias("first"), length.alias("length"), *[c for c in ("_k1", "_k2") if c in rows.columns])
 
 
 def taken(mixed: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every input row."""
     t = mixed.groupBy("source_place", "bucket", "pos", "doc_id", "size", "source_size", "target").agg(F.sum("length").alias("taken"))
     return t.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows with docs' columns: a document once for each time that it is taken, with the words taken as its text.
+
+    Where a source's target ends within a document, its first words are left, with one space between them;
+    whole texts stay as they are. n_chars, if there, follows the text. Documents of which nothing is taken go.
+    """
+    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_keys(*docs.columns), strict=True)))
+    takes = mix(keyed, **options).filter("length > 0").groupBy("_k1", "_k2", "source_place", "bucket", "pos", "pass", "size").agg(F.sum("length").alias("_words"))
+    texts = keyed.dropDuplicates(["_k1", "_k2"])
+    out = texts.join(takes.select("_k1", "_k2", "_words", F.col("size").alias("_size")), ["_k1", "_k2"])
+    part = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

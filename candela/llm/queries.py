@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import ann, langid, linededup, mixing, packing, quality, secrets, tokenfile, urls
+from candela.llm import ann, jaccard, langid, linededup, mixing, packing, quality, secrets, tokenfile, urls
 from candela.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(read(spark, sf_dir, "documents")))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op3_best_fit, op4_url_filter, op5_nearest, op6_language, op7_line_dedup, op8_token_file, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_best_fit, op4_url_filter, op5_nearest, op6_language, op7_line_dedup, op8_token_file, op9_quality, op10_secrets)}
 
 SQL = {
     "op1_mix": r"""
