@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 
 DEFAULT = "word_bpe_49k.json"
 #: Words that a worker remembers the ids of, in each of two generations.
-KEEP = 400_000
+KEEP = 600_000
+#: What words are learnt without at their end. No apostrophe, which can begin a piece with letters.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -18,12 +21,22 @@ def path(name: str = DEFAULT) -> str:
     return public_tokenizers.path(name)
 
 
+def _ends_in_letter(word: bytes) -> bool:
+    last = word.decode()[-1]
+    return last.isalpha() and len(last.lower()) == 1
+
+
+def _letters(word: bytes) -> bool:
+    text = word.decode()
+    return text.isalpha() and len(text.lower()) == len(text)
+
+
 class Encoder:
     """ids(text) as the tokenizer's own encode(text, add_special_tokens=False), with a memory of words.
 
     This holds for tokenizers whose normalizer and splitter work the same on each side of
     ASCII white space and see no case in ASCII letters, as word_bpe_49k.json's do: it drops white
-    space and lowers letters before splitting. A text with the opening of a special token goes to the
+    space, lowers letters before splitting and marks each piece's last id with </w>. A text with the opening of a special token goes to the
     tokenizer as a whole.
     """
 
@@ -34,45 +47,88 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that the younger generation lacks; they are in it afterwards.
 
-    def _learn(self, words: list[bytes]) -> None:
+        What follows a word's last letter is a piece of its own, so words are learnt without it.
+        """
         if len(self.young) + len(words) > KEEP:
             self.old, self.young = self.young, {}
-        missing = []
-        for w in dict.fromkeys(words):
-            known = self.old.get(w)
-            if known is None:
-                missing.append(w)
-            else:
-                self.young[w] = known
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        self.young.update(zip(missing, (np.array(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
+        found, stems, young, old = {}, {}, self.young.get, self.old.get
+        for w in words:
+            ids = old(w)
+            if ids is not None:
+                found[w] = ids
+                continue
+            stem = w.rstrip(MARKS)
+            if stem is not w and not (stem and (stem[-1:].isalpha() or _ends_in_letter(stem))):
+                stem = w
+            stems[w] = stem
+        wanted = {x for w, x in stems.items() if young(x) is None and old(x) is None}
+        tails = {w[len(x) :] for w, x in stems.items() if len(x) < len(w)} - self.tails.keys()
+        self.tails.update(zip(tails, self._each(tails), strict=True))
+        letters = [x for x in wanted if x.isalpha() or _letters(x)]
+        learnt = dict(zip(letters, self._joined(letters), strict=True))
+        others = wanted - learnt.keys()
+        learnt.update(zip(others, self._each(others), strict=True))
+        for w, x in stems.items():
+            ids = learnt.get(x)
+            if ids is None:
+                ids = young(x)
+            if ids is None:
+                ids = old(x)
+            found[w] = ids if len(x) == len(w) else ids + self.tails[w[len(x) :]]
+        self.young.update(learnt)
+        self.young.update(found)
+        return found
+
+    def _each(self, words) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of letters alone, of which each ends in one word-ending id."""
+        out = []
+        for at in range(0, len(words), 512):
+            own = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, dtype="<u4")
+            stops = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(stops) != len(own):
+                out += self._each(own)
+                continue
+            data, begin = ids.tobytes(), 0
+            for end in stops:
+                out.append(data[begin:end])
+                begin = end
+        return out
+
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-        split = [None if b"<|" in x else x.lower().split() for x in split]
-        known = self.young
-        missing = {w for words in split if words for w in words if w not in known}
-        if missing:
-            self._learn(list(missing))
-        get, out = self.young.get, []
-        for x, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        get, held, missing = self.young.get, [], set()
+        for x in texts:
+            data = (x or "").encode()
+            if b"<|" in data:
+                held.append(((), [self.pack(self.tokenizer.encode(x, add_special_tokens=False).ids)], ()))
                 continue
-            try:
-                out.append(b"".join(map(self.young.__getitem__, words)))
-            except KeyError:  # of the older generation
-                found = []
-                for w in words:
-                    ids = get(w)
-                    if ids is None:
-                        ids = self.old.get(w)
-                        if ids is None:
-                            ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-                    found.append(ids)
-                out.append(b"".join(found))
+            words = data.lower().split()
+            ids = list(map(get, words))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            missing.update(words[i] for i in gaps)
+            held.append((words, ids, gaps))
+        found = self._learn(missing) if missing else {}
+        out = []
+        for words, ids, gaps in held:
+            for i in gaps:
+                ids[i] = found[words[i]]
+            out.append(b"".join(ids))
         return out
 
 
