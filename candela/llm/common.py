@@ -48,6 +48,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row, whatever is made of it.
+
+    A projection's expression is copied into filters and projections above it; what a
+    generator gives isn't.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; null: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import cut, let, row_keys
+from candela.llm.common import cut, fixed, let, row_keys
 
 WINDOW = 3
 #: A line with a word; windows without one aren't compared.
@@ -59,6 +59,6 @@ def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     keyed = docs.select("*", *row_keys("doc_id", "text")).join(gone, ["_k1", "_k2"], "left")
     new = F.when(F.col("starts").isNotNull(), let(F.split("text", "\n", -1), lambda x: rest(x, F.col("starts"))))
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
-    keyed = keyed.withColumn("_new", new).withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).cast("long"))
+    keyed = fixed(keyed, "_new", new).withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).cast("long"))
     keyed = keyed.withColumn("text", F.coalesce("_new.text", "text")).withColumn("n_removed", F.coalesce("_new.removed", F.lit(0).cast("long")))
     return keyed.select(*docs.columns, "n_lines", "n_removed")

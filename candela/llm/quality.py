@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import BLANK, let
+from candela.llm.common import BLANK, cut, fixed, let
 
 #: Frequent function words by language.
 COMMON = {
@@ -86,7 +86,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_common", "_classes", "base_failed", "kept", "char_distance", "word_distance")
-    t = docs.drop(*names).withColumn("_m", let(text, lambda x: F.struct(let(F.filter(F.split(x, BLANK), lambda w: w != ""), _of_words).alias("w"), _of_chars(x).alias("c"), _dup_lines(x).alias("d"))))
+    t = fixed(docs.drop(*names), "_m", let(text, lambda x: F.struct(let(F.filter(F.split(x, BLANK), lambda w: w != ""), _of_words).alias("w"), _of_chars(x).alias("c"), _dup_lines(x).alias("d"))))
     return t.select("*", "_m.w.n_words", "_m.c.word_chars", "_m.c.n_symbols", F.col("_m.d").alias("n_dup_lines"), "_m.w.n_repeat_words", F.col("_m.w.common").alias("_common"), F.col("_m.c.classes").alias("_classes")).drop("_m")
 
 
@@ -148,7 +148,7 @@ def judged(t: DataFrame, refs: list) -> DataFrame:
         table = F.create_map(*[x for k, p, q in refs for x in (F.lit(k), F.struct(vector(p).alias("p"), vector(q).alias("q")))])
         ref = F.coalesce(F.try_element_at(table, chosen), F.try_element_at(table, F.lit(ANY)))
         far = let(ref, lambda r: F.struct(_distance(F.col("_p"), r["p"]).alias("c"), _distance(F.col("_q"), r["q"]).alias("w")))
-        t = _histograms(t).withColumn("_d", far).withColumns({"char_distance": F.col("_d.c"), "word_distance": F.col("_d.w")}).drop("_d", "_p", "_q")
+        t = fixed(_histograms(t), "_d", far).withColumns({"char_distance": F.col("_d.c"), "word_distance": F.col("_d.w")}).drop("_d", "_p", "_q")
     else:
         t = t.withColumns({"char_distance": F.lit(0.0), "word_distance": F.lit(0.0)})
     long = _sum(F.col("_classes"), "long") >= LEAST_CHARS
@@ -164,8 +164,6 @@ def assess(docs: DataFrame) -> DataFrame:
     fails; a null language is held against all languages' mean; rows that share a doc_id are judged
     by themselves; an empty table gives no row.
     """
-    from candela.llm.common import cut
-
     t = cut(measured(docs.select("doc_id", "text", "lang")).drop("text"))
     out = judged(t, references(t))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
