@@ -32,7 +32,9 @@ from candela.llm.common import importable
 
 END = 1
 #: Ids in a block, rounds of replacement, pairs that a round replaces, uses that a rule needs.
-BLOCK, ROUNDS, PAIRS, LEAST = 1_000_000, 4, 3072, 8
+BLOCK, ROUNDS, PAIRS, LEAST = 1_000_000, 3, 4096, 8
+#: Bits of a slot in which pairs are counted.
+SLOTS = 20
 SCHEMA = "part int, block int, base int, doc_ids array<bigint>, n_tokens array<bigint>, at array<bigint>, symbols binary, rules binary, lengths binary"
 
 
@@ -43,36 +45,40 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS,
     most frequent ones by new symbols, from the left, then counts again over what is left.
     A pair that begins at a document's end is none.
     """
-    seq, ends = ids.astype(np.uint64), last.copy()
+    seq, ends = ids.astype(np.uint32), last.copy()
     kept = np.arange(len(seq))
     rules, lengths, names = [], [], base
+    table, place = np.empty(1 << SLOTS, dtype=np.uint32), np.empty(1 << SLOTS, dtype=np.uint32)
     for _ in range(rounds):
-        if len(seq) < 2:
+        room = min(pairs, 65_536 - names)
+        if len(seq) < 2 or room <= 0:
             break
-        keys = (seq[:-1] << np.uint64(16)) | seq[1:]
-        keys[ends[:-1]] = 0  # 0, 0: taken by none
-        ordered = np.sort(keys[keys > 0])
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=int)
-        count = np.diff(np.append(first, len(ordered)))
+        keys = (seq[:-1] << np.uint32(16)) | seq[1:]
+        slot = ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)).astype(np.intp)
+        # Of pairs that meet in a slot one is counted in this round, most probably the most frequent.
+        table[slot] = keys
+        own = table[slot] == keys
+        own &= ~ends[:-1]
+        count = np.bincount(slot[own], minlength=1 << SLOTS)
         often = np.flatnonzero(count >= least)
-        room = min(pairs, 65_536 - names)
-        if not len(often) or room <= 0:
+        if not len(often):
             break
         often = often[np.argsort(-count[often], kind="stable")][:room]
-        chosen = np.sort(ordered[first[often]])
-        place = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        match = chosen[place] == keys
+        place[:] = room
+        place[often] = np.arange(len(often))
+        which = place[slot]
+        own &= which < room
         # Of matches side by side, every other one counts from the left.
-        at = np.flatnonzero(match)
+        at = np.flatnonzero(own)
         run = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])
         begin = np.repeat(at[run], np.diff(np.append(run, len(at))))
         at = at[(at - begin) % 2 == 0]
-        seq[at] = names + place[at]
+        new = np.column_stack([table[often] >> np.uint32(16), table[often] & np.uint32(0xFFFF)]).astype(np.int64)
+        seq[at] = names + which[at]
         ends[at] = ends[at + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
         seq, ends, kept = seq[stay], ends[stay], kept[stay]
-        new = np.column_stack([chosen >> np.uint64(16), chosen & np.uint64(0xFFFF)]).astype(np.int64)
         known = np.concatenate([np.ones(base, dtype=np.int64), *lengths])
         rules.append(new)
         lengths.append(known[new].sum(axis=1))
