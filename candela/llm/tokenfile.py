@@ -32,21 +32,20 @@ from candela.llm.common import importable
 
 END = 1
 #: Ids in a block, rounds of replacement, pairs that a round replaces, uses that a rule needs.
-BLOCK, ROUNDS, PAIRS, LEAST = 1_000_000, 3, 4096, 8
+BLOCK, ROUNDS, PAIRS, LEAST = 1_000_000, 2, 8000, 8
 #: Bits of a slot in which pairs are counted.
 SLOTS = 20
 SCHEMA = "part int, block int, base int, doc_ids array<bigint>, n_tokens array<bigint>, at array<bigint>, symbols binary, rules binary, lengths binary"
 
 
 def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
-    """Re-Pair: (symbols, rules, lengths, positions that are kept).
+    """Re-Pair: (symbols, rules, lengths, each document's first symbol).
 
     ids: plain ids; last: where a document ends. Each round counts all pairs of neighbours and replaces the
     most frequent ones by new symbols, from the left, then counts again over what is left.
     A pair that begins at a document's end is none.
     """
     seq, ends = ids.astype(np.uint32), last.copy()
-    kept = np.arange(len(seq))
     rules, lengths, names = [], [], base
     table, place = np.empty(1 << SLOTS, dtype=np.uint32), np.empty(1 << SLOTS, dtype=np.uint32)
     for _ in range(rounds):
@@ -78,13 +77,13 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS,
         ends[at] = ends[at + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
-        seq, ends, kept = seq[stay], ends[stay], kept[stay]
+        seq, ends = seq[stay], ends[stay]
         known = np.concatenate([np.ones(base, dtype=np.int64), *lengths])
         rules.append(new)
         lengths.append(known[new].sum(axis=1))
         names += len(new)
     pack = lambda x, kind, shape: np.concatenate(x).astype(kind) if x else np.zeros(shape, dtype=kind)
-    return seq.astype("<u2"), pack(rules, "<u2", (0, 2)), pack(lengths, "<u4", 0), kept
+    return seq.astype("<u2"), pack(rules, "<u2", (0, 2)), pack(lengths, "<u4", 0), np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -115,8 +114,7 @@ def _blocks(part: int, frames, tokenizer: str, end: int, base: int, most: int):
         ids = np.frombuffer(b"".join(held), dtype="<u4")
         final = np.zeros(len(ids), dtype=bool)
         final[np.cumsum(counts) - 1] = True
-        symbols, rules, lengths, kept = compress(ids, final, base)
-        at = np.searchsorted(kept, np.cumsum(counts) - counts)
+        symbols, rules, lengths, at = compress(ids, final, base)
         return pd.DataFrame([(part, block, base, docs, counts, at, symbols.tobytes(), rules.tobytes(), lengths.tobytes())], columns=["part", "block", "base", "doc_ids", "n_tokens", "at", "symbols", "rules", "lengths"])
 
     for frame in frames:

@@ -9,7 +9,7 @@ import numpy as np
 
 DEFAULT = "word_bpe_49k.json"
 #: Words that a worker remembers the ids of, in each of two generations.
-KEEP = 600_000
+KEEP = 900_000
 #: What words are learnt without at their end. No apostrophe, which can begin a piece with letters.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict[str, Encoder] = {}
