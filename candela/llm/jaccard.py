@@ -4,8 +4,8 @@ Documents with the same set are one class. A class can be linked only if enough
 are in other sets too; the few that pass get exact token frequencies, and their rarest tokens make an
 inverted index. Its lists are kept in blocks by set size, and a block is compared only with blocks whose
 sizes can match. Short blocks are compared whole; in a long block every set meets a few pivots first, sets that the
-links found connect need no more, and for the others the pivots' overlaps bound theirs, so that only what the bounds leave
-open is counted.
+links found connect need no more, and the others' answers are derived from those of one set that the block's sets
+are much alike, by what each set lacks of it and has beside it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ WORDS = 5
 #: Links: PERCENT of 100 * shared / united.
 PERCENT = 75
 #: Longest block that is compared whole; pivots of a longer one.
-WHOLE, PIVOTS = 24, 16
+WHOLE, PIVOTS = 24, 8
+#: Tokens of the sets of a long block that ask, and of all, in one task.
+FEW, ALL = 200_000, 800_000
 #: Tokens, and sets, that a worker holds before it deals them out.
 HELD, MOST_SETS = 3_000_000, 60_000
 #: Words that a worker remembers the hashes of.
@@ -191,7 +193,7 @@ def _candidates(docs: DataFrame, parts: int, words: int, percent: int) -> DataFr
 
 def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """The sets of the open classes, each from one of its rows: c, n, tokens."""
-    chosen = rows.filter("open").groupBy("c").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k._k1", "k._k2")
+    chosen = cut(rows.filter("open").groupBy("c").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k._k1", "k._k2"))
 
     def build(frames):
         import pandas as pd
@@ -293,34 +295,69 @@ def links(sets: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
     labelled = long.drop("pivots").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     labelled = cut(labelled)
     sums = labelled.groupBy("token", "block", "root").agg(F.count("*").alias("k"))
-    most = sums.groupBy("token", "block").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("groups")).filter("groups > 1").select("token", "block", F.col("m.root").alias("main"))
-    less = labelled.join(most, ["token", "block"]).filter("root <> main").select("token", "block", F.struct("c", "n", "place").alias("x"), F.col("root").alias("_r"), "main")
-    others = labelled.select("token", "block", F.struct("c", "n", "place").alias("y"), "root")
-    meet = (F.col("root") != F.col("_r")) & ((F.col("root") == F.col("main")) | (F.col("x.c") < F.col("y.c"))) & _may(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
-    rest = less.join(others, ["token", "block"]).filter(meet).select(*_ordered(F.col("x"), F.col("y"))).distinct()
-    rest = cut(rest.join(answers.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _derived(rest, answers, sets, percent)
-    return found.unionByName(more)
+    most = sums.groupBy("token", "block").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("groups"), F.sum("k").alias("all")).filter("groups > 1")
+    most = most.select("token", "block", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.k")).alias("few"))
+    held = labelled.join(most, ["token", "block"])
+    # Parts of about so many tokens: every part of the few meets every part of all.
+    each = lambda tokens: F.greatest(F.lit(16), F.floor(tokens / F.exp(F.col("block") * step))).cast("long")
+    parts_of = lambda k, tokens: F.greatest(F.lit(1), F.ceil(F.col(k) / each(tokens))).cast("int")
+    part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "c"), F.col(n)).cast("int")
+    held = held.withColumns({"_i": parts_of("few", FEW), "_j": parts_of("all", ALL)})
+    few = held.filter("root <> main").select("token", "block", "c", "root", "main", part(1, "_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_j") - 1)).alias("j"), F.lit(True).alias("asks"))
+    every = held.select("token", "block", "c", "root", "main", F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("i"), part(2, "_j").alias("j"), F.lit(False).alias("asks"))
+    meet = few.unionByName(every).join(sets, "c")
+
+    def derive(pdf):
+        from candela.llm import jaccard
+
+        return jaccard._derived(pdf, percent)
+
+    more = meet.groupBy("token", "block", "i", "j").applyInPandas(derive, "a binary, b binary").distinct()
+    return found.unionByName(cut(more))
 
 
-def _derived(pairs: DataFrame, answers: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs, by what is known of a third set that both were compared with.
+def _derived(pdf, percent: int):
+    """Links between sets that ask and the others of a block, one for each set and group it isn't in: a, b.
 
-    With r's overlaps ra and rb: a and b share at least ra + rb - |r|, and at most rb + |a| - ra or
-    ra + |b| - rb. Only pairs that these leave open are counted.
+    The others are much alike. Of one, r, the overlap with each asking set x is counted; that with another, y, follows
+    from what y lacks of r and has beside it: |x & y| = |x & r| - |x & (r - y)| + |x & (y - r)|.
     """
-    known = answers.select(F.col("a").alias("r"), F.col("na").alias("nr"), F.col("b").alias("x"), "shared").unionByName(answers.select(F.col("b").alias("r"), F.col("nb").alias("nr"), F.col("a").alias("x"), "shared"))
-    of_a = known.select("r", "nr", F.col("x").alias("a"), F.col("shared").alias("ra"))
-    of_b = known.select("r", F.col("x").alias("b"), F.col("shared").alias("rb"))
-    bounds = pairs.join(of_a, "a").join(of_b, ["b", "r"]).groupBy("a", "b").agg(
-        F.max(F.col("ra") + F.col("rb") - F.col("nr")).alias("least"),
-        F.min(F.least(F.col("rb") + F.col("na") - F.col("ra"), F.col("ra") + F.col("nb") - F.col("rb"))).alias("most"),
-    )
-    held = cut(pairs.join(bounds, ["a", "b"], "left"))
-    sure = held.filter(_linked(F.coalesce("least", F.lit(0)), percent))
-    undecided = held.filter(~_linked(F.coalesce("least", F.lit(0)), percent) & _linked(F.coalesce("most", F.least("na", "nb")), percent))
-    counted = _overlaps(undecided.select("a", "b", "na", "nb"), sets).filter(_linked(F.col("shared"), percent))
-    return sure.select("a", "b").unionByName(counted.select("a", "b"))
+    import pandas as pd
+
+    asks, root, c = pdf["asks"].to_numpy(dtype=bool), pdf["root"].to_numpy(), pdf["c"].to_numpy()
+    none = pd.DataFrame({"a": [], "b": []})
+    main = np.flatnonzero(~asks & (root == pdf["main"].to_numpy()))
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(x) or not len(y):
+        return none
+    tokens = [np.asarray(t) for t in pdf["tokens"]]
+    sizes = np.array([len(t) for t in tokens])
+    r = np.sort(tokens[main[0] if len(main) else y[0]])
+    # Only tokens of asking sets matter; of those beside r, only what another set has.
+    flat = lambda rows: (np.repeat(np.arange(len(rows)), sizes[rows]), np.concatenate([tokens[i] for i in rows]))
+    (xi, xt), (yi, yt) = flat(x), flat(y)
+    beside = np.setdiff1d(np.intersect1d(xt, yt), r)
+
+    def table(rows: int, owner: np.ndarray, own: np.ndarray, words: np.ndarray) -> np.ndarray:
+        out = np.zeros((rows, len(words)), dtype=np.float32)
+        if len(words):
+            place = np.minimum(np.searchsorted(words, own), len(words) - 1)
+            hit = words[place] == own
+            out[owner[hit], place[hit]] = 1
+        return out
+
+    of_r, lacks = table(len(x), xi, xt, r), 1 - table(len(y), yi, yt, r)
+    shared = of_r.sum(axis=1)[:, None] - of_r @ lacks.T + table(len(x), xi, xt, beside) @ table(len(y), yi, yt, beside).T
+    shared = np.rint(shared).astype(np.int64)
+    linked = (100 * shared >= percent * (sizes[x][:, None] + sizes[y][None, :] - shared)) & (root[x][:, None] != root[y][None, :])
+    out = []
+    for i in np.flatnonzero(linked.any(axis=1)).tolist():
+        seen = set()
+        for j in np.flatnonzero(linked[i]).tolist():
+            if root[y[j]] not in seen:
+                seen.add(root[y[j]])
+                out.append((c[x[i]], c[y[j]]))
+    return pd.DataFrame(out, columns=["a", "b"]) if out else none
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
