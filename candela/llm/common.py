@@ -64,10 +64,10 @@ def words_of(text: Column) -> Column:
 
 def row_keys(*columns: str) -> list[Column]:
     """128 bits that name a row by these columns, null-safe, for joins back to it."""
-    parts = [F.when(F.col(c).isNull(), F.lit(1)).otherwise(F.lit(0)) for c in columns] + [F.col(c) for c in columns]
+    parts = [F.when(F.col(f"`{c}`").isNull(), F.lit(1)).otherwise(F.lit(0)) for c in columns] + [F.col(f"`{c}`") for c in columns]
     return [F.xxhash64(F.lit(1), *parts).alias("_k1"), F.xxhash64(F.lit(2), *parts).alias("_k2")]
 
 
-def drop_extra(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, so that other columns of a table can't clash with an operator's own."""
-    return df.select(*columns)
+def whole(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """The whole row as one column _row, so that columns of any name can't clash, and what else is asked for."""
+    return docs.select(F.struct("*").alias("_row"), *more)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import cut, fixed, let, row_keys
+from candela.llm.common import cut, fixed, let, row_keys, whole
 
 WINDOW = 3
 #: A line with a word; windows without one aren't compared.
@@ -48,7 +48,6 @@ def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     Null texts stay null, with no lines; rows that are alike in doc_id and text are one document;
     an empty table gives no row. Columns of docs named n_lines or n_removed are replaced.
     """
-    docs = docs.drop("n_lines", "n_removed")
     gone = covered(docs.select("doc_id", "text"), width)
 
     def rest(lines: Column, starts: Column) -> Column:
@@ -56,9 +55,10 @@ def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
         return let(keep, lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(k)).cast("long").alias("removed")))
 
-    keyed = docs.select("*", *row_keys("doc_id", "text")).join(gone, ["_k1", "_k2"], "left")
-    new = F.when(F.col("starts").isNotNull(), let(F.split("text", "\n", -1), lambda x: rest(x, F.col("starts"))))
-    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
-    keyed = fixed(keyed, "_new", new).withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).cast("long"))
-    keyed = keyed.withColumn("text", F.coalesce("_new.text", "text")).withColumn("n_removed", F.coalesce("_new.removed", F.lit(0).cast("long")))
-    return keyed.select(*docs.columns, "n_lines", "n_removed")
+    keyed = whole(docs, *row_keys("doc_id", "text")).join(gone, ["_k1", "_k2"], "left")
+    text = F.col("_row.text")
+    lines = lambda: F.split(text, "\n", -1)
+    keyed = fixed(keyed, "_new", F.when(F.col("starts").isNotNull(), let(lines(), lambda x: rest(x, F.col("starts")))))
+    count = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines())).cast("long")
+    kept = [F.coalesce("_new.text", text).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return keyed.select(*kept, count.alias("n_lines"), F.coalesce("_new.removed", F.lit(0).cast("long")).alias("n_removed"))

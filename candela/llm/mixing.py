@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candela.llm.common import WORD, cut, row_keys, words_of
+from candela.llm.common import WORD, cut, fixed, row_keys, whole, words_of
 
 #: Words in a block, slots that one row of the schedule's first stage stands for.
 BLOCK, CHUNK = 512, 4096
@@ -149,12 +149,13 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     Where a source's target ends within a document, its first words are left, with one space between them;
     whole texts stay as they are. n_chars, if there, follows the text. Documents of which nothing is taken go.
     """
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_keys(*docs.columns), strict=True)))
+    keyed = whole(docs, "doc_id", "text", "source", *row_keys(*docs.columns))
     takes = mix(keyed, **options).filter("length > 0").groupBy("_k1", "_k2", "source_place", "bucket", "pos", "pass", "size").agg(F.sum("length").alias("_words"))
-    texts = keyed.dropDuplicates(["_k1", "_k2"])
+    texts = keyed.select("_row", "_k1", "_k2").dropDuplicates(["_k1", "_k2"])
     out = texts.join(takes.select("_k1", "_k2", "_words", F.col("size").alias("_size")), ["_k1", "_k2"])
-    part = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text")))
+    part = F.array_join(F.slice(words_of(F.col("_row.text")), F.lit(1), F.col("_words").cast("int")), " ")
+    out = fixed(out, "_text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("_row.text")))
+    value = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        value["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[value.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import BLANK, cut, fixed, let
+from candela.llm.common import BLANK, cut, fixed, let, whole
 
 #: Frequent function words by language.
 COMMON = {
@@ -80,13 +80,12 @@ def _dup_lines(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, _common and _classes.
+    """docs (text and what else has other names) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, _common and _classes.
 
-    Columns of docs with these names are replaced. No row moves.
+    No row moves.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_common", "_classes", "base_failed", "kept", "char_distance", "word_distance")
-    t = fixed(docs.drop(*names), "_m", let(text, lambda x: F.struct(let(F.filter(F.split(x, BLANK), lambda w: w != ""), _of_words).alias("w"), _of_chars(x).alias("c"), _dup_lines(x).alias("d"))))
+    t = fixed(docs, "_m", let(text, lambda x: F.struct(let(F.filter(F.split(x, BLANK), lambda w: w != ""), _of_words).alias("w"), _of_chars(x).alias("c"), _dup_lines(x).alias("d"))))
     return t.select("*", "_m.w.n_words", "_m.c.word_chars", "_m.c.n_symbols", F.col("_m.d").alias("n_dup_lines"), "_m.w.n_repeat_words", F.col("_m.w.common").alias("_common"), F.col("_m.c.classes").alias("_classes")).drop("_m")
 
 
@@ -171,4 +170,4 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that assess() keeps, with their columns. Reads docs twice and moves no text."""
-    return judged(measured(docs), references(measured(docs.select("text", "lang")))).filter("kept").select(*docs.columns)
+    return judged(measured(whole(docs, "text", "lang")), references(measured(docs.select("text", "lang")))).filter("kept").select("_row.*")
