@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from candela.constants import REPLICATES, SEED, TIE_TOLERANCE
 from candela.operators.contracts import require_same
+from candela.session import importable
 
 
 def paired(left: DataFrame, right: DataFrame, metric: str) -> DataFrame:
@@ -78,6 +79,7 @@ def bootstrap_mean(deltas: DataFrame, column: str, replicates: int = REPLICATES,
         low, high = np.quantile(np.concatenate(means), tails)
         n, mean = len(x), float(x.mean())
     else:
+        importable(deltas.sparkSession)
 
         def weigh(frames):
             import pandas as pd

@@ -10,6 +10,7 @@ from candela.errors import DataIntegrityError, SemanticJoinError
 from candela.functions.text import clean_text, contains_phrase, ratio, tokenize
 from candela.operators.contracts import key_report, require_columns, require_disjoint, require_finite, require_no_test_rows, require_same, require_unique
 from candela.operators.lexical import add_lexical
+from candela.session import importable
 
 
 def add_basic_features(df: DataFrame) -> DataFrame:
@@ -88,6 +89,7 @@ class FunctionEncoder:
 
     def encode(self, texts: DataFrame, text: str = "text") -> DataFrame:
         function = self.function
+        importable(texts.sparkSession)
 
         def run(frames):
             for pdf in frames:

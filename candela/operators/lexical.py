@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from candela.constants import B, EPSILON, K1, SEED
 from candela.functions.text import tokenize
 from candela.operators.contracts import require_columns
+from candela.session import importable
 
 
 def _tokens(df: DataFrame, text: str, query: str = "query") -> DataFrame:
@@ -125,6 +126,7 @@ def add_random(df: DataFrame, seed: int = SEED, score: str = "random_score", exa
         return df.withColumn(score, F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / float(1 << 52))
     from pyspark.sql import types as T
 
+    importable(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name != score]
 
     def draw(pdf):

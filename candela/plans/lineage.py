@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage in the folder that spark.checkpoint.dir names, or one of its own in tests."""
+    """Compute df once and cut its lineage, in the folder that spark.checkpoint.dir names.
+
+    Executors may be lost afterwards: the files are in the shared folder. Only a session without that setting gets
+    a folder of its own, which is fit for tests.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candela-"))
