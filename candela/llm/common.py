@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.plans.lineage import cut  # noqa: F401
+from candela.session import importable  # noqa: F401
+
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,27 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage, in the folder that spark.checkpoint.dir names.
-
-    Executors may be lost afterwards: the files are in the shared folder. Only a
-    session without that setting gets a folder of its own, which is fit for tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="candela-"))
-    return df.checkpoint()
-
-
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if here not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row.
 
