@@ -131,7 +131,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = "mix", weights: tuple[i
     held = held.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     none = rows.filter("size = 0").selectExpr("*", "0L AS pass", "0L AS `from`", "0L AS to", "-1L AS rank")
     slots = schedule(targets, block)
-    out = held.unionByName(none).join(slots, ["source_place", "rank"], "left")
+    # Sizes of what a generator makes are guessed from its input, so slots would be broadcast; they grow with the table.
+    out = held.unionByName(none).join(slots.hint("merge"), ["source_place", "rank"], "left")
     begin, end = F.greatest("from", "begin"), F.least("to", "end")
     length = F.when(F.col("slot").isNull(), F.lit(0)).otherwise(F.greatest(end - begin, F.lit(0))).cast("long")
     return out.select("doc_id", "size", "source", "source_size", "source_place", "target", "bucket", "pos", "slot", "pass", (begin - F.col("from")).alias("first"), length.alias("length"), *[c for c in ("_k1", "_k2") if c in rows.columns])
