@@ -1 +1 @@
-
+"""Queries and whole runs."""

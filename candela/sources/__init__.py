@@ -1 +1 @@
-
+"""Bindings, scans and sinks."""

@@ -1 +1 @@
-
+"""Row-local operators (`candela.operators.features.add_basic_features`, `candela.llm.quality.measured`) run on streaming tables as they are; nothing here is stateful."""
