@@ -5,7 +5,7 @@ are in other sets too; the few that pass get exact token frequencies, and their
 inverted index. Its lists are kept in blocks by set size, and a block is compared only with blocks whose
 sizes can match. Short blocks are compared whole; in a long block every set meets a few pivots first, sets that the
 links found connect need no more, and the others' answers are derived from those of one set that the block's sets
-are much alike, by what each set lacks of it and has beside it.
+are much like, by what each set lacks of it and has beside it.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candela.llm.common import cut, importable, row_keys
+from candela.llm.common import cut, importable, row_keys, whole
 from candela.llm.components import components
+from candela.llm.urls import BlockedBloom
 
 WORDS = 5
 #: Links: PERCENT of 100 * shared / united.
@@ -29,9 +30,9 @@ WHOLE, PIVOTS = 24, 8
 #: Tokens of the sets of a long block that ask, and of all, in one task.
 FEW, ALL = 200_000, 800_000
 #: Tokens, and sets, that a worker holds before it deals them out.
-HELD, MOST_SETS = 3_000_000, 60_000
+HELD, MOST_SETS = 1_000_000, 60_000
 #: Words that a worker remembers the hashes of.
-KNOWN = 1_000_000
+KNOWN = 300_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -191,9 +192,19 @@ def _candidates(docs: DataFrame, parts: int, words: int, percent: int) -> DataFr
     return cut(counted.groupBy("blk").applyInPandas(gather, "doc_id long, _k1 long, _k2 long, n long, c binary, open boolean"))
 
 
-def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The sets of the open classes, each from one of its rows: c, n, tokens."""
-    chosen = cut(rows.filter("open").groupBy("c").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k._k1", "k._k2"))
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts of rows with these keys (_k1, _k2), once for each key.
+
+    A Bloom filter of bounded size keeps most other texts from moving to the join.
+    """
+    bloom = BlockedBloom(chosen.select(F.col("_k1").alias("_h1"), F.col("_k2").alias("_h2")))
+    keyed = docs.select("text", *row_keys("doc_id", "text")).withColumnsRenamed({"_k1": "_h1", "_k2": "_h2"})
+    found = bloom.filter(keyed).withColumnsRenamed({"_h1": "_k1", "_h2": "_k2"})
+    return found.join(chosen.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("text")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """c, n, tokens of each text."""
 
     def build(frames):
         import pandas as pd
@@ -206,27 +217,29 @@ def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                 own = [jaccard.shingles(x, words) for x in pdf["text"]]
                 yield pd.DataFrame({"c": [xxhash.xxh3_128_digest(x.tobytes()) for x in own], "n": [len(x) for x in own], "tokens": [x.view(np.int64) for x in own]})
 
-    texts = docs.select("text", *row_keys("doc_id", "text")).join(chosen, ["_k1", "_k2"], "left_semi").select("text")
-    return cut(texts.mapInPandas(build, "c binary, n long, tokens array<bigint>").dropDuplicates(["c"]))
+    return cut(texts.mapInPandas(build, "c binary, n long, tokens array<bigint>"))
 
 
-def _postings(sets: DataFrame, parts: int, percent: int) -> DataFrame:
-    """The index: token, c, n and the token's place among the set's in order of rising frequency.
+def _postings(texts: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
+    """The index: token, c, n (the set's size), s (its tokens that another set has) and q (the token's place among those, by rising frequency).
 
-    A set's first n - needed + 1 tokens in that order are listed; of those, tokens that no other set has
-    come first and need no list.
+    A set's first n - needed + 1 tokens by frequency are listed. Tokens that no other set has come first and need no
+    list, so a set with fewer than needed others has none: it is linked with nothing.
     """
 
     def deal(frames):
+        import xxhash
         from pyspark import TaskContext
 
-        from candela.llm import jaccard
+        from candela.llm import jaccard, tokens
 
         dealer = jaccard._Dealer(parts, TaskContext.get().partitionId(), True)
-        for pdf in frames:
-            for c, own in zip(pdf["c"], pdf["tokens"], strict=True):
-                if dealer.add(np.asarray(own, dtype=np.int64).view(np.uint64), (c,)):
-                    yield dealer.flush()
+        for frame in frames:
+            for pdf in tokens.slices(frame):
+                for text in pdf["text"]:
+                    own = jaccard.shingles(text, words)
+                    if dealer.add(own, (xxhash.xxh3_128_digest(own.tobytes()),)):
+                        yield dealer.flush()
         yield dealer.flush()
 
     def gather(pdf):
@@ -242,20 +255,19 @@ def _postings(sets: DataFrame, parts: int, percent: int) -> DataFrame:
         owner, tokens = owner[order], tokens[order]
         sizes = np.array([n for _, n in names], dtype=np.int64)
         shared = np.bincount(owner, minlength=len(names))
-        begin = np.cumsum(shared) - shared
-        place = np.arange(len(owner)) - begin[owner] + (sizes - shared)[owner]
-        keep = place < (sizes - jaccard.needed(sizes, percent) + 1)[owner]
-        owner, tokens, place = owner[keep], tokens[keep], place[keep]
-        return pd.DataFrame({"token": tokens.view(np.int64), "c": [names[i][0] for i in owner], "n": sizes[owner], "place": place})
+        q = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
+        keep = q <= (shared - jaccard.needed(sizes, percent))[owner]
+        owner, tokens, q = owner[keep], tokens[keep], q[keep]
+        return pd.DataFrame({"token": tokens.view(np.int64), "c": [names[i][0] for i in owner], "n": sizes[owner], "s": shared[owner], "q": q})
 
-    counted = sets.select("c", "tokens").mapInPandas(deal, _DEALT).groupBy("p").applyInPandas(_counter(True), _COUNTED)
-    return counted.groupBy("blk").applyInPandas(gather, "token long, c binary, n long, place long")
+    counted = texts.mapInPandas(deal, _DEALT).groupBy("p").applyInPandas(_counter(True), _COUNTED)
+    return counted.groupBy("blk").applyInPandas(gather, "token long, c binary, n long, s long, q long")
 
 
-def _may(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Whether sets of these sizes that share a token at these places can be linked."""
-    most = F.least(p1, p2) + 1 + F.least(n1 - p1, n2 - p2) - 1
-    return 100 * most >= percent * (n1 + n2 - most)
+def _may(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets that share a token, as postings, can be linked: by what each may share before and after it."""
+    most = F.least(x["q"], y["q"]) + F.least(x["s"] - x["q"], y["s"] - y["q"])
+    return 100 * most >= percent * (x["n"] + y["n"] - most)
 
 
 def _linked(shared: Column, percent: int) -> Column:
@@ -274,20 +286,25 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("_x", "_y")).cast("long").alias("shared"))
 
 
-def links(sets: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
-    """Links that connect all linked classes: a, b. sets: c, n, tokens."""
-    item = F.struct("c", "n", "place")
+def links(docs: DataFrame, rows: DataFrame, parts: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links that connect all linked classes: a, b. docs: doc_id, text; rows: as _candidates() gives them."""
+    chosen = cut(rows.filter("open").groupBy("c").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("c", "k._k1", "k._k2"))
+    item = F.struct("c", "n", "s", "q")
     # Blocks of a list by size: a block's sets can only be linked with those of the same or the next one.
     step = float(np.log(100 / percent) * 1.0000001) if percent < 100 else 1.0
     size = F.floor(F.log(F.col("n").cast("double")) / step)
-    index = _postings(sets, parts, percent)
-    index = cut(index.select("token", "c", "n", "place", F.explode(F.array(size, size + 1)).alias("block")))
+    index = _postings(_texts(docs, chosen), parts, words, percent)
+    index = cut(index.select("token", "c", "n", "s", "q", F.explode(F.array(size, size + 1)).alias("block")))
+    # Sets with postings are fewer by far than those that were counted, so they are made again and not kept from then.
+    sets = _sets(_texts(docs, cut(chosen.join(index.select("c").distinct(), "c", "left_semi"))), words)
     held = index.groupBy("token", "block", F.pmod(F.xxhash64("c"), F.lit(PIVOTS)).alias("g")).agg(F.count("*").alias("k"), F.min(item).alias("pivot"))
     blocks = cut(held.groupBy("token", "block").agg(F.sum("k").alias("k"), F.collect_list("pivot").alias("pivots")).filter("k > 1"))
     lists = index.join(blocks.filter(F.col("k") <= WHOLE).select("token", "block"), ["token", "block"], "left_semi").groupBy("token", "block").agg(F.collect_list(item).alias("l"))
-    short = lists.select(F.explode(F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (y["c"] > x["c"]) & _may(x["n"], x["place"], y["n"], y["place"], percent)), lambda y: F.struct(*_ordered(x, y)))))).alias("p")).select("p.*")
+    short = lists.select(F.explode(F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (y["c"] > x["c"]) & _may(x, y, percent)), lambda y: F.struct(*_ordered(x, y)))))).alias("p")).select("p.*")
     long = index.join(blocks.filter(F.col("k") > WHOLE).select("token", "block", "pivots"), ["token", "block"])
-    star = long.select(item.alias("x"), F.explode(F.filter("pivots", lambda y: (y["c"] != F.col("c")) & _may(y["n"], y["place"], F.col("n"), F.col("place"), percent))).alias("y")).select(*_ordered(F.col("x"), F.col("y")))
+    # A set meets a pivot once, in however many lists they stand together.
+    met = F.transform(F.filter("pivots", lambda y: (y["c"] != F.col("c")) & _may(y, item, percent)), lambda y: F.struct(y["c"].alias("c"), y["n"].alias("n")))
+    star = long.groupBy("c", "n").agg(F.array_distinct(F.flatten(F.collect_set(met))).alias("met")).select(F.struct("c", "n").alias("x"), F.explode("met").alias("y")).select(*_ordered(F.col("x"), F.col("y")))
     answers = cut(_overlaps(short.unionByName(star).distinct(), sets))
     found = answers.filter(_linked(F.col("shared"), percent)).select("a", "b")
     groups = components(found)
@@ -333,10 +350,12 @@ def _derived(pdf, percent: int):
     tokens = [np.asarray(t) for t in pdf["tokens"]]
     sizes = np.array([len(t) for t in tokens])
     r = np.sort(tokens[main[0] if len(main) else y[0]])
-    # Only tokens of asking sets matter; of those beside r, only what another set has.
+    # Of the tokens beside r, only what an asking set and another set have matters.
+    _, first = np.unique(c, return_index=True)
+    seen, count = np.unique(np.concatenate([tokens[i] for i in first]), return_counts=True)
     flat = lambda rows: (np.repeat(np.arange(len(rows)), sizes[rows]), np.concatenate([tokens[i] for i in rows]))
     (xi, xt), (yi, yt) = flat(x), flat(y)
-    beside = np.setdiff1d(np.intersect1d(xt, yt), r)
+    beside = np.setdiff1d(np.intersect1d(seen[count > 1], xt), r)
 
     def table(rows: int, owner: np.ndarray, own: np.ndarray, words: np.ndarray) -> np.ndarray:
         out = np.zeros((rows, len(words)), dtype=np.float32)
@@ -372,8 +391,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     importable(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _candidates(docs, parts, words, percent)
-    sets = _sets(docs, rows, words)
-    groups = components(links(sets, parts, percent))
+    groups = components(links(docs, rows, parts, words, percent))
     classes = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("first"))
     classes = classes.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = classes.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -391,4 +409,4 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     kept = linked.groupBy("component_id").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k._k1", "k._k2")
     alone = rows.filter(F.col("class").isNull() | group.isNull()).select("_k1", "_k2")
     keys = kept.unionByName(alone).distinct()
-    return docs.withColumns({"_k1": row_keys("doc_id", "text")[0], "_k2": row_keys("doc_id", "text")[1]}).join(keys, ["_k1", "_k2"], "left_semi").select(*docs.columns)
+    return whole(docs, *row_keys("doc_id", "text")).join(keys, ["_k1", "_k2"], "left_semi").select("_row.*")
