@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from candela.llm.common import cut, importable, row_keys, whole
 from candela.llm.components import components
+from candela.llm.memory import claim, trim
 from candela.llm.urls import BlockedBloom
 
 WORDS = 5
@@ -30,9 +31,11 @@ WHOLE, PIVOTS = 24, 8
 #: Tokens of the sets of a long block that ask, and of all, in one task.
 FEW, ALL = 200_000, 800_000
 #: Tokens, and sets, that a worker holds before it deals them out.
-HELD, MOST_SETS = 1_000_000, 60_000
+HELD, MOST_SETS = 500_000, 60_000
+#: Characters of texts whose tokens one task counts at most, about; more shuffle partitions than that asks for are kept.
+CHARS = 20_000_000
 #: Words that a worker remembers the hashes of.
-KNOWN = 300_000
+KNOWN = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -49,6 +52,17 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _start() -> None:
+    """At a task's start: other operators' memory in this worker goes."""
+    claim("shingles", _HASHES.clear)
+
+
+def _end() -> None:
+    """At a task's end: this operator's memory goes, too."""
+    _HASHES.clear()
+    trim()
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The set of a text: ascending 64-bit hashes of its runs of `words` words, A-Z lower-cased.
 
@@ -163,6 +177,7 @@ def _candidates(docs: DataFrame, parts: int, words: int, percent: int) -> DataFr
 
         from candela.llm import jaccard, tokens
 
+        jaccard._start()
         dealer = jaccard._Dealer(parts, TaskContext.get().partitionId(), False)
         for frame in frames:
             for pdf in tokens.slices(frame):
@@ -173,6 +188,7 @@ def _candidates(docs: DataFrame, parts: int, words: int, percent: int) -> DataFr
                     if dealer.add(first, (None if pd.isna(doc) else int(doc), k1, k2, n, xxhash.xxh3_128_digest(own.tobytes()) if n else None)):
                         yield dealer.flush()
         yield dealer.flush()
+        jaccard._end()
 
     def gather(pdf):
         import pandas as pd
@@ -212,10 +228,12 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
         from candela.llm import jaccard, tokens
 
+        jaccard._start()
         for frame in frames:
             for pdf in tokens.slices(frame):
                 own = [jaccard.shingles(x, words) for x in pdf["text"]]
                 yield pd.DataFrame({"c": [xxhash.xxh3_128_digest(x.tobytes()) for x in own], "n": [len(x) for x in own], "tokens": [x.view(np.int64) for x in own]})
+        jaccard._end()
 
     return cut(texts.mapInPandas(build, "c binary, n long, tokens array<bigint>"))
 
@@ -233,6 +251,7 @@ def _postings(texts: DataFrame, parts: int, words: int, percent: int) -> DataFra
 
         from candela.llm import jaccard, tokens
 
+        jaccard._start()
         dealer = jaccard._Dealer(parts, TaskContext.get().partitionId(), True)
         for frame in frames:
             for pdf in tokens.slices(frame):
@@ -241,6 +260,7 @@ def _postings(texts: DataFrame, parts: int, words: int, percent: int) -> DataFra
                     if dealer.add(own, (xxhash.xxh3_128_digest(own.tobytes()),)):
                         yield dealer.flush()
         yield dealer.flush()
+        jaccard._end()
 
     def gather(pdf):
         import pandas as pd
@@ -289,19 +309,21 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame, parts: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links that connect all linked classes: a, b. docs: doc_id, text; rows: as _candidates() gives them."""
     chosen = cut(rows.filter("open").groupBy("c").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("c", "k._k1", "k._k2"))
-    item = F.struct("c", "n", "s", "q")
-    # Blocks of a list by size: a block's sets can only be linked with those of the same or the next one.
+    item = F.struct("c", "n", "s", "q", "home")
+    # Blocks of a list by size: sets are at home in one and visit the next, which is as far as a link can reach.
     step = float(np.log(100 / percent) * 1.0000001) if percent < 100 else 1.0
     size = F.floor(F.log(F.col("n").cast("double")) / step)
     index = _postings(_texts(docs, chosen), parts, words, percent)
-    index = cut(index.select("token", "c", "n", "s", "q", F.explode(F.array(size, size + 1)).alias("block")))
+    at = F.array(F.struct(size.alias("block"), F.lit(True).alias("home")), F.struct((size + 1).alias("block"), F.lit(False).alias("home")))
+    index = cut(index.select("token", "c", "n", "s", "q", F.inline(at)))
     # Sets with postings are fewer by far than those that were counted, so they are made again and not kept from then.
     sets = _sets(_texts(docs, cut(chosen.join(index.select("c").distinct(), "c", "left_semi"))), words)
-    held = index.groupBy("token", "block", F.pmod(F.xxhash64("c"), F.lit(PIVOTS)).alias("g")).agg(F.count("*").alias("k"), F.min(item).alias("pivot"))
-    blocks = cut(held.groupBy("token", "block").agg(F.sum("k").alias("k"), F.collect_list("pivot").alias("pivots")).filter("k > 1"))
+    held = index.groupBy("token", "block", F.pmod(F.xxhash64("c"), F.lit(PIVOTS)).alias("g")).agg(F.count("*").alias("k"), F.max("home").alias("home"), F.min(item).alias("pivot"))
+    blocks = held.groupBy("token", "block").agg(F.sum("k").alias("k"), F.max("home").alias("home"), F.collect_list("pivot").alias("pivots"))
+    blocks = cut(blocks.filter("k > 1 AND home").drop("home"))
     lists = index.join(blocks.filter(F.col("k") <= WHOLE).select("token", "block"), ["token", "block"], "left_semi").groupBy("token", "block").agg(F.collect_list(item).alias("l"))
-    short = lists.select(F.explode(F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (y["c"] > x["c"]) & _may(x, y, percent)), lambda y: F.struct(*_ordered(x, y)))))).alias("p")).select("p.*")
-    long = index.join(blocks.filter(F.col("k") > WHOLE).select("token", "block", "pivots"), ["token", "block"])
+    short = lists.select(F.explode(F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (y["c"] > x["c"]) & (x["home"] | y["home"]) & _may(x, y, percent)), lambda y: F.struct(*_ordered(x, y)))))).alias("p")).select("p.*")
+    long = cut(index.join(blocks.filter(F.col("k") > WHOLE).select("token", "block", "pivots"), ["token", "block"]))
     # A set meets a pivot once, in however many lists they stand together.
     met = F.transform(F.filter("pivots", lambda y: (y["c"] != F.col("c")) & _may(y, item, percent)), lambda y: F.struct(y["c"].alias("c"), y["n"].alias("n")))
     star = long.groupBy("c", "n").agg(F.array_distinct(F.flatten(F.collect_set(met))).alias("met")).select(F.struct("c", "n").alias("x"), F.explode("met").alias("y")).select(*_ordered(F.col("x"), F.col("y")))
@@ -327,7 +349,10 @@ def links(docs: DataFrame, rows: DataFrame, parts: int, words: int = WORDS, perc
     def derive(pdf):
         from candela.llm import jaccard
 
-        return jaccard._derived(pdf, percent)
+        try:
+            return jaccard._derived(pdf, percent)
+        finally:
+            jaccard._end()
 
     more = meet.groupBy("token", "block", "i", "j").applyInPandas(derive, "a binary, b binary").distinct()
     return found.unionByName(cut(more))
@@ -389,7 +414,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     """
     spark = docs.sparkSession
     importable(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // CHARS)
     rows = _candidates(docs, parts, words, percent)
     groups = components(links(docs, rows, parts, words, percent))
     classes = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("first"))

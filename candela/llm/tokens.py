@@ -7,6 +7,8 @@ import struct
 
 import numpy as np
 
+from candela.llm.memory import claim
+
 DEFAULT = "word_bpe_49k.json"
 #: Words that a worker remembers the ids of, in each of two generations.
 KEEP = 900_000
@@ -134,6 +136,7 @@ class Encoder:
 
 def encoder(file: str) -> Encoder:
     """One for each worker and file; workers serve many tasks."""
+    claim("tokens", _LOADED.clear)
     if file not in _LOADED:
         _LOADED[file] = Encoder(file)
     return _LOADED[file]
