@@ -38,8 +38,8 @@ class Router:
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """Each row's k nearest others, in blocks."""
     norms, out = (x * x).sum(axis=1), []
-    for at in range(0, len(x), 1024):
-        d = norms[None, :] - 2 * x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        d = norms[None, :] - 2 * x[at : at + 256] @ x.T
         d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
         out.append(np.argpartition(d, min(k, len(x) - 1) - 1, axis=1)[:, :k])
     return np.concatenate(out)
