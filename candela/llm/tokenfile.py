@@ -34,7 +34,7 @@ END = 1
 #: Ids in a block, rounds of replacement, pairs that a round replaces, uses that a rule needs.
 BLOCK, ROUNDS, PAIRS, LEAST = 1_000_000, 2, 8000, 8
 #: Bits of a slot in which pairs are counted.
-SLOTS = 20
+SLOTS = 19
 SCHEMA = "part int, block int, base int, doc_ids array<bigint>, n_tokens array<bigint>, at array<bigint>, symbols binary, rules binary, lengths binary"
 
 
