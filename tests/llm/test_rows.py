@@ -58,6 +58,18 @@ def test_quality_rejects_what_is_unlike_its_language(spark):
     assert quality.assess(t.limit(0)).count() == 0 and quality.keep_good(t.limit(0)).count() == 0
 
 
+def test_quality_rejects_both_kinds_of_symbols(spark):
+    rng = random.Random(12)
+    often, rare = ("the", "of", "and", "to", "in", "is"), [f"{a}{b}{c}on" for a in "bcdfghklmnprst" for b in "aeiou" for c in "bcdfghklmnprst"]
+    clean = lambda n: [rng.choice(often) if rng.random() < 0.3 else rng.choice(rare) for _ in range(n)]
+    texts = [" ".join(clean(300)) for _ in range(60)] + [" | ".join(rng.choice(rare) for _ in range(150)) for _ in range(3)] + [" ".join(f"{w}$$$" for w in clean(300)) for _ in range(3)]
+    rows = {r["doc_id"]: r for r in quality.assess(docs(spark, texts)).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert all(rows[i]["char_distance"] < 0.25 < 0.5 > rows[i]["word_distance"] for i in range(60, 63))  # only the rule for words finds them
+    assert [i for i in range(66) if rows[i]["kept"]] == list(range(60))
+    assert {r["doc_id"] for r in quality.keep_good(docs(spark, texts)).collect()} == set(range(60))
+
+
 def dedup_by_hand(rows):
     """rows: (doc_id, text); the first of equal windows stays."""
     seen, out = set(), {}
