@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.constants import FEATURES, K, SEED
+from candela.constants import FEATURES, K, ROUNDS, SEED
 from candela.functions.text import contains_phrase, normalize_text, token_overlap, tokenize, has_digit, add_product_text, clean_text  # noqa: F401
 from candela.operators import compare, contracts, diagnostics, features, joins, lexical, ranking, split
 from candela.sources.adapters import CANDIDATES, LONG_TEXTS, PRODUCTS, VECTORS, candidates, products, select
@@ -547,7 +547,7 @@ def ltr_train_score(spark, sf_dir):
     from candela.operators.ltr import Ranker
 
     train, validation = _sides(spark, sf_dir)
-    return ranking.rank_scored(Ranker(rounds=5).fit(train).transform(validation), "xgb_score").select("example_id", "query_id", "xgb_score", "predicted_rank")
+    return ranking.rank_scored(Ranker(rounds=ROUNDS).fit(train).transform(validation), "xgb_score").select("example_id", "query_id", "xgb_score", "predicted_rank")
 
 
 @query()
@@ -555,15 +555,15 @@ def gain_importance(spark, sf_dir):
     from candela.operators.ltr import Ranker
 
     train, _ = _sides(spark, sf_dir)
-    return spark.createDataFrame(Ranker(rounds=5).fit(train).importance(), "feature string, gain double, normalized_gain double, rank int")
+    return spark.createDataFrame(Ranker(rounds=ROUNDS).fit(train).importance(), "feature string, gain double, normalized_gain double, rank int")
 
 
 @query()
 def ablation(spark, sf_dir):
-    from candela.operators.ltr import ABLATIONS, ablation
+    from candela.operators.ltr import ablation
 
     train, validation = _sides(spark, sf_dir)
-    return spark.createDataFrame(ablation(train, validation, {k: ABLATIONS[k] for k in ("full", "lexical_scores")}, rounds=3), "name string, n_features int, ndcg double, recall double, mrr double")
+    return spark.createDataFrame(ablation(train, validation, rounds=ROUNDS), "name string, n_features int, ndcg double, recall double, mrr double")
 
 
 @query()
@@ -575,5 +575,5 @@ def rank_random(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    r = compare.bootstrap_mean(deltas(spark, sf_dir), "diff", 500, method="poisson")
+    r = compare.bootstrap_mean(deltas(spark, sf_dir), "diff", method="poisson")
     return spark.createDataFrame([(r["mean"], r["ci_low"], r["ci_high"], r["n"])], "mean double, ci_low double, ci_high double, n long")

@@ -5,6 +5,8 @@ import os
 import duckdb
 import pytest
 
+from candela.constants import REPLICATES
+from candela.operators import compare, ltr
 from candela.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +41,22 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
 def test_runs(spark, name):
     assert Q.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_learning_queries_are_whole_jobs(spark, monkeypatch):
+    fits, drawn, draw = [], [], compare.bootstrap_mean
+
+    class Short(ltr.Ranker):
+        def fit(self, train, validation=None):
+            fits.append((self.features, self.rounds))
+            self.rounds = 1
+            return super().fit(train, validation)
+
+    monkeypatch.setattr(ltr, "Ranker", Short)
+    monkeypatch.setattr(compare, "bootstrap_mean", lambda *a, **b: drawn.append(draw(*a, **b)) or drawn[-1])
+    assert [(r["name"], r["n_features"]) for r in Q.QUERIES["ablation"](spark, DATA).collect()] == [(k, len(v)) for k, v in ltr.ABLATIONS.items()]
+    assert fits == [(v, 200) for v in ltr.ABLATIONS.values()]
+    for name in ("ltr_train_score", "gain_importance"):
+        assert Q.QUERIES[name](spark, DATA).count() > 0
+    assert fits[6:] == [(ltr.FEATURES, 200)] * 2
+    assert Q.QUERIES["bootstrap_ci"](spark, DATA).count() == 1 and drawn[0]["n_replicates"] == REPLICATES == 2000
