@@ -108,12 +108,13 @@ def wide_metrics(tables: dict[str, DataFrame], metrics: list[str]) -> DataFrame:
     return out
 
 
-def outer_examples(tables: dict[str, DataFrame], key: str = "example_id") -> DataFrame:
-    """Candidates of one query under several rankings, full outer by key: {model}_score, {model}_rank."""
+def outer_examples(tables: dict[str, DataFrame], key: str | list[str] = "example_id") -> DataFrame:
+    """Candidates under several rankings, full outer by key (of many queries: query_id and example_id): {model}_score, {model}_rank."""
+    keys = [key] if isinstance(key, str) else key
     out = None
     for model, t in tables.items():
-        own = t.select(key, F.col("score").alias(f"{model}_score"), F.col("predicted_rank").alias(f"{model}_rank"))
-        out = own if out is None else out.join(own, key, "full_outer")
+        own = t.select(*keys, F.col("score").alias(f"{model}_score"), F.col("predicted_rank").alias(f"{model}_rank"))
+        out = own if out is None else out.join(own, keys, "full_outer")
     return out
 
 

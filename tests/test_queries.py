@@ -60,3 +60,12 @@ def test_learning_queries_are_whole_jobs(spark, monkeypatch):
         assert Q.QUERIES[name](spark, DATA).count() > 0
     assert fits[6:] == [(ltr.FEATURES, 200)] * 2
     assert Q.QUERIES["bootstrap_ci"](spark, DATA).count() == 1 and drawn[0]["n_replicates"] == REPLICATES == 2000
+
+
+def test_outer_merge_has_all_queries_and_models(spark):
+    want = {(r["query_id"], r["example_id"]) for r in Q.candidates(spark, DATA).select("query_id", "example_id").collect()}
+    rows = Q.QUERIES["example_outer_merge_all"](spark, DATA).collect()
+    assert len({q for q, _ in want}) > 1 and len(rows) == len(want) and {(r["query_id"], r["example_id"]) for r in rows} == want
+    sizes = {q: sum(q == x for x, _ in want) for q in {q for q, _ in want}}
+    for m in ("bm25", "tfidf", "random"):
+        assert max(sizes.values()) > 10 and {q: max(r[f"{m}_rank"] for r in rows if r["query_id"] == q) for q in sizes} == sizes
