@@ -405,7 +405,7 @@ def _derived(pdf, percent: int):
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Every row's set size and component: doc_id, n_shingles, component_id, class (16 bytes, null without words).
+    """Every row's set size and component: doc_id, n_shingles, component_id, class (16 bytes) and root (a class that names the component), both null without words.
 
     docs: doc_id, text. Rows whose sets have 100 * shared >= percent * united are linked;
     component_id is the smallest doc_id that links reach. Rows with equal sets are one class and cost one set. A row
@@ -421,18 +421,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     classes = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("first"))
     classes = classes.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.select("c", "root").join(first, "root").select("c", "component_id")
-    full = rows.filter("c IS NOT NULL").join(named, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class"), "_k1", "_k2")
-    empty = rows.filter("c IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("c").alias("class"), "_k1", "_k2")
+    named = classes.select("c", "root").join(first, "root").select("c", "root", "component_id")
+    full = rows.filter("c IS NOT NULL").join(named, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class"), "root", "_k1", "_k2")
+    empty = rows.filter("c IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("c").alias("class"), F.col("c").alias("root"), "_k1", "_k2")
     return full.unionByName(empty)
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id, and of these the one with the least row key."""
+    """docs with one row of each component: that of its smallest doc_id (null last), of these the one with the least row key, and one of rows equal in doc_id and text.
+
+    Rows without words all stay.
+    """
     rows = cut(join(docs.select("doc_id", "text"), words, percent))
-    group = F.when(F.col("class").isNotNull(), F.col("component_id"))
-    linked = rows.filter(F.col("class").isNotNull() & (F.col("doc_id") == F.col("component_id")))
-    kept = linked.groupBy("component_id").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k._k1", "k._k2")
-    alone = rows.filter(F.col("class").isNull() | group.isNull()).select("_k1", "_k2")
-    keys = kept.unionByName(alone).distinct()
-    return whole(docs, *row_keys("doc_id", "text")).join(keys, ["_k1", "_k2"], "left_semi").select("_row.*")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
+    kept = rows.filter("class IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k._k1", "k._k2", F.lit(True).alias("_one"))
+    alone = rows.filter("class IS NULL").select("_k1", "_k2", F.lit(False).alias("_one")).distinct()
+    t = whole(docs, *row_keys("doc_id", "text")).join(kept.unionByName(alone), ["_k1", "_k2"])
+    t = t.withColumn("_n", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")))
+    return t.filter(~F.col("_one") | (F.col("_n") == 1)).select("_row.*")

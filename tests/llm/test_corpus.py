@@ -100,6 +100,17 @@ def test_jaccard_against_all_pairs(spark, copies, monkeypatch):
     assert again.count() == kept.count()
 
 
+def test_keep_first_keeps_one_of_equal_rows_and_of_null_ids(spark):
+    rng = random.Random(13)
+    a, b, c = (" ".join(f"w{rng.randrange(999)}" for _ in range(40)) for _ in range(3))
+    rows = [(5, a), (5, a), (5, a), (7, a + " x"), (None, b), (None, b), (None, b + " x"), (None, c), (3, c + " x"), (4, ""), (4, ""), (None, None)]
+    kept = jaccard.keep_first(docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept), key=repr)
+    of_b = [r for r in got if r[1] and r[1].startswith(b)]
+    assert len(of_b) == 1 and of_b[0][0] is None
+    assert [r for r in got if r not in of_b] == sorted([(5, a), (3, c + " x"), (4, ""), (4, ""), (None, None)], key=repr)
+
+
 def test_encoder_is_the_tokenizers(monkeypatch):
     from tokenizers import Tokenizer
 
