@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candela.llm import langid, linededup, mixing, quality, secrets, urls
-from candela.llm.automaton import Automaton
+from candela.llm.automaton import Automaton, Spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _k1 string, n_words string, kept string, part string"
@@ -105,7 +105,8 @@ def test_line_dedup(spark):
 
 def secrets_by_hand(text):
     found = []
-    for k, (name, (pattern, _, test)) in enumerate(secrets.RULES.items()):
+    tests = (lambda m: len(m[2]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24, lambda m: len(m[0]) >= 40, lambda m: len(m[0]) >= 15, lambda m: True)
+    for k, ((name, (pattern, _)), test) in enumerate(zip(secrets.RULES.items(), tests, strict=True)):
         found += [(m.start(), k, m.end(), name) for m in re.finditer(pattern.decode(), text or "", re.A) if test(m)]
     return sorted(found)
 
@@ -131,9 +132,40 @@ def test_automaton_is_minimal_and_exact():
     assert same[0].states == same[1].states <= same[0].built
     texts = [bytes(rng.choice(b"abcxyz019hHiI,\n") for _ in range(rng.randint(0, 40))) for _ in range(500)]
     for lane in (3, 4096):
-        for text, bits in zip(texts, a.scan(texts, lane).tolist(), strict=True):
-            assert bits == sum(1 << k for k, p in enumerate(patterns) if re.search(p, text))
-    assert a.scan([]).tolist() == []
+        for text, found in zip(texts, a.scan(texts, lane), strict=True):
+            assert found == {k for k, p in enumerate(patterns) if re.search(p, text)}
+    assert a.scan([]) == [] == a.hits([b"", b""])
+
+
+def test_automaton_of_very_many_rules():
+    rng, names = random.Random(51), [bytes(f"k{i:02d}x", "ascii") for i in range(80)]
+    a = Automaton([n + rb"[a-c]{3,}" for n in names])
+    for i, n in enumerate(names):
+        assert a.scan([b"xx " + n + b"abcab", b"xx " + n + b"ab"]) == [{i}, set()]
+    both = b"".join(rng.choice(names) + b"aaaa " for _ in range(60))
+    assert a.scan([both]) == [{i for i, n in enumerate(names) if n in both}]
+
+
+def test_automaton_without_resets():
+    """Lanes within runs that no byte resets begin in the right state."""
+    rng, patterns = random.Random(52), [rb"ab+c", rb"[xy]{5,}z", rb"q[a-z]*!"]
+    a = Automaton(patterns)
+    texts = [bytes(rng.choice(b"abbcxyz!q") for _ in range(rng.randint(0, 900))) for _ in range(60)] + [b"q" + b"a" * 3000 + b"!", b"q" + b"a" * 3000]
+    for text, found in zip(texts, a.scan(texts, 16), strict=True):
+        assert found == {k for k, p in enumerate(patterns) if re.search(p, text)}
+    for k, p in enumerate(patterns):
+        for text in texts:
+            assert Spans(p).find(text) == [m.span() for m in re.finditer(p, text)], (k, text)
+
+
+def test_secrets_of_long_runs():
+    import time
+
+    known = secrets.compiled(secrets.RULES)
+    for text, want in ((b"a" * 10_000_000, [(0, 2, 10_000_000)]), (b"QUFB" * 2_500_000, []), (b"token=" + b"Zz09+/" * 1_600_000, [(0, 0, 9_600_006)])):
+        began = time.time()
+        assert known.spans([text]).get(0, []) == want
+        assert time.time() - began < 30
 
 
 def test_language(spark):
