@@ -83,7 +83,7 @@ WITH parsed AS (
   SELECT k, page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parsed
 ), listed(h, f, v, is_rule) AS (
   VALUES ('com', '/en/', 'block', true), ('example.com', '/en/7', 'allow', true), ('net', '/de/', 'allow', true), ('example.net', '/de/8', 'block', true), ('org', '/es/', 'block', true),
-    ('cheap-pills.example.com', '/', 'block', false), ('spam-farm.example.org', '/', 'block', false)
+    ('adult-x.example.net', '/', 'block', false), ('casino-win.example.com', '/', 'block', false), ('cheap-pills.example.com', '/', 'block', false), ('spam-farm.example.com', '/', 'block', false)
 ), hits AS (
   SELECT k, h || f AS u, v, is_rule, row_number() OVER (PARTITION BY k, is_rule ORDER BY len(h || f) DESC, len(f) DESC, h || f DESC) AS n
   FROM p JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f)

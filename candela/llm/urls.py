@@ -10,12 +10,12 @@ from candela.llm.common import importable, row_keys
 
 #: (host, path, verdict) of the rules.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Hosts' canonical root URLs that are blocked where no rule fits.
-LISTED = ("cheap-pills.example.com/", "spam-farm.example.org/")
+#: Canonical URLs that are blocked, with what they are the beginning of, where no rule fits. The list is the query's own; judge() takes any.
+LISTED = ("adult-x.example.net/", "casino-win.example.com/", "cheap-pills.example.com/", "spam-farm.example.com/")
 #: Bits for each listed URL; words of 64 bits in a block; bits set in a block for a URL; most blocks (64 bytes each).
 BITS, WORDS, TESTS, MOST_BLOCKS = 16, 8, 6, 1 << 17
-#: Different lengths of listed paths, beyond which the list is refused.
-MOST_LENGTHS = 4096
+#: Characters of a listed path that are looked up; what is longer is compared after the join.
+HEAD = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -91,25 +91,29 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     where no rule fits; what nothing fits is allowed. Each URL's possible entries are its host's suffixes
     with its path cut to the lengths that the list has; those that pass the Bloom filter are joined with the list exactly.
 
+    A URL's possible entries have as many labels and as long a path as some entry of the list, so that very long hosts and paths
+    cost what their own length does; a list may have entries of any number and length.
+
     Null URLs and those without :// have an empty host and path and are allowed; repeated rows are judged
-    each; empty tables give no row. An entry given twice counts once, as block if both are there.
+    each; empty tables give no row. An entry given twice counts once, as block if both are there; an entry without host fits nothing.
     """
     pages = pages.select("page_id", "url")
-    listed = listed.groupBy("rule_host", "rule_path", "is_rule").agg(F.max("verdict").alias("_verdict"))
-    lengths = sorted(r[0] for r in listed.select(F.length("rule_path")).distinct().limit(MOST_LENGTHS + 1).collect())
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"listed paths have over {MOST_LENGTHS} lengths")
+    listed = listed.filter("rule_host <> '' AND rule_path IS NOT NULL").groupBy("rule_host", "rule_path", "is_rule").agg(F.max("verdict").alias("_verdict"))
+    listed = listed.withColumn("_head", F.substring("rule_path", 1, HEAD))
+    shapes = listed.select(F.size(F.split("rule_host", r"\.", -1)).alias("labels"), F.length("_head").alias("long"))
+    lengths, labels = (sorted(r[0] for r in shapes.select(c).distinct().collect()) for c in ("long", "labels"))
     parsed = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not lengths:
         return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("listed_url"))
-    bloom = BlockedBloom(listed.select(*_hashes("rule_host", "rule_path")))
-    labels = F.split("host", r"\.", -1)
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    bloom = BlockedBloom(listed.select(*_hashes("rule_host", "_head")))
+    # A host has as many labels as dots, and one more.
+    own = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    tails = F.transform(F.filter(F.array(*map(F.lit, labels)), lambda n: n <= F.col("_labels")), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     heads = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    tried = parsed.filter("host <> ''").select(*row_keys("page_id", "url"), F.explode(tails).alias("rule_host"), heads.alias("heads"))
-    tried = tried.select("_k1", "_k2", "rule_host", F.explode("heads").alias("rule_path"))
-    tried = bloom.filter(tried.select("*", *_hashes("rule_host", "rule_path"))).drop("_h1", "_h2")
-    hits = tried.join(listed, ["rule_host", "rule_path"])
+    tried = parsed.filter("host <> ''").withColumn("_labels", own).select(*row_keys("page_id", "url"), "path", F.explode(tails).alias("rule_host"), heads.alias("heads"))
+    tried = tried.select("_k1", "_k2", "path", "rule_host", F.explode("heads").alias("_head"))
+    tried = bloom.filter(tried.select("*", *_hashes("rule_host", "_head"))).drop("_h1", "_h2")
+    hits = tried.join(listed, ["rule_host", "_head"]).filter(F.startswith("path", "rule_path"))
     url = F.concat("rule_host", "rule_path")
     rank = F.struct(F.length(url).alias("a"), F.length("rule_path").alias("b"), url.alias("url"), F.col("_verdict").alias("v"))
     best = hits.groupBy("_k1", "_k2").agg(F.max(F.when(F.col("is_rule"), rank)).alias("rule"), F.max(F.when(~F.col("is_rule"), rank)).alias("plain"))

@@ -189,6 +189,35 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(t.limit(2).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_very_many(spark):
+    rng, letters = random.Random(61), "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02d}": ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(40)] for i in range(70)}
+    made = [(lang, " ".join(rng.choice(own) for _ in range(80))) for lang, own in words.items() for _ in range(12)]
+    t = docs(spark, [x for _, x in made], [lang for lang, _ in made])
+    held = {r["doc_id"]: r["lang_pred"] for r in langid.identify(t).filter("held_out").collect()}
+    assert len({made[i][0] for i in held}) > 60 and sum(made[i][0] == x for i, x in held.items()) >= 0.95 * len(held)
+
+
+def test_language_by_hand(spark):
+    """Sizes from zstandard itself, of the dictionaries as they are."""
+    import zstandard
+
+    rng = random.Random(62)
+    texts = [prose(rng, rng.randint(5, 600)) if i % 2 else " ".join(rng.choice(["zu", "wa", "kimo", "tare"]) for _ in range(rng.randint(5, 600))) for i in range(60)]
+    t = docs(spark, texts, ["en" if i % 2 else "xx" for i in range(60)])
+    known = langid.dictionaries(t)
+    assert set(known) == {"en", "xx"}
+    got = {r["doc_id"]: r for r in langid.identify(t).collect()}
+    for i, text in enumerate(texts):
+        data, sizes = re.sub(r"[\W\d_]+", " ", text.lower()).encode(), {}
+        for lang, raw in known.items():
+            c = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(data[k : k + 1024])) for k in range(0, len(data), 1024))
+        assert got[i]["lang_pred"] == min(known, key=sizes.get)
+        low, high = sorted(sizes.values())
+        assert got[i]["gain"] == pytest.approx((high - low) / high) and got[i]["reliable"] == ((high - low) / high >= 0.02)
+
+
 def judge_by_hand(url, rules, listed):
     if url is None or "://" not in url:
         return "", "", None, "allow"
@@ -205,7 +234,7 @@ def judge_by_hand(url, rules, listed):
 
 def test_urls(spark):
     rng = random.Random(7)
-    hosts = ["example.com", "EXAMPLE.net", "a.b.example.org", "notexample.com", "com", "", "spam-farm.example.org", "x..com", "café.com", "example.com:80"]
+    hosts = ["example.com", "EXAMPLE.net", "a.b.example.org", "notexample.com", "com", "", "spam-farm.example.com", "sub.adult-x.example.net", "x..com", "café.com", "example.com:80"]
     made = [None, "", "no scheme/en/", "http://", "a://b://com/en/"] + [f"https://{rng.choice(hosts)}{rng.choice(['', '/', '/en/7', '/en/72?q=/de/', '/de/8#x', '/EN/', '/es/1', '?x', '/en'])}" for _ in range(200)]
     rows = [(i if i % 50 else None, u, "x", "y") for i, u in enumerate(made)] + [(1, made[1], "x", "y")] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
@@ -216,6 +245,15 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge(pages, urls.rules_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_urls_of_long_hosts_paths_and_lists(spark):
+    deep, far = ".".join(["a"] * 16_000), "/" + "p" * 9000
+    rules = (("org", far, "block"), ("org", far + "q", "allow"), ("a.b.c.d.e.com", "/", "block"), (deep + ".net", "/", "block"), *(("many.com", "/" + "x" * i, "block") for i in range(1, 200, 2)))
+    made = [f"http://{deep}.com/en/1", f"http://{deep}.net/x", f"http://x.org{far}q1", f"http://org{far}", f"http://org{far[:-1]}", "http://z.a.b.c.d.e.com/", "http://b.c.d.e.com/", "http://many.com/" + "x" * 150 + "y", "http://q.com/" + "z" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages, urls.rules_table(spark, rules, ())).collect()}
+    assert got == {i: judge_by_hand(u, rules, ()) for i, u in enumerate(made)}
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("_h1"), F.xxhash64("id", F.lit(1)).alias("_h2"))
     bloom = urls.BlockedBloom(keys)
