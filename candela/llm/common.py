@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.plans.lineage import cut  # noqa: F401
+from candela.plans.lineage import cut, fresh_path, written  # noqa: F401
 from candela.session import importable  # noqa: F401
 
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.

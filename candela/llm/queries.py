@@ -55,6 +55,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_best_fit, op4_url_filter, op5_nearest, op6_language, op7_line_dedup, op8_token_file, op9_quality, op10_secrets)}
 
+#: Distances from a table of references, and whether they are too far.
+_FAR = f"""SELECT *, chars >= {quality.LEAST_CHARS} AND c > {quality.FAR_CHARS} OR n_words >= {quality.LEAST_WORDS} AND o > {quality.FAR_WORDS} AS odd FROM (
+    SELECT *, coalesce(sqrt(greatest(0, list_sum(d[1:{len(quality.CLASSES)}]))), 0) AS c, coalesce(sqrt(greatest(0, list_sum(d[{len(quality.CLASSES) + 1}:]))), 0) AS o FROM (
+      SELECT b.*, list_transform(list_zip(p, m.v), lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2) AS d
+      FROM based b LEFT JOIN {{}} m ON b.key = m.key))"""
+
 SQL = {
     "op1_mix": r"""
 WITH sized AS (
@@ -109,38 +115,43 @@ SELECT doc_id, CASE WHEN places IS NULL THEN text ELSE array_to_string([l[i + 1]
 """,
     "op9_quality": rf"""
 WITH docs AS (
-  SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  SELECT row_number() OVER () AS k, doc_id, lang, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '{quality.MARKS}', '', 'g'), '[^\x20\x09-\x0D]+') AS bare,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), langs AS (
+  SELECT lang FROM docs WHERE text IS NOT NULL AND lang <> '' GROUP BY lang HAVING count(*) >= {quality.LEAST_DOCS}
+), keyed AS (
+  SELECT d.*, coalesce(g.lang, '') AS key FROM docs d LEFT JOIN langs g ON d.lang = g.lang
+), frequent AS (
+  SELECT key, word, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, word) AS place FROM (SELECT key, unnest(list_distinct(bare)) AS word FROM keyed WHERE text IS NOT NULL) WHERE regexp_matches(word, '\p{{L}}') GROUP BY key, word
+), lists AS (
+  SELECT key, list(word ORDER BY place) AS listed FROM frequent WHERE place <= {quality.COMMON} GROUP BY key
 ), windows AS (
   SELECT k, i0, count(*) OVER (PARTITION BY k, w[i0], w[i0 + 1], w[i0 + 2]) AS n FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i0 FROM docs)
 ), repeated AS (
   SELECT k, count(DISTINCT i0 + j) AS n FROM windows, unnest([0, 1, 2]) AS u(j) WHERE n > 1 GROUP BY k
+), held AS (
+  SELECT d.*, coalesce(f.listed, []) AS listed FROM keyed d LEFT JOIN lists f ON d.key = f.key
 ), counted AS (
-  SELECT k, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  SELECT k, doc_id, key, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
     length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS blank, length(t) - length(regexp_replace(t, '[a-z]+', '', 'g')) AS lower_, length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS upper_,
     length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) AS digit, length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS letters, length(t) AS chars,
-    [{", ".join(f"len(list_filter(w, lambda x: x = '{x}'))" for x in quality.WORDS)}] AS common
-  FROM docs LEFT JOIN repeated r USING (k)
+    [len(list_filter(bare, lambda x: x = listed[i])) FOR i IN range(1, {quality.COMMON + 1})] AS common
+  FROM held LEFT JOIN repeated r USING (k)
 ), based AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    list_transform([blank, lower_, upper_, digit, letters - lower_ - upper_, chars - blank - letters - digit], lambda x: x / greatest(chars, 1)) AS p,
-    list_transform(list_append(common, n_words - list_sum(common)), lambda x: x / greatest(n_words, 1)) AS q FROM counted
-), good AS (
-  SELECT coalesce(lang, '') AS lang, unnest(list_concat(p, q)) AS x, unnest(range(len(p) + len(q))) AS i0 FROM based WHERE NOT base_failed
-), listed AS (
-  SELECT lang FROM good WHERE i0 = 0 GROUP BY lang HAVING count(*) >= {quality.LEAST_DOCS}
-), refs AS (
-  SELECT ref, list(x ORDER BY i0) AS v FROM (
-    SELECT CASE WHEN lang IN (FROM listed) THEN lang ELSE '' END AS ref, i0, avg(x) AS x FROM good GROUP BY ALL HAVING ref <> '' UNION ALL SELECT '', i0, avg(x) FROM good GROUP BY i0) GROUP BY ref
-), held AS (
-  SELECT b.*, coalesce(r.v, a.v) AS v FROM based b LEFT JOIN refs r ON r.ref = coalesce(b.lang, '') AND r.ref <> '' LEFT JOIN refs a ON a.ref = ''
-), parts AS (
-  SELECT *, list_transform(list_zip(list_concat(p, q), v), lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2) AS d FROM held
-), far AS (
-  SELECT *, coalesce(sqrt(greatest(0, list_sum(d[1:{len(quality.CLASSES)}]))), 0) AS c, coalesce(sqrt(greatest(0, list_sum(d[{len(quality.CLASSES) + 1}:]))), 0) AS o FROM parts
+    list_concat(list_transform([blank, lower_, upper_, digit, letters - lower_ - upper_, chars - blank - letters - digit], lambda x: x / greatest(chars, 1)),
+      list_transform(list_append(common, greatest(n_words - list_sum(common), 0)), lambda x: x / greatest(n_words, 1))) AS p FROM counted
+), mean1 AS (
+  SELECT key, list(x ORDER BY i0) AS v FROM (SELECT key, i0, avg(x) AS x FROM (SELECT key, unnest(p) AS x, unnest(range(len(p))) AS i0 FROM based WHERE NOT base_failed) GROUP BY key, i0 HAVING count(*) >= {quality.LEAST_DOCS}) GROUP BY key
+), far1 AS (
+  {_FAR.format("mean1")}
+), mean2 AS (
+  SELECT key, list(x ORDER BY i0) AS v FROM (SELECT key, i0, avg(x) AS x FROM (SELECT key, unnest(p) AS x, unnest(range(len(p))) AS i0 FROM far1 WHERE NOT base_failed AND NOT odd) GROUP BY key, i0 HAVING count(*) >= {quality.LEAST_DOCS}) GROUP BY key
+), far2 AS (
+  {_FAR.format("mean2")}
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (chars >= {quality.LEAST_CHARS} AND c > {quality.FAR_CHARS} OR n_words >= {quality.LEAST_WORDS} AND o > {quality.FAR_WORDS}) AS kept, round(c, 6) AS char_distance, round(o, 6) AS word_distance FROM far
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT odd AS kept, round(c, 6) AS char_distance, round(o, 6) AS word_distance FROM far2
 """,
 }

@@ -18,8 +18,6 @@ expanding what stands before it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from candela.llm import tokens
-from candela.llm.common import importable
+from candela.llm.common import fresh_path, importable  # noqa: F401
 
 END = 1
 #: Ids in a block, rounds of replacement, pairs that a round replaces, uses that a rule needs.
@@ -176,8 +174,3 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     rows = stored.mapInPandas(run, "part int, block int, doc_id long, _in long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
     out = rows.join(blocks, ["part", "block"])
     return out.select("doc_id", (F.col("_in") + F.col("_block") + F.col("_part")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path where spark.checkpoint.dir says that driver and executors share files."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='candela-')}/{name}-{uuid.uuid4().hex}"

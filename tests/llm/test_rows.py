@@ -62,14 +62,38 @@ def test_quality_rejects_both_kinds_of_symbols(spark):
     rng = random.Random(12)
     often, rare = ("the", "of", "and", "to", "in", "is"), [f"{a}{b}{c}on" for a in "bcdfghklmnprst" for b in "aeiou" for c in "bcdfghklmnprst"]
     clean = lambda n: [rng.choice(often) if rng.random() < 0.3 else rng.choice(rare) for _ in range(n)]
-    texts = [" ".join(clean(300)) for _ in range(60)] + [" | ".join(rng.choice(rare) for _ in range(150)) for _ in range(3)] + [" ".join(f"{w}$$$" for w in clean(300)) for _ in range(3)]
+    texts = [" ".join(clean(300)) for _ in range(60)] + [" | ".join(f"{rng.choice(rare)} {rng.choice(rare)}" for _ in range(75)) for _ in range(3)] + [" ".join(f"{w}$$$" for w in clean(300)) for _ in range(3)]
     rows = {r["doc_id"]: r for r in quality.assess(docs(spark, texts)).collect()}
     assert not any(r["base_failed"] for r in rows.values())
-    assert all(rows[i]["char_distance"] < 0.25 < 0.5 > rows[i]["word_distance"] for i in range(60, 63))  # only the rule for words finds them
+    assert all(rows[i]["char_distance"] < 0.25 and rows[i]["word_distance"] > quality.FAR_WORDS for i in range(60, 63))  # only the rule for words finds them
     assert [i for i in range(66) if rows[i]["kept"]] == list(range(60))
     assert {r["doc_id"] for r in quality.keep_good(docs(spark, texts)).collect()} == set(range(60))
 
 
+def test_quality_of_very_many_languages(spark, monkeypatch):
+    """Each language has its own words and reference, whether they are broadcast or joined; rare ones and null are one pool."""
+    rng, letters = random.Random(71), "abcdefghijklmnopqrstuvwxyz"
+    made, odd = [], set()
+    for i in range(60):
+        own = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(30)]
+        others = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(600)]
+        for k in range(21):
+            words = [rng.choice(others if k == 20 or rng.random() < 0.3 else own) for _ in range(130)]
+            if k == 20:
+                odd.add(len(made))
+            made.append((f"l{i}", " ".join(words)))
+    rare = [("rare", prose(rng, 200)), (None, prose(rng, 200))]
+    t = docs(spark, [x for _, x in made + rare], [x for x, _ in made + rare])
+    want = None
+    for few in (20_000, 5):
+        monkeypatch.setattr(quality, "FEW_LANGS", few)
+        got = sorted((r["doc_id"], r["kept"], r["char_distance"], r["word_distance"]) for r in quality.assess(t).collect())
+        assert {i for i, kept, *_ in got if not kept} == odd
+        assert [r[2:] for r in got[-2:]] == [(0, 0), (0, 0)]
+        want = want or got
+        assert got == want
+
+
 def dedup_by_hand(rows):
     """rows: (doc_id, text); the first of equal windows stays."""
     seen, out = set(), {}
