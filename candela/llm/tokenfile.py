@@ -1,19 +1,21 @@
-"""Token-id shards: a grammar-compressed file format with its writer and reader.
+"""Token-id shards: a grammar-compressed file format with its writer and readers.
 
 A dataset is a Parquet folder whose rows are blocks of consecutive documents in ascending
 doc_id order. Columns:
 
-  part, block      place of the block: parts in order, then blocks in order
-  doc_ids          the documents' ids
-  n_tokens         each document's ids, in number
-  at               each document's first symbol in `symbols`
-  symbols          16-bit symbols of all documents, one after another
-  rules            pairs of 16-bit symbols; rule k makes symbol `base` + k, of earlier symbols
-  lengths          32-bit number of ids that each rule expands to
-  base             number of plain ids; symbols below it stand for themselves
+  part, block          place of the block: parts in order, then blocks in order
+  first_id, last_id    the least and the largest doc_id in it, null if all are null
+  doc_ids              the documents' ids
+  n_tokens             each document's ids, in number
+  at                   each document's first symbol in `symbols`
+  width                bytes of a symbol, 2 or 4
+  symbols              little-endian symbols of all documents, one after another
+  rules                pairs of symbols; rule k makes symbol `base` + k, of earlier symbols
+  lengths              32-bit number of ids that each rule expands to
+  base                 number of plain ids; symbols below it stand for themselves
 
 No symbol spans two documents. `lengths` tell where any id of a document is without
-expanding what stands before it.
+expanding what stands before it: see ids_at().
 """
 
 from __future__ import annotations
@@ -29,59 +31,96 @@ from candela.llm import tokens
 from candela.llm.common import fresh_path, importable  # noqa: F401
 
 END = 1
-#: Ids in a block, rounds of replacement, pairs that a round replaces, uses that a rule needs.
-BLOCK, ROUNDS, PAIRS, LEAST = 1_000_000, 2, 8000, 8
-#: Bits of a slot in which pairs are counted.
-SLOTS = 19
-SCHEMA = "part int, block int, base int, doc_ids array<bigint>, n_tokens array<bigint>, at array<bigint>, symbols binary, rules binary, lengths binary"
+#: Ids in a block; uses that a rule needs; a round replaces pairs that stand at least 1/SHARE as often as the most frequent one.
+BLOCK, LEAST, SHARE = 1_000_000, 8, 4
+#: Symbols of two bytes, and plain ids beyond which symbols have four.
+TWO, MOST_PLAIN = 1 << 16, 60_000
+SCHEMA = "part int, block int, first_id long, last_id long, width int, base int, doc_ids array<bigint>, n_tokens array<bigint>, at array<bigint>, symbols binary, rules binary, lengths binary"
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
+def width_of(base: int) -> int:
+    return 2 if base <= MOST_PLAIN else 4
+
+
+def pair_counts(seq: np.ndarray, ends: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every different pair of neighbours, as left << shift | right in ascending order, and how often it stands there; none begins at a document's end."""
+    kind = np.uint32 if shift == 16 else np.uint64
+    keys = ((seq[:-1].astype(kind) << kind(shift)) | seq[1:])[~ends[:-1]]
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, share: int = SHARE):
     """Re-Pair: (symbols, rules, lengths, each document's first symbol).
 
-    ids: plain ids; last: where a document ends. Each round counts all pairs of neighbours and replaces the
-    most frequent ones by new symbols, from the left, then counts again over what is left.
-    A pair that begins at a document's end is none.
+    ids: plain ids under base; last: where a document ends. Each round counts all pairs of neighbours exactly and replaces the
+    most frequent one, and those at least 1/share as frequent, by new symbols, the more frequent first and from the left; then it counts
+    again over what is left, new symbols too, until no pair stands `least` times or symbols of width_of(base) bytes run out.
     """
+    shift = 8 * width_of(base)
     seq, ends = ids.astype(np.uint32), last.copy()
-    rules, lengths, names = [], [], base
-    table, place = np.empty(1 << SLOTS, dtype=np.uint32), np.empty(1 << SLOTS, dtype=np.uint32)
-    for _ in range(rounds):
-        room = min(pairs, 65_536 - names)
-        if len(seq) < 2 or room <= 0:
-            break
-        keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-        slot = ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)).astype(np.intp)
-        # Of pairs that meet in a slot one is counted in this round, most probably the most frequent.
-        table[slot] = keys
-        own = table[slot] == keys
-        own &= ~ends[:-1]
-        count = np.bincount(slot[own], minlength=1 << SLOTS)
-        often = np.flatnonzero(count >= least)
-        if not len(often):
+    rules, lengths, names = [], [np.ones(base, dtype=np.int64)], base
+    while len(seq) > 1 and names < 1 << shift:
+        pairs, count = pair_counts(seq, ends, shift)
+        top = int(count.max()) if len(count) else 0
+        if top < least:
             break
-        often = often[np.argsort(-count[often], kind="stable")][:room]
-        place[:] = room
-        place[often] = np.arange(len(often))
-        which = place[slot]
-        own &= which < room
-        # Of matches side by side, every other one counts from the left.
-        at = np.flatnonzero(own)
-        run = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])
-        begin = np.repeat(at[run], np.diff(np.append(run, len(at))))
-        at = at[(at - begin) % 2 == 0]
-        new = np.column_stack([table[often] >> np.uint32(16), table[often] & np.uint32(0xFFFF)]).astype(np.int64)
-        seq[at] = names + which[at]
+        chosen = np.flatnonzero(count >= max(least, -(-top // share)))
+        chosen = chosen[np.argsort(-count[chosen], kind="stable")][: (1 << shift) - names]
+        pairs, order = pairs[chosen], np.argsort(pairs[chosen])
+        left, right = pairs >> pairs.dtype.type(shift), pairs & pairs.dtype.type((1 << shift) - 1)
+        # Where both symbols stand in some chosen pair, the pair is looked up.
+        one, two = np.zeros(names, dtype=bool), np.zeros(names, dtype=bool)
+        one[left], two[right] = True, True
+        may = np.flatnonzero(one[seq[:-1]] & two[seq[1:]] & ~ends[:-1])
+        keys = (seq[may].astype(pairs.dtype) << pairs.dtype.type(shift)) | seq[may + 1]
+        place = np.minimum(np.searchsorted(pairs[order], keys), len(pairs) - 1)
+        hit = pairs[order][place] == keys
+        at, which = may[hit], order[place[hit]]
+        # Of matches side by side, a more frequent pair goes before its neighbours; every other one of a run of equals counts from the left.
+        keep = _apart(at, which)
+        at, which = at[keep], which[keep]
+        # Pairs that overlap more frequent ones may have lost most of their places; they wait for another round.
+        used = np.bincount(which, minlength=len(pairs))
+        good = used >= 2
+        good[0] = True
+        at, which = at[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
+        left, right = left[good], right[good]
+        seq[at] = names + which
         ends[at] = ends[at + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
         seq, ends = seq[stay], ends[stay]
-        known = np.concatenate([np.ones(base, dtype=np.int64), *lengths])
-        rules.append(new)
-        lengths.append(known[new].sum(axis=1))
-        names += len(new)
-    pack = lambda x, kind, shape: np.concatenate(x).astype(kind) if x else np.zeros(shape, dtype=kind)
-    return seq.astype("<u2"), pack(rules, "<u2", (0, 2)), pack(lengths, "<u4", 0), np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
+        known = np.concatenate(lengths)
+        rules.append(np.column_stack([left, right]).astype(np.int64))
+        lengths.append(known[rules[-1]].sum(axis=1))
+        names += len(left)
+    kind = f"<u{shift // 8}"
+    flat = np.concatenate(rules) if rules else np.zeros((0, 2))
+    return seq.astype(kind), flat.astype(kind), np.concatenate(lengths)[base:].astype("<u4"), np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
+
+
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which matches at ascending places are taken, so that no two overlap: every other one from the left of a run of matches side by side, and
+    before that those of least rank in their run whose neighbours rank behind them."""
+    if not len(at):
+        return np.zeros(0, dtype=bool)
+    touch = np.diff(at) == 1
+    before, after = np.concatenate([[False], touch]), np.concatenate([touch, [False]])
+    worse = np.int64(1 << 62)
+    ahead = np.where(before, np.concatenate([[worse], rank[:-1]]), worse)
+    behind = np.where(after, np.concatenate([rank[1:], [worse]]), worse)
+    best = (rank < ahead) & (rank < behind)
+    # What touches one of those is out; the rest falls into shorter runs.
+    out = (before & np.concatenate([[False], best[:-1]])) | (after & np.concatenate([best[1:], [False]]))
+    rest = np.flatnonzero(~out & ~best)
+    own = at[rest]
+    run = np.concatenate([[0], np.flatnonzero(np.diff(own) > 1) + 1]) if len(own) else np.zeros(0, dtype=np.int64)
+    begin = np.repeat(own[run], np.diff(np.append(run, len(own))))
+    taken = best
+    taken[rest[(own - begin) % 2 == 0]] = True
+    return taken
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -100,11 +139,37 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return flat[np.repeat(begin[symbols] - ahead, long) + np.arange(long.sum())].astype("<u4")
 
 
-def _blocks(part: int, frames, tokenizer: str, end: int, base: int, most: int):
+def window(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, n: int) -> tuple[list[int], int]:
+    """Ids start .. start + n - 1 of a document whose symbols are given, and how many symbols were opened: those alone that the ids lie in."""
+    size = lambda s: 1 if s < base else int(lengths[s - base])
+    own = np.where(symbols < base, 1, lengths[np.maximum(symbols.astype(np.int64) - base, 0)].astype(np.int64) if len(lengths) else 1)
+    ends = np.cumsum(own)
+    first, out, opened = int(np.searchsorted(ends, start, side="right")), [], 0
+    skip = start - (int(ends[first - 1]) if first else 0)
+    for s in symbols[first:].tolist():
+        if len(out) >= n:
+            break
+        todo = [s]
+        while todo and len(out) < n:
+            s = todo.pop()
+            if skip >= size(s):
+                skip -= size(s)
+                continue
+            opened += 1
+            if s < base:
+                out.append(s)
+            else:
+                a, b = rules[s - base].tolist()
+                todo += [b, a]
+    return out, opened
+
+
+def _blocks(part: int, frames, tokenizer: str, end: int, most: int):
     """Rows of the format from frames of (doc_id, text) in order."""
     import pandas as pd
 
     code, last = tokens.encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
+    base = max(code.ids, end + 1)
     docs, held, size, block = [], [], 0, 0
 
     def row():
@@ -113,7 +178,9 @@ def _blocks(part: int, frames, tokenizer: str, end: int, base: int, most: int):
         final = np.zeros(len(ids), dtype=bool)
         final[np.cumsum(counts) - 1] = True
         symbols, rules, lengths, at = compress(ids, final, base)
-        return pd.DataFrame([(part, block, base, docs, counts, at, symbols.tobytes(), rules.tobytes(), lengths.tobytes())], columns=["part", "block", "base", "doc_ids", "n_tokens", "at", "symbols", "rules", "lengths"])
+        known = [d for d in docs if d is not None]
+        values = (part, block, min(known, default=None), max(known, default=None), width_of(base), base, docs, counts, at, symbols.tobytes(), rules.tobytes(), lengths.tobytes())
+        return pd.DataFrame([values], columns=["part", "block", "first_id", "last_id", "width", "base", "doc_ids", "n_tokens", "at", "symbols", "rules", "lengths"]).astype({"first_id": "Int64", "last_id": "Int64"})
 
     for frame in frames:
         for pdf in tokens.slices(frame):
@@ -129,11 +196,11 @@ def _blocks(part: int, frames, tokenizer: str, end: int, base: int, most: int):
         yield row()
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, base: int = 49_408, block: int = BLOCK) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, block: int = BLOCK) -> None:
     """Encode every text, append the end id and write the format in ascending doc_id order.
 
     docs: doc_id, text; null ids come first, rows that share an id are ordered by text; null texts are
-    empty. Spark's own writer commits the files, so a lost executor's work is done again.
+    empty. tokenizer: the path of any file of the tokenizers library. Spark's own writer commits the files, so a lost executor's work is done again.
     """
     importable(docs.sparkSession)
     tokenizer = tokenizer or tokens.path()
@@ -141,7 +208,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     def run(frames):
         from pyspark import TaskContext
 
-        yield from _blocks(TaskContext.get().partitionId(), frames, tokenizer, end, base, block)
+        yield from _blocks(TaskContext.get().partitionId(), frames, tokenizer, end, block)
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInPandas(run, SCHEMA).write.option("compression", "zstd").parquet(path)
@@ -156,7 +223,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
         for frame in frames:
             for r in frame.itertuples(index=False):
-                symbols, rules = np.frombuffer(r.symbols, dtype="<u2"), np.frombuffer(r.rules, dtype="<u2").reshape(-1, 2)
+                symbols, rules = np.frombuffer(r.symbols, dtype=f"<u{r.width}"), np.frombuffer(r.rules, dtype=f"<u{r.width}").reshape(-1, 2)
                 ids, counts = expand(symbols, rules, r.base).tobytes(), np.asarray(r.n_tokens)
                 start = np.cumsum(counts) - counts
                 parts = [ids[4 * a : 4 * (a + n)] for a, n in zip(start.tolist(), counts.tolist(), strict=True)]
@@ -174,3 +241,29 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     rows = stored.mapInPandas(run, "part int, block int, doc_id long, _in long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
     out = rows.join(blocks, ["part", "block"])
     return out.select("doc_id", (F.col("_in") + F.col("_block") + F.col("_part")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+
+
+def ids_at(spark: SparkSession, path: str, doc_id: int, start: int = 0, n: int | None = None) -> DataFrame:
+    """n ids of a document from its start-th on, the end id too: doc_id, part, block, place (in the block), ids (binary) and opened.
+
+    Only blocks whose range of ids holds doc_id are read, and only the symbols opened in which the asked ids lie. A row for each document
+    of that id; ids beyond the end are left out.
+    """
+    importable(spark)
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                kind, rows = f"<u{r.width}", []
+                symbols, rules, lengths = np.frombuffer(r.symbols, dtype=kind), np.frombuffer(r.rules, dtype=kind).reshape(-1, 2), np.frombuffer(r.lengths, dtype="<u4")
+                for i in np.flatnonzero(np.array([d == doc_id for d in r.doc_ids])).tolist():
+                    stop = r.at[i + 1] if i + 1 < len(r.at) else len(symbols)
+                    many = max(0, int(r.n_tokens[i]) - start) if n is None else min(n, max(0, int(r.n_tokens[i]) - start))
+                    ids, opened = window(symbols[r.at[i] : stop], rules, lengths, r.base, start, many)
+                    rows.append((doc_id, r.part, r.block, i, np.array(ids, dtype="<u4").tobytes(), opened))
+                yield pd.DataFrame(rows, columns=["doc_id", "part", "block", "place", "ids", "opened"])
+
+    stored = spark.read.schema(SCHEMA).parquet(path).filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    return stored.mapInPandas(run, "doc_id long, part int, block int, place int, ids binary, opened long")

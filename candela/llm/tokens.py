@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 
@@ -14,6 +15,8 @@ DEFAULT = "word_bpe_49k.json"
 KEEP = 900_000
 #: What words are learnt without at their end. No apostrophe, which can begin a piece with letters.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Fixed value: the splitter of word_bpe_49k.json, whose matches have no white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -33,13 +36,32 @@ def _letters(word: bytes) -> bool:
     return text.isalpha() and len(text.lower()) == len(text)
 
 
+def by_words(file: dict) -> bool:
+    """Whether words between ASCII white space can be encoded by themselves and in lower case, from a tokenizer's JSON.
+
+    The normalizers listed here change nothing across a word's ends, and Lowercase is one of them; the splitter's
+    pattern must leave white space out of its matches; the model marks words' ends; special tokens all begin with <|.
+    """
+    steps = file.get("normalizer") or {}
+    steps = steps.get("normalizers", [steps])
+    plain = [s for s in steps if s.get("type") in ("NFC", "Lowercase") or (s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " ")]
+    split = file.get("pre_tokenizer") or {}
+    split = (split.get("pretokenizers") or [split])[0]
+    removes = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+    pattern = (split.get("pattern") or {}).get("Regex", "")
+    model = file.get("model") or {}
+    marked = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+    special = all(t["content"].startswith("<|") and not t.get("lstrip") and not t.get("rstrip") for t in file.get("added_tokens", ()))
+    return len(plain) == len(steps) and any(s["type"] == "Lowercase" for s in steps) and removes and pattern == WORD_PATTERN and marked and special
+
+
 class Encoder:
-    """ids(text) as the tokenizer's own encode(text, add_special_tokens=False), with a memory of words.
+    """encode(texts): the tokenizer's own ids with add_special_tokens=False; `ids` is one more than the largest id.
 
-    This holds for tokenizers whose normalizer and splitter work the same on each side of
-    ASCII white space and see no case in ASCII letters, as word_bpe_49k.json's do: it drops white
-    space, lowers letters before splitting and marks each piece's last id with </w>. A text with the opening of a special token goes to the
-    tokenizer as a whole.
+    Where the file's normalizer and splitter work the same on each side of ASCII white space and see no case in ASCII letters, words are
+    encoded by themselves and remembered: such files drop white space, lower letters before splitting and mark each piece's last id
+    with </w>. by_words() tells from the file; any other file's texts go to the tokenizer as they are, as does a text with the
+    opening of a special token.
     """
 
     def __init__(self, file: str):
@@ -47,11 +69,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            self.words = by_words(json.load(f))
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ids = max(vocabulary.values()) + 1
+        self.last = np.zeros(self.ids, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
@@ -114,6 +139,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.words:
+            return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
         get, held, missing = self.young.get, [], set()
         for x in texts:
             data = (x or "").encode()

@@ -151,12 +151,90 @@ def test_grammar_round_trip():
         ids = rng.integers(2, 2 + kinds, n).astype("<u4")
         last = rng.random(n) < 0.05
         last[-1] = True
-        symbols, rules, lengths, at = tokenfile.compress(ids, last, 49_408, rounds=5, pairs=500, least=2)
-        assert (tokenfile.expand(symbols, rules, 49_408) == ids).all()
-        size = np.concatenate([np.ones(49_408, dtype=int), lengths])[symbols]
-        ends = np.cumsum(size)
-        assert len(at) == last.sum() and all(last[e - 1] for e in ends[at[1:] - 1])
-        assert (np.diff(np.append(at, len(symbols))) > 0).all()
+        for base in (49_408, 70_000):
+            symbols, rules, lengths, at = tokenfile.compress(ids, last, base, least=2)
+            assert symbols.itemsize == tokenfile.width_of(base) and (tokenfile.expand(symbols, rules, base) == ids).all()
+            size = np.concatenate([np.ones(base, dtype=int), lengths])[symbols]
+            ends = np.cumsum(size)
+            assert len(at) == last.sum() and all(last[e - 1] for e in ends[at[1:] - 1])
+            assert (np.diff(np.append(at, len(symbols))) > 0).all()
+
+
+def plain_repair(docs, base, least):
+    """Re-Pair by the book: one pair at a time, the most frequent."""
+    docs, rules = [list(d) for d in docs], []
+    while True:
+        count = {}
+        for d in docs:
+            for p in zip(d, d[1:], strict=False):
+                count[p] = count.get(p, 0) + 1
+        pair = max(count, key=lambda p: count[p], default=None)
+        if pair is None or count[pair] < least:
+            return docs, rules
+        rules.append(pair)
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                if tuple(d[i : i + 2]) == pair:
+                    out.append(base + len(rules) - 1)
+                    i += 2
+                else:
+                    out.append(d[i])
+                    i += 1
+            docs[k] = out
+
+
+def test_grammar_against_plain_repair():
+    rng = np.random.default_rng(51)
+    words = [rng.integers(2, 40, rng.integers(2, 9)) for _ in range(30)]
+    passage = rng.integers(2, 900, 200)
+    made = [np.concatenate([words[i] for i in rng.integers(0, 30, 60)] + [passage] * int(rng.random() < 0.5)) for _ in range(40)]
+    ids, last = np.concatenate(made).astype("<u4"), np.zeros(sum(map(len, made)), dtype=bool)
+    last[np.cumsum([len(x) for x in made]) - 1] = True
+    want, rules_by_hand = plain_repair(made, 49_408, 8)
+    symbols, rules, lengths, at = tokenfile.compress(ids, last, 49_408, least=8)
+    size, size_by_hand = len(symbols) + 2 * len(rules), sum(map(len, want)) + 2 * len(rules_by_hand)
+    assert size <= 1.05 * size_by_hand and lengths.max() >= 190  # the passage is hardly more than a symbol
+    ends = np.zeros(len(symbols), dtype=bool)
+    ends[at[1:] - 1], ends[-1] = True, True
+    pairs, count = tokenfile.pair_counts(symbols.astype(np.uint32), ends, 16)
+    assert count.max() < 8  # nothing that stands often enough is left
+    by_hand = {}
+    for d in made:
+        for p in zip(d.tolist(), d.tolist()[1:], strict=False):
+            by_hand[p] = by_hand.get(p, 0) + 1
+    pairs, count = tokenfile.pair_counts(ids.astype(np.uint32), last, 16)
+    assert {(int(p) >> 16, int(p) & 65_535): int(n) for p, n in zip(pairs, count, strict=True)} == by_hand
+
+
+def test_window_opens_what_it_needs():
+    rng = np.random.default_rng(52)
+    passage = rng.integers(2, 900, 500)
+    ids = np.concatenate([passage] * 64).astype("<u4")
+    last = np.zeros(len(ids), dtype=bool)
+    last[-1] = True
+    symbols, rules, lengths, at = tokenfile.compress(ids, last, 49_408)
+    for start, n in ((0, 1), (31_000, 40), (17, 900), (31_990, 100), (32_000, 5), (5, 0)):
+        got, opened = tokenfile.window(symbols, rules, lengths, 49_408, start, n)
+        assert got == ids[start : start + n].tolist() and opened <= 2 * n + 2 * 64
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_and_random_access(spark, tmp_path, name):
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(tokens.path(name)), random.Random(53)
+    assert tokens.Encoder(tokens.path(name)).words == (name == "word_bpe_49k.json")
+    texts = [*ODD, *("  Two  Spaces " + prose(rng, 150) for _ in range(30))]
+    path = str(tmp_path / "t")
+    tokenfile.write(docs(spark, texts), path, tokenizer=tokens.path(name), block=900)
+    want = {i: np.array([*plain.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4") for i, x in enumerate(texts)}
+    assert {r["doc_id"]: bytes(r["ids"]) for r in tokenfile.read(spark, path, with_ids=True).collect()} == {i: x.tobytes() for i, x in want.items()}
+    for doc, start, n in ((20, 3, 7), (20, 0, None), (len(texts) - 1, 90, 10_000), (8, 0, 1), (0, 0, 5), (999, 0, 5)):
+        got = [bytes(r["ids"]) for r in tokenfile.ids_at(spark, path, doc, start, n).collect()]
+        assert got == ([want[doc][start : None if n is None else start + n].tobytes()] if doc in want else [])
+    packed = packing.best_fit(docs(spark, texts), tokenizer=tokens.path(name), with_ids=True).collect()
+    assert {r["doc_id"]: bytes(r["ids"]) for r in packed if r["length"] < 2048} == {i: np.append(x[:-1], 0).astype("<u4").tobytes() for i, x in want.items() if len(x) < 2048}
 
 
 def test_plan_keeps_every_limit():
