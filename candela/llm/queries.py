@@ -76,11 +76,22 @@ WITH sized AS (
   SELECT *, stop * (all_weights - weights_before) <= weight * (total - stops_before) AS stops FROM rising
 ), targets AS (
   SELECT source, source_size, CASE WHEN stops THEN stop::DOUBLE ELSE (weight * (total - coalesce(sum(stop) FILTER (stops) OVER (), 0)))::DOUBLE / (all_weights - coalesce(sum(weight) FILTER (stops) OVER (), 0))::DOUBLE END AS target FROM stopped
+), points AS (
+  SELECT *, round(target)::BIGINT AS words, sum(ceil(round(target) / 512)::BIGINT) OVER (ORDER BY source NULLS LAST)::BIGINT AS high, ceil(round(target) / 512)::BIGINT AS blocks FROM targets
+), slots AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM (
+    SELECT source, list_sum([((v >> i) & 1) << (45 - i) FOR i IN range(46)])::BIGINT AS slot FROM (SELECT source, unnest(range(high - blocks, high)) AS v FROM points))
 ), placed AS (
-  SELECT s.*, t.source_size, t.target, sum(size) OVER (PARTITION BY s.source ORDER BY o, s.doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start, round(t.target)::BIGINT AS words
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  SELECT row_number() OVER () AS k, s.*, t.source_size, t.target, t.words, sum(size) OVER (PARTITION BY s.source ORDER BY o, s.doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
+  FROM sized s JOIN points t ON s.source IS NOT DISTINCT FROM t.source
+), passes AS (
+  SELECT k, source, words, p * source_size + start AS a, p * source_size + start + size AS b FROM placed, range(3) r(p) WHERE size > 0
+), shares AS (
+  SELECT k, source, greatest(a, n * 512) AS a, least(b, n * 512 + 512, words) AS b, n FROM (SELECT *, unnest(range(a // 512, (b - 1) // 512 + 1)) AS n FROM passes)
+), takes AS (
+  SELECT k, sum(b - a)::BIGINT AS taken, min(slot) AS first_slot, max(slot) AS last_slot FROM shares s JOIN slots t ON s.source IS NOT DISTINCT FROM t.source AND s.n = t.rank WHERE b > a GROUP BY k
 )
-SELECT doc_id, size, source_size, target, list_sum([greatest(0, least(p * source_size + start + size, words) - (p * source_size + start)) FOR p IN range(3)])::BIGINT AS taken FROM placed
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, last_slot FROM placed LEFT JOIN takes USING (k)
 """,
     "op4_url_filter": r"""
 WITH parsed AS (

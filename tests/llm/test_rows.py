@@ -339,6 +339,35 @@ def test_mixed_texts(spark):
     assert abs(total - 45) <= 3 and out.filter("n_chars <> length(text)").count() == 0
 
 
+def test_mix_is_even(spark):
+    """Every beginning of the mix, by slots, has the sources' shares, in mix()'s rows and in the order of the texts'."""
+    rng = random.Random(81)
+    sources = [rng.choice("aaab") for _ in range(900)] + ["c"] * 300
+    t = docs(spark, [" ".join(["w"] * rng.randint(1, 60)) for _ in sources], sources=sources)
+    m = mixing.mix(t, 16).filter("length > 0")
+    total = {r["source"]: r["n"] for r in m.groupBy("source").agg(F.sum("length").alias("n")).collect()}
+    for rows in (
+        sorted((r["slot"], r["source"], r["length"]) for r in m.collect()),
+        [(0, r["source"], len(r["text"].split())) for r in mixing.mixed_texts(t, block=16).collect()],
+    ):
+        done, seen = dict.fromkeys(total, 0), 0
+        for _, source, n in rows:
+            done[source] += n
+            seen += n
+            if seen > 1000:
+                assert all(abs(done[s] / seen - total[s] / sum(total.values())) < 0.06 for s in total)
+
+
+def test_nth_point_of_any_range(spark):
+    rng = random.Random(82)
+    for _ in range(12):
+        low = rng.randint(0, 3000)
+        high = low + rng.randint(1, 400)
+        t = spark.range(high - low).select(F.col("id").alias("r"), F.lit(low).cast("long").alias("a"), F.lit(high).cast("long").alias("b"))
+        got = [r[1] for r in t.select("r", mixing._nth(F.col("r"), F.col("a"), F.col("b"))).orderBy("r").collect()]
+        assert got == sorted(range(low, high), key=lambda v: f"{v:046b}"[::-1])
+
+
 def test_schedule_is_even(spark):
     t = spark.createDataFrame([(1, 100.0), (2, 200.0), (3, 50.0), (4, 0.0)], "place int, target double")
     rows = sorted((r["slot"], r["source_place"], r["rank"]) for r in mixing.schedule(t, 1).collect())
