@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import cut, fixed, let, row_keys, whole
+from candela.llm.common import fixed, let, row_keys, whole, written
 
 WINDOW = 3
+#: Windows that are broadcast at most, and the least occurrences of such a one.
+HOT, LEAST_HOT = 50_000, 500
 #: A line with a word; windows without one aren't compared.
 SOME = r"[^\x20\x09-\x0D]"
 
@@ -26,17 +28,34 @@ def _windows(text: Column, width: int) -> Column:
 
 
 def covered(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The lines that later occurrences of repeated windows cover: _k1, _k2, lines (from 0).
+    """The places where later occurrences of repeated windows begin: _k1, _k2, starts (lines from 0).
 
     Occurrences are ordered by doc_id (null last), the row's key and place. The first of each
-    window stays. A repeated window is found by counts that are summed before they move, and
-    only repeated windows go back to their occurrences, in a join that may split a hot one.
+    window stays. All windows are counted, in sums that are made before they move; then windows are made again from the texts and
+    only repeated ones are written, with their places. A window of more than 1/HOT of all windows (HOT of them at most) meets its
+    count and its first place by broadcast, so that its occurrences stay where they are; the others are joined.
+    Null texts have no window; rows alike in doc_id and text are one document; an empty table gives no row.
     """
-    at = docs.filter(F.col("text").isNotNull()).select(*row_keys("doc_id", "text"), "doc_id", _windows(F.col("text"), width).alias("w"))
-    at = cut(at.select("_k1", "_k2", "doc_id", F.explode("w").alias("w")).filter(F.col("w").isNotNull()).select("_k1", "_k2", "doc_id", "w.at", "w.h1", "w.h2"))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "at")
-    repeated = at.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("h1", "h2", "first")
-    later = at.join(repeated, ["h1", "h2"]).filter(place > F.col("first")).select("_k1", "_k2", "at")
+    texts = docs.filter(F.col("text").isNotNull())
+
+    def windows(*more: Column | str) -> DataFrame:
+        t = texts.select(*more, F.explode(_windows(F.col("text"), width)).alias("w")).filter(F.col("w").isNotNull())
+        return t.select(*[c for c in t.columns if c != "w"], "w.at", "w.h1", "w.h2")
+
+    counted = windows().groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    sums = written(counted.filter("n > 1").select("h1", "h2", "n"), "windows")
+    limit = max(LEAST_HOT, (sums.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot, cold = sums.filter(F.col("n") > limit).select("h1", "h2"), sums.filter(F.col("n") <= limit).select("h1", "h2")
+    key, place = ["h1", "h2"], F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "at")
+    every = windows(*row_keys("doc_id", "text"), "doc_id").join(F.broadcast(hot.withColumn("hot", F.lit(True))), key, "left")
+    # Hot windows' rows go to the join by their own places, where they find nothing and don't meet.
+    aside = lambda c, k: F.when(F.col("hot").isNull(), F.col(c)).otherwise(F.xxhash64(F.lit(k), "_k1", "_k2", "at")).alias(f"j{k}")
+    every = every.select("*", aside("h1", 1), aside("h2", 2))
+    held = every.join(cold.select(F.col("h1").alias("j1"), F.col("h2").alias("j2"), F.lit(True).alias("cold")), ["j1", "j2"], "left").filter("hot OR cold").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    held = written(held.select("_k1", "_k2", "doc_id", "at", "h1", "h2", "hot"), "repeated")
+    first = lambda t: t.groupBy(*key).agg(F.min(place).alias("first"))
+    many, few = held.filter("hot").drop("hot"), held.filter("NOT hot").drop("hot")
+    later = many.join(F.broadcast(first(many)), key).unionByName(few.join(first(few), key)).filter(place > F.col("first")).select("_k1", "_k2", "at")
     return later.groupBy("_k1", "_k2").agg(F.collect_set("at").alias("starts"))
 
 

@@ -110,7 +110,9 @@ def dedup_by_hand(rows):
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot", [500, 2])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "LEAST_HOT", hot)
     rng = random.Random(3)
     pool = [f"line {i}" for i in range(7)] + ["", "  "]
     texts = ODD + ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(120)] + ["a\na\na\na\na", "line 1\nline 2", "line 1\nline 2", "q\n" * 3000]
