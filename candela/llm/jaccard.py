@@ -28,10 +28,12 @@ WORDS = 5
 PERCENT = 75
 #: Longest block that is compared whole; pivots of a longer one.
 WHOLE, PIVOTS = 24, 8
-#: Tokens of the sets of a long block that ask, and of all, in one task.
-FEW, ALL = 200_000, 800_000
-#: Tokens, and sets, that a worker holds before it deals them out.
+#: Tokens of the sets of a long block that ask, and of all, in one task, and how many such sets.
+FEW, ALL, FEW_SETS, ALL_SETS = 200_000, 800_000, 2000, 8000
+#: Tokens, and rows, that a worker holds before it deals them out.
 HELD, MOST_SETS = 500_000, 60_000
+#: Parts that the sets of a long list are dealt over.
+SALTS = 16
 #: Characters of texts whose tokens one task counts at most, about; more shuffle partitions than that asks for are kept.
 CHARS = 20_000_000
 #: Words that a worker remembers the hashes of.
@@ -93,52 +95,82 @@ def _spare(n):
     return 1 + n // 20
 
 
+#: Who has a token, in two bytes: a set of the block, or several.
+_SEVERAL = 0xFFFF
+
+
 @dataclass
 class _Dealer:
-    """Sets in a worker's hands: deals their tokens over `parts` and keeps what names the sets."""
+    """Sets in a worker's hands: deals their different tokens over `parts` and keeps what names the sets.
+
+    Rows of equal sets are one set, and of each block a token moves once, however many of its sets have it: what a third of all
+    documents share comes to one place once for each block, not for each document.
+    """
 
     parts: int
     part: int
     wide: bool
 
     def __post_init__(self):
-        self.block, self.sets, self.names, self.size = 0, [], [], 0
-
-    def add(self, tokens: np.ndarray, name: tuple):
-        self.sets.append(tokens)
-        self.names.append((*name, len(tokens)))
-        self.size += len(tokens)
-        return self.size >= HELD or len(self.sets) >= MOST_SETS
+        self.block = 0
+        self._clear()
+
+    def _clear(self):
+        self.sets, self.names, self.known, self.size = [], [], {}, 0
+
+    def add(self, tokens: np.ndarray, key: bytes | None, name: tuple) -> bool:
+        """Whether it is time to flush. key: the same for equal sets; None for a set without tokens."""
+        at = self.known.get(key)
+        if at is None:
+            at = self.known[key] = len(self.sets)
+            self.sets.append(tokens)
+            self.size += len(tokens)
+        self.names.append((*name, at))
+        return self.size >= HELD or len(self.names) >= MOST_SETS
 
     def flush(self):
         import pandas as pd
 
-        if not self.sets:
-            return pd.DataFrame(columns=["p", "blk", "at", "tokens", "names"])
+        columns = ["p", "blk", "at", "tokens", "counts", "names"]
+        if not self.names:
+            return pd.DataFrame(columns=columns)
         blk = (self.part << 24) + self.block
         tokens = np.concatenate(self.sets)
-        owner = np.repeat(np.arange(len(self.sets), dtype=np.uint16), [len(s) for s in self.sets])
-        place = tokens % np.uint64(self.parts)
-        order = np.argsort(place, kind="stable")
-        ends = np.searchsorted(place[order], np.arange(self.parts + 1, dtype=np.uint64))
-        rows = []
-        kept = tokens[order] if self.wide else (tokens[order] >> np.uint64(32)).astype(np.uint32)
+        owner = np.repeat(np.arange(len(self.sets), dtype=np.uint32), [len(s) for s in self.sets])
+        order = np.argsort(tokens)
+        place = (tokens % np.uint64(self.parts)).astype(np.uint16 if self.parts < 65_536 else np.uint32)
+        order = order[np.argsort(place[order], kind="stable")]
+        tokens, owner, place = tokens[order], owner[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
+        many = np.diff(np.append(first, len(tokens)))
+        several = np.repeat(many > 1, many)
+        # Sets that share tokens within the block: how many each shares (narrow), or which sets have each such token (wide).
+        if self.wide:
+            own = np.where(many > 1, len(self.sets) + np.cumsum(many > 1) - 1, owner[first]).astype(np.uint32)
+            within = owner[several].astype(np.uint16).tobytes(), many[many > 1].astype(np.uint32).tobytes()
+            kept, counts = tokens[first], many.astype(np.uint32)
+        else:
+            own = np.where(many > 1, _SEVERAL, owner[first]).astype(np.uint16)
+            within = np.bincount(owner[several], minlength=len(self.sets)).astype(np.uint32).tobytes(), b""
+            kept, counts = (tokens[first] >> np.uint64(32)).astype(np.uint32), None
+        ends, rows = np.searchsorted(place[first], np.arange(self.parts + 1)), []
         for p in range(self.parts):
             a, b = ends[p], ends[p + 1]
             if a < b:
-                rows.append((p, blk, owner[order[a:b]].tobytes(), kept[a:b].tobytes(), None))
-        rows.append((self.parts + blk % self.parts, blk, None, None, pickle.dumps(self.names)))
-        self.sets, self.names, self.size, self.block = [], [], 0, self.block + 1
-        return pd.DataFrame(rows, columns=["p", "blk", "at", "tokens", "names"])
+                rows.append((p, blk, own[a:b].tobytes(), kept[a:b].tobytes(), None if counts is None else counts[a:b].tobytes(), None))
+        rows.append((self.parts + blk % self.parts, blk, None, None, None, pickle.dumps((self.names, len(self.sets), *within))))
+        self._clear()
+        self.block += 1
+        return pd.DataFrame(rows, columns=columns)
 
 
-_DEALT = "p int, blk long, at binary, tokens binary, names binary"
+_DEALT = "p int, blk long, at binary, tokens binary, counts binary, names binary"
 _COUNTED = "blk long, at binary, tokens binary, counts binary, names binary"
 
 
 def _counter(wide: bool):
     """Of the tokens dealt to one place: those that two or more sets have, back to the blocks they are from."""
-    kind = np.uint64 if wide else np.uint32
+    kind, who = (np.uint64, np.uint32) if wide else (np.uint32, np.uint16)
 
     def count(pdf):
         import pandas as pd
@@ -148,15 +180,16 @@ def _counter(wide: bool):
         pdf = pdf[pdf["names"].isna()]
         if len(pdf):
             parts = [np.frombuffer(x, dtype=kind) for x in pdf["tokens"]]
-            _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            each, at = counts[inverse], 0
-            for blk, owner, tokens in zip(pdf["blk"], pdf["at"], parts, strict=True):
-                mine = each[at : at + len(tokens)]
+            owners = [np.frombuffer(x, dtype=who) for x in pdf["at"]]
+            _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+            mine = [np.frombuffer(x, dtype=np.uint32) for x in pdf["counts"]] if wide else [1 + (x == _SEVERAL) for x in owners]
+            each, at = np.bincount(inverse, weights=np.concatenate(mine)).astype(np.int64)[inverse], 0
+            for blk, owner, tokens in zip(pdf["blk"], owners, parts, strict=True):
+                here = each[at : at + len(tokens)]
                 at += len(tokens)
-                twice = np.flatnonzero(mine >= 2)
+                twice = np.flatnonzero((here >= 2) & (True if wide else owner != _SEVERAL))
                 if len(twice):
-                    owner = np.frombuffer(owner, dtype=np.uint16)[twice]
-                    rows.append((blk, owner.tobytes(), tokens[twice].tobytes() if wide else None, mine[twice].astype(np.uint32).tobytes() if wide else None, None))
+                    rows.append((blk, owner[twice].tobytes(), tokens[twice].tobytes() if wide else None, here[twice].astype(np.uint32).tobytes() if wide else None, None))
         return pd.DataFrame(rows, columns=["blk", "at", "tokens", "counts", "names"])
 
     return count
@@ -185,7 +218,8 @@ def _candidates(docs: DataFrame, parts: int, words: int, percent: int) -> DataFr
                     own = jaccard.shingles(text if isinstance(text, str) else None, words)
                     n = len(own)
                     first = own[: n - jaccard.needed(n, percent) + jaccard._spare(n)] if n else own
-                    if dealer.add(first, (None if pd.isna(doc) else int(doc), k1, k2, n, xxhash.xxh3_128_digest(own.tobytes()) if n else None)):
+                    c = xxhash.xxh3_128_digest(own.tobytes()) if n else None
+                    if dealer.add(first, c, (None if pd.isna(doc) else int(doc), k1, k2, n, c)):
                         yield dealer.flush()
         yield dealer.flush()
         jaccard._end()
@@ -195,12 +229,12 @@ def _candidates(docs: DataFrame, parts: int, words: int, percent: int) -> DataFr
 
         from candela.llm import jaccard
 
-        names = pickle.loads(pdf["names"].dropna().iloc[0])
-        shared = np.zeros(len(names), dtype=np.int64)
+        names, sets, within, _ = pickle.loads(pdf["names"].dropna().iloc[0])
+        shared = np.frombuffer(within, dtype=np.uint32).astype(np.int64)
         for at in pdf["at"].dropna():
-            shared += np.bincount(np.frombuffer(at, dtype=np.uint16), minlength=len(names))
-        doc, k1, k2, n, c, _ = zip(*names, strict=True)
-        sizes = np.array(n, dtype=np.int64)
+            shared += np.bincount(np.frombuffer(at, dtype=np.uint16), minlength=sets)
+        doc, k1, k2, n, c, own = zip(*names, strict=True)
+        sizes, shared = np.array(n, dtype=np.int64), shared[np.array(own)]
         return pd.DataFrame({"doc_id": pd.array(doc, dtype="Int64"), "_k1": k1, "_k2": k2, "n": sizes, "c": c, "open": (shared >= jaccard._spare(jaccard.needed(sizes, percent))) & (sizes > 0)})
 
     keyed = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
@@ -257,7 +291,8 @@ def _postings(texts: DataFrame, parts: int, words: int, percent: int) -> DataFra
             for pdf in tokens.slices(frame):
                 for text in pdf["text"]:
                     own = jaccard.shingles(text, words)
-                    if dealer.add(own, (xxhash.xxh3_128_digest(own.tobytes()),)):
+                    c = xxhash.xxh3_128_digest(own.tobytes())
+                    if dealer.add(own, c, (c, len(own))):
                         yield dealer.flush()
         yield dealer.flush()
         jaccard._end()
@@ -267,18 +302,29 @@ def _postings(texts: DataFrame, parts: int, words: int, percent: int) -> DataFra
 
         from candela.llm import jaccard
 
-        names = pickle.loads(pdf["names"].dropna().iloc[0])
+        names, sets, within, many = pickle.loads(pdf["names"].dropna().iloc[0])
         found = pdf[pdf["at"].notna()]
         join = lambda column, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in found[column]] or [np.zeros(0, dtype=kind)])
-        owner, tokens, counts = join("at", np.uint16).astype(np.int64), join("tokens", np.uint64), join("counts", np.uint32)
+        owner, tokens, counts = join("at", np.uint32).astype(np.int64), join("tokens", np.uint64), join("counts", np.uint32)
+        # A token of several sets of the block stands for each of them.
+        within, many = np.frombuffer(within, dtype=np.uint16), np.frombuffer(many, dtype=np.uint32).astype(np.int64)
+        begin, group = np.cumsum(many) - many, np.maximum(owner - sets, 0)
+        times = np.where(owner < sets, 1, many[group] if len(many) else 1)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        owner, group = np.repeat(owner, times), np.repeat(group, times)
+        tokens, counts = np.repeat(tokens, times), np.repeat(counts, times)
+        if len(many):
+            owner = np.where(owner < sets, owner, within[np.minimum(begin[group] + nth, len(within) - 1)])
         order = np.lexsort((tokens, counts, owner))
         owner, tokens = owner[order], tokens[order]
-        sizes = np.array([n for _, n in names], dtype=np.int64)
-        shared = np.bincount(owner, minlength=len(names))
+        by_set = {at: (c, n) for c, n, at in names}
+        classes, sizes = zip(*[by_set[i] for i in range(sets)], strict=True) if sets else ((), ())
+        sizes = np.array(sizes, dtype=np.int64)
+        shared = np.bincount(owner, minlength=sets)
         q = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
         keep = q <= (shared - jaccard.needed(sizes, percent))[owner]
         owner, tokens, q = owner[keep], tokens[keep], q[keep]
-        return pd.DataFrame({"token": tokens.view(np.int64), "c": [names[i][0] for i in owner], "n": sizes[owner], "s": shared[owner], "q": q})
+        return pd.DataFrame({"token": tokens.view(np.int64), "c": [classes[i] for i in owner], "n": sizes[owner], "s": shared[owner], "q": q})
 
     counted = texts.mapInPandas(deal, _DEALT).groupBy("p").applyInPandas(_counter(True), _COUNTED)
     return counted.groupBy("blk").applyInPandas(gather, "token long, c binary, n long, s long, q long")
@@ -306,6 +352,12 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("_x", "_y")).cast("long").alias("shared"))
 
 
+def _dealt_join(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """index beside its (token, block)'s row of lists; the sets of a long list are dealt over SALTS places."""
+    salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return index.withColumn("_salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(salted, ["token", "block", "_salt"]).drop("_salt")
+
+
 def links(docs: DataFrame, rows: DataFrame, parts: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links that connect all linked classes: a, b. docs: doc_id, text; rows: as _candidates() gives them."""
     chosen = cut(rows.filter("open").groupBy("c").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("c", "k._k1", "k._k2"))
@@ -323,7 +375,7 @@ def links(docs: DataFrame, rows: DataFrame, parts: int, words: int = WORDS, perc
     blocks = cut(blocks.filter("k > 1 AND home").drop("home"))
     lists = index.join(blocks.filter(F.col("k") <= WHOLE).select("token", "block"), ["token", "block"], "left_semi").groupBy("token", "block").agg(F.collect_list(item).alias("l"))
     short = lists.select(F.explode(F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (y["c"] > x["c"]) & (x["home"] | y["home"]) & _may(x, y, percent)), lambda y: F.struct(*_ordered(x, y)))))).alias("p")).select("p.*")
-    long = cut(index.join(blocks.filter(F.col("k") > WHOLE).select("token", "block", "pivots"), ["token", "block"]))
+    long = cut(_dealt_join(index, blocks.filter(F.col("k") > WHOLE).select("token", "block", "pivots")))
     # A set meets a pivot once, in however many lists they stand together.
     met = F.transform(F.filter("pivots", lambda y: (y["c"] != F.col("c")) & _may(y, item, percent)), lambda y: F.struct(y["c"].alias("c"), y["n"].alias("n")))
     star = long.groupBy("c", "n").agg(F.array_distinct(F.flatten(F.collect_set(met))).alias("met")).select(F.struct("c", "n").alias("x"), F.explode("met").alias("y")).select(*_ordered(F.col("x"), F.col("y")))
@@ -333,15 +385,20 @@ def links(docs: DataFrame, rows: DataFrame, parts: int, words: int = WORDS, perc
     # Of long blocks: sets that aren't in the block's largest group meet the others' sets.
     labelled = long.drop("pivots").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     labelled = cut(labelled)
+    # What a block's sets share at most is told by where the token stands in them; sets that can reach nobody go before any set is read.
+    reach = [F.max("q").alias("before"), F.max(F.col("s") - F.col("q")).alias("after"), F.min("n").alias("least")]
+    limits = labelled.groupBy("token", "block").agg(*reach)
+    shared = F.least("q", "before") + F.least(F.col("s") - F.col("q"), "after")
+    labelled = cut(_dealt_join(labelled, limits).filter(100 * shared >= percent * (F.col("n") + F.col("least") - shared)).drop("before", "after", "least"))
     sums = labelled.groupBy("token", "block", "root").agg(F.count("*").alias("k"))
     most = sums.groupBy("token", "block").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("groups"), F.sum("k").alias("all")).filter("groups > 1")
     most = most.select("token", "block", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.k")).alias("few"))
-    held = labelled.join(most, ["token", "block"])
+    held = _dealt_join(labelled, most)
     # Parts of about so many tokens: every part of the few meets every part of all.
-    each = lambda tokens: F.greatest(F.lit(16), F.floor(tokens / F.exp(F.col("block") * step))).cast("long")
-    parts_of = lambda k, tokens: F.greatest(F.lit(1), F.ceil(F.col(k) / each(tokens))).cast("int")
+    each = lambda tokens, sets: F.greatest(F.lit(16), F.least(F.lit(sets), F.floor(tokens / F.exp(F.col("block") * step)))).cast("long")
+    parts_of = lambda k, tokens, sets: F.greatest(F.lit(1), F.ceil(F.col(k) / each(tokens, sets))).cast("int")
     part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "c"), F.col(n)).cast("int")
-    held = held.withColumns({"_i": parts_of("few", FEW), "_j": parts_of("all", ALL)})
+    held = held.withColumns({"_i": parts_of("few", FEW, FEW_SETS), "_j": parts_of("all", ALL, ALL_SETS)})
     few = held.filter("root <> main").select("token", "block", "c", "root", "main", part(1, "_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_j") - 1)).alias("j"), F.lit(True).alias("asks"))
     every = held.select("token", "block", "c", "root", "main", F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("i"), part(2, "_j").alias("j"), F.lit(False).alias("asks"))
     meet = few.unionByName(every).join(sets, "c")
@@ -375,12 +432,8 @@ def _derived(pdf, percent: int):
     tokens = [np.asarray(t) for t in pdf["tokens"]]
     sizes = np.array([len(t) for t in tokens])
     r = np.sort(tokens[main[0] if len(main) else y[0]])
-    # Of the tokens beside r, only what an asking set and another set have matters.
-    _, first = np.unique(c, return_index=True)
-    seen, count = np.unique(np.concatenate([tokens[i] for i in first]), return_counts=True)
     flat = lambda rows: (np.repeat(np.arange(len(rows)), sizes[rows]), np.concatenate([tokens[i] for i in rows]))
     (xi, xt), (yi, yt) = flat(x), flat(y)
-    beside = np.setdiff1d(np.intersect1d(seen[count > 1], xt), r)
 
     def table(rows: int, owner: np.ndarray, own: np.ndarray, words: np.ndarray) -> np.ndarray:
         out = np.zeros((rows, len(words)), dtype=np.float32)
@@ -390,17 +443,37 @@ def _derived(pdf, percent: int):
             out[owner[hit], place[hit]] = 1
         return out
 
-    of_r, lacks = table(len(x), xi, xt, r), 1 - table(len(y), yi, yt, r)
-    shared = of_r.sum(axis=1)[:, None] - of_r @ lacks.T + table(len(x), xi, xt, beside) @ table(len(y), yi, yt, beside).T
-    shared = np.rint(shared).astype(np.int64)
-    linked = (100 * shared >= percent * (sizes[x][:, None] + sizes[y][None, :] - shared)) & (root[x][:, None] != root[y][None, :])
+    of_r = table(len(x), xi, xt, r)
+    shared = of_r.sum(axis=1)[:, None] - of_r @ (1 - table(len(y), yi, yt, r)).T
+    # Of the tokens beside r, only what an asking set and another set have matters: few that many have, as tables, and many that few have, one by one.
+    beside = np.setdiff1d(np.intersect1d(xt, yt), r)
+    if len(beside):
+        place = lambda t: np.minimum(np.searchsorted(beside, t), len(beside) - 1)
+        px, py = place(xt), place(yt)
+        hx, hy = beside[px] == xt, beside[py] == yt
+        px, ox, py, oy = px[hx], xi[hx], py[hy], yi[hy]
+        nx, ny = np.bincount(px, minlength=len(beside)), np.bincount(py, minlength=len(beside))
+        often = nx * ny * 8 > len(x) * len(y)
+        if often.any():
+            words = beside[often]
+            shared += table(len(x), xi, xt, words) @ table(len(y), yi, yt, words).T
+        order = np.argsort(px, kind="stable")
+        ox, begin = ox[order], np.cumsum(nx) - nx
+        rare = np.flatnonzero(~often[py])
+        flat_shared = shared.reshape(-1)
+        ends = np.cumsum(nx[py[rare]])
+        for part in np.split(rare, np.searchsorted(ends, np.arange(2_000_000, int(ends[-1]) if len(ends) else 0, 2_000_000))):
+            times = nx[py[part]]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            rows = ox[np.repeat(begin[py[part]], times) + nth]
+            np.add.at(flat_shared, rows * len(y) + np.repeat(oy[part], times), np.float32(1))
+    groups = np.unique(root[y], return_inverse=True)[1]
     out = []
-    for i in np.flatnonzero(linked.any(axis=1)).tolist():
-        seen = set()
-        for j in np.flatnonzero(linked[i]).tolist():
-            if root[y[j]] not in seen:
-                seen.add(root[y[j]])
-                out.append((c[x[i]], c[y[j]]))
+    for i in range(len(x)):
+        n = np.rint(shared[i]).astype(np.int64)
+        linked = np.flatnonzero((100 * n >= percent * (sizes[x[i]] + sizes[y] - n)) & (root[y] != root[x[i]]))
+        for j in linked[np.unique(groups[linked], return_index=True)[1]].tolist():
+            out.append((c[x[i]], c[y[j]]))
     return pd.DataFrame(out, columns=["a", "b"]) if out else none
 
 

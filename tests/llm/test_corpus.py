@@ -35,7 +35,8 @@ def test_components(spark):
         assert got == {x: top(x) for x in parent if x not in alone}
 
 
-def near_by_hand(rows, words=5, percent=75):
+def groups_by_hand(rows, words=5, percent=75):
+    """Each row's set and the number of its component."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
@@ -49,7 +50,11 @@ def near_by_hand(rows, words=5, percent=75):
             low = min(group[i], group[j])
             changed |= group[i] != low or group[j] != low
             group[i] = group[j] = low
-    least = {}
+    return sets, group
+
+
+def near_by_hand(rows, words=5, percent=75):
+    (sets, group), least = groups_by_hand(rows, words, percent), {}
     for (doc, _), g in zip(rows, group, strict=True):
         least[g] = min((x for x in (least.get(g), doc) if x is not None), default=None)
     return sorted((str(d), len(s), str(least[g])) for (d, _), s, g in zip(rows, sets, group, strict=True))
@@ -84,22 +89,50 @@ def test_jaccard_against_all_pairs(spark, copies, monkeypatch):
     ids[9] = ids[8]
     t = docs(spark, copies, ids=ids)
     want = near_by_hand(list(zip(ids, copies, strict=True)))
-    for whole, pivots, few, every in ((24, 8, 200_000, 800_000), (4, 2, 300, 2000)):
-        for k, v in (("WHOLE", whole), ("PIVOTS", pivots), ("FEW", few), ("ALL", every)):
+    for whole, pivots, few, every, held in ((24, 8, 200_000, 800_000, 500_000), (4, 2, 300, 2000, 900)):
+        for k, v in (("WHOLE", whole), ("PIVOTS", pivots), ("FEW", few), ("ALL", every), ("HELD", held), ("FEW_SETS", 3 if whole == 4 else 2000), ("ALL_SETS", 7 if whole == 4 else 8000)):
             monkeypatch.setattr(jaccard, k, v)
         got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(t).collect())
         assert got == want
     kept = jaccard.keep_first(t)
     assert kept.columns == t.columns
-    groups = {}
-    for (d, _, g) in want:
-        groups.setdefault(g, set()).add(d)
-    assert kept.filter("doc_id IS NOT NULL AND text LIKE '%w1%'").count() == kept.filter("doc_id IS NOT NULL AND text LIKE '%w1%'").select("doc_id").distinct().count()
+    rows = list(zip(ids, copies, strict=True))
+    sets, group = groups_by_hand(rows)
+    of = {row: g for row, s, g in zip(rows, sets, group, strict=True) if s}
+    stayed = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(of[r] for r in stayed if r in of) == sorted({g for g, s in zip(group, sets, strict=True) if s})
+    assert sorted(map(repr, (r for r in stayed if r not in of))) == sorted(repr(r) for r, s in zip(rows, sets, strict=True) if not s)
+    lowest = {g: min((d for (d, _), x in zip(rows, group, strict=True) if x == g and d is not None), default=None) for g in group}
+    assert all(r[0] == lowest[of[r]] for r in stayed if r in of)
     assert jaccard.join(t.limit(0)).count() == 0 and jaccard.keep_first(t.limit(0)).count() == 0
     again = jaccard.keep_first(kept)
     assert again.count() == kept.count()
 
 
+def test_jaccard_of_templates_and_copies(spark):
+    """Very many short texts that share all but a word, and very many copies: no two sets of them meet, none is held twice."""
+    templates = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f g x"), F.col("id").cast("string")).alias("text"))
+    copies = spark.range(100_000, 200_000).select(F.col("id").alias("doc_id"), F.lit("the same nine words stand here again and again").alias("text"))
+    near = spark.createDataFrame([(300_000 + i, " ".join(f"v{j}" for j in range(40)) + f" z{i}") for i in range(60)], "doc_id long, text string")
+    rows = jaccard.join(templates.unionByName(copies).unionByName(near))
+    got = {(r["k"], r["c"]): r["n"] for r in rows.select(F.when(F.col("doc_id") < 100_000, "t").when(F.col("doc_id") < 300_000, "c").otherwise("n").alias("k"), F.when(F.col("component_id") == F.col("doc_id"), "own").otherwise("other").alias("c")).groupBy("k", "c").agg(F.count("*").alias("n")).collect()}
+    assert got == {("t", "own"): 40_000, ("c", "own"): 1, ("c", "other"): 99_999, ("n", "own"): 1, ("n", "other"): 59}
+
+
+def test_derived_against_all_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(61)
+    base = rng.integers(0, 1 << 40, 40)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(20, 40), replace=False), rng.integers(0, 60, rng.integers(0, 14))])) for _ in range(120)]
+    asks = rng.random(120) < 0.4
+    names = np.array([f"c{i:03d}".encode() for i in range(120)], dtype=object)
+    pdf = pd.DataFrame({"c": names, "root": names, "main": names[0], "asks": asks, "tokens": sets})
+    got = {tuple(r) for r in jaccard._derived(pdf, 75).itertuples(index=False)}
+    want = {(names[i], names[j]) for i in np.flatnonzero(asks) for j in np.flatnonzero(~asks) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert got == want and want
+
+
 def test_keep_first_keeps_one_of_equal_rows_and_of_null_ids(spark):
     rng = random.Random(13)
     a, b, c = (" ".join(f"w{rng.randrange(999)}" for _ in range(40)) for _ in range(3))
