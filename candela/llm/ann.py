@@ -11,13 +11,13 @@ from pyspark.sql.window import Window
 
 from candela.llm.common import cut, importable
 
-#: Rows learnt from, neighbours of each in the graph, rows that a partition is meant to hold, fewest and most partitions.
-SAMPLE, NEIGHBOURS, HELD, FEWEST, MOST = 8192, 10, 512, 4, 256
-#: Share of the sample's neighbours that routing must reach.
-REACH = 0.97
+#: Rows that a router learns from, neighbours of each in the graph, rows that a partition is meant to hold, most partitions of one router.
+SAMPLE, NEIGHBOURS, HELD, FAN = 8192, 10, 256, 256
+#: Share of the sample's neighbours that a router's most probable partitions must hold. They are farther apart than the table's.
+REACH = 0.93
 #: Rows and queries that one task compares.
-ROWS, QUERIES = 2048, 2048
-HIDDEN, EPOCHS, SEED = 128, 40, 7
+ROWS, QUERIES = 8192, 32_768
+HIDDEN, EPOCHS, SEED = 128, 30, 7
 
 
 @dataclass
@@ -27,6 +27,10 @@ class Router:
     weights: list[np.ndarray]
     probes: int = 1
 
+    @property
+    def parts(self) -> int:
+        return len(self.weights[3])
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.weights
         return np.maximum(x @ w1 + b1, 0) @ w2 + b2
@@ -107,20 +111,70 @@ def train(x: np.ndarray, label: np.ndarray, parts: int) -> list[np.ndarray]:
     return w
 
 
-def learn(sample: np.ndarray, rows: int) -> tuple[Router, int]:
-    """A router for a table of so many rows from a sample of its vectors, and the number of partitions."""
+def learn(sample: np.ndarray, rows: int, reach: float = REACH, fan: int = FAN) -> Router:
+    """A router for so many rows from a sample of their vectors: a partition for each HELD rows, as far as the sample tells them apart."""
     x = np.unique(sample, axis=0)
-    parts = int(min(max(rows // HELD, FEWEST), MOST, max(1, len(x) // 16)))
+    parts = int(min(-(-rows // HELD), fan, max(1, len(x) // 16)))
     if parts < 2:
-        return Router([np.zeros((sample.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)]), 1
+        return Router([np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)])
     graph = neighbours(x, min(NEIGHBOURS, len(x) - 1))
     router = Router(train(x, balanced(x, graph, parts), parts))
     order = np.argsort(-router.logits(x), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(parts), order.shape), axis=1)
     reached = np.sort(place[np.arange(len(x))[:, None], order[:, 0][graph]].ravel())
-    router.probes = int(min(parts, reached[int(np.ceil(REACH * len(reached))) - 1] + 2))
-    return router, parts
+    router.probes = parts if reach >= 1 else int(reached[int(np.ceil(reach * len(reached))) - 1]) + 1
+    router.weights = [w.astype(np.float32) for w in router.weights]
+    return router
+
+
+@dataclass
+class Tree:
+    """Routers of one or two levels: the first deals vectors out over partitions, of which large ones have a router of their own.
+
+    Partitions are numbered part * fan + part within the part. Its size is bounded: fan + 1 routers.
+    """
+
+    first: Router
+    second: dict[int, Router]
+    fan: int = FAN
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        out = self.first.home(x) * self.fan
+        for p in np.unique(out // self.fan).tolist():
+            if p in self.second:
+                own = out // self.fan == p
+                out[own] += self.second[p].home(x[own])
+        return out
+
+    def routes(self, x: np.ndarray, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and partitions that they go to: as many of the most probable as each router probes, and more until these hold over k rows."""
+        rows, parts = [], []
+        z = self.first.logits(x)
+        order = np.argsort(-z, axis=1, kind="stable")
+        held = np.array([sum(counts.get(p * self.fan + i, 0) for i in range(self.second[p].parts if p in self.second else 1)) for p in range(self.first.parts)])
+        need = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+        goes = np.arange(self.first.parts)[None, :] < np.maximum(self.first.probes, need)[:, None]
+        i, j = np.nonzero(goes)
+        p = order[i, j]
+        for part in np.unique(p).tolist():
+            own = i[p == part]
+            if part not in self.second:
+                if counts.get(part * self.fan):
+                    rows.append(own)
+                    parts.append(np.full(len(own), part * self.fan))
+                continue
+            sub = self.second[part]
+            inner = np.argsort(-sub.logits(x[own]), axis=1, kind="stable")
+            n = np.array([counts.get(part * self.fan + c, 0) for c in range(sub.parts)])
+            need = (np.cumsum(n[inner], axis=1) <= k).sum(axis=1) + 1
+            a, b = np.nonzero(np.arange(sub.parts)[None, :] < np.maximum(sub.probes, need)[:, None])
+            c = inner[a, b]
+            some = n[c] > 0
+            rows.append(own[a[some]])
+            parts.append(part * self.fan + c[some])
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate(rows or [none]), np.concatenate(parts or [none])
 
 
 def usable(vector: Column) -> Column:
@@ -129,15 +183,69 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+def _fit(vectors: DataFrame, rows: int, reach: float) -> list:
+    """Rows (part, size, router) learnt where the sample is: vectors has part and embedding, SAMPLE rows of a part at most."""
+
+    fan = FAN
+
+    def fit(pdf):
+        import pickle
+
+        import pandas as pd
+
+        from candela.llm import ann
+
+        sizes = [len(v) for v in pdf["embedding"]]
+        size = max(sorted(set(sizes)), key=sizes.count)
+        router = ann.learn(np.array([v for v in pdf["embedding"] if len(v) == size]), int(pdf["rows"].iloc[0]), reach, fan)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "size": [size], "router": [pickle.dumps(router)]})
+
+    return vectors.groupBy("part").applyInPandas(fit, "part int, size int, router binary").collect()
+
+
+def grow(candidates: DataFrame, reach: float = REACH) -> tuple[Tree, int] | None:
+    """The routers of a table (vec_id, embedding) and the length of its vectors; None for an empty table.
+
+    The first is learnt from SAMPLE rows by least hash. Where the table has more rows than FAN partitions should hold, each partition's own router
+    is learnt from SAMPLE of its rows, about, in a task of its own.
+    """
+    import pickle
+
+    total = candidates.count()
+    hashed = F.xxhash64("vec_id")
+    sample = candidates.orderBy(hashed, "vec_id").limit(SAMPLE).select(F.lit(0).alias("part"), F.lit(total).alias("rows"), "embedding")
+    found = _fit(sample, total, reach)
+    if not found:
+        return None
+    size, tree = found[0]["size"], Tree(pickle.loads(found[0]["router"]), {}, FAN)
+    if total > FAN * HELD and tree.first.parts > 1:
+        rows = candidates.filter(F.size("embedding") == size)
+
+        def homes(frames):
+            for pdf in frames:
+                yield pdf.assign(part=tree.first.home(np.stack(pdf["embedding"].to_list())) if len(pdf) else [])
+
+        placed = cut(rows.mapInPandas(homes, "vec_id long, embedding array<double>, part int"))
+        sums = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        large = {p: n for p, n in sums.items() if n > 2 * HELD}
+        share = F.create_map(*[x for p, n in large.items() for x in (F.lit(p), F.struct(F.lit(n).alias("n"), F.lit(min(1.0, SAMPLE / n)).alias("f")))]) if large else None
+        if large:
+            own = F.try_element_at(share, "part")
+            picked = placed.withColumn("_own", own).filter((F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 30)) / float(1 << 30)) < F.col("_own.f"))
+            tree.second = {r["part"]: pickle.loads(r["router"]) for r in _fit(picked.select("part", F.col("_own.n").alias("rows"), "embedding"), total, reach)}
+    return tree, size
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, reach: float = REACH) -> DataFrame:
     """Each query's k nearest candidates by Euclidean distance: query_id, rank, vec_id, score.
 
     queries, candidates: vec_id, embedding. A candidate with the query's own id isn't compared. A
-    neighbour graph of SAMPLE candidates at most is cut into balanced partitions and a small network
-    learns them; every candidate goes to its most probable one, every query to as many of the most probable as
-    reached REACH of the sample's neighbours, and to more while they hold fewer than k others. There
+    neighbour graph of a sample is cut into balanced partitions and a small network
+    learns them, on two levels for large tables (grow()); every candidate goes to its most probable one, every query to as many of the most probable as
+    reached `reach` of the sample's neighbours, and to more while they hold k others or fewer; reach=1 compares all, which is exact. There
     all distances are computed in double precision on the original vectors; ties go to the smaller
-    vec_id. Large partitions are compared in blocks, so a vector that a third of all rows share is split.
+    vec_id. Of candidates with one vector the k + 1 of smallest ids alone can be among a query's k, so the others go first, and a vector that
+    a third of all rows share is no large partition.
 
     Unusable vectors, null ids and vectors of another length than most of the sample take no part. Repeated
     candidates count each; a repeated query is answered once. No candidates: no rows.
@@ -147,44 +255,38 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame
     own = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     candidates, queries = own(candidates), own(queries).dropDuplicates(["vec_id"])
     schema = "query_id long, rank int, vec_id long, score double"
-    sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not sample:
+    grown = grow(candidates, reach)
+    if grown is None:
         return spark.createDataFrame([], schema)
-    sizes = [len(r["embedding"]) for r in sample]
-    size = max(set(sizes), key=sizes.count)
+    tree, size = grown
     candidates, queries = (df.filter(F.size("embedding") == size) for df in (candidates, queries))
-    router, parts = learn(np.array([r["embedding"] for r in sample if len(r["embedding"]) == size]), candidates.count())
+    alike = Window.partitionBy(F.xxhash64(F.lit(1), "embedding"), F.xxhash64(F.lit(2), "embedding")).orderBy("vec_id")
+    candidates = candidates.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k + 1).drop("_n")
+    # At most (FAN + 1) routers of some 100 kB.
+    shared = spark.sparkContext.broadcast(tree)
 
     def homes(frames):
         for pdf in frames:
-            yield pdf.assign(part=router.home(np.stack(pdf["embedding"].to_list())) if len(pdf) else [])
+            yield pdf.assign(part=shared.value.home(np.stack(pdf["embedding"].to_list())) if len(pdf) else [])
 
     placed = cut(candidates.mapInPandas(homes, "vec_id long, embedding array<double>, part int"))
+    # One number for each partition, FAN * FAN at most.
     held = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    counts = np.array([held.get(p, 0) for p in range(parts)])
 
     def routes(frames):
-        import pandas as pd
-
         for pdf in frames:
-            rows = []
-            for vec, x, z in zip(pdf["vec_id"], pdf["embedding"], router.logits(np.stack(pdf["embedding"].to_list())) if len(pdf) else (), strict=True):
-                order = np.argsort(-z, kind="stable")
-                need = int(np.searchsorted(np.cumsum(counts[order]), k + 1)) + 1
-                rows += [(vec, x, int(p)) for p in order[: max(router.probes, need)] if counts[p]]
-            yield pd.DataFrame(rows, columns=["vec_id", "embedding", "part"])
+            if len(pdf):
+                rows, parts = shared.value.routes(np.stack(pdf["embedding"].to_list()), held, k)
+                yield pdf.iloc[rows].assign(part=parts)
 
     asked = cut(queries.mapInPandas(routes, "vec_id long, embedding array<double>, part int"))
-    wanted = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    if not wanted:
-        return spark.createDataFrame([], schema)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("rows")).join(asked.groupBy("part").agg(F.count("*").alias("asks")), "part")
     # Blocks of a partition: rows by one hash, queries by another; each meets all blocks of the other.
-    blocks = lambda n, most: F.array(*[F.lit(-(-int(n.get(p, 0)) // most) or 1) for p in range(parts)])[F.col("part")]
-    row_blocks, query_blocks = blocks(held, ROWS), blocks(wanted, QUERIES)
-    mine = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = placed.select("vec_id", "embedding", "part", mine(1, row_blocks).alias("b"), every(query_blocks).alias("q"), F.lit(False).alias("asks"))
-    right = asked.select("vec_id", "embedding", "part", mine(2, query_blocks).alias("q"), every(row_blocks).alias("b"), F.lit(True).alias("asks")).select(left.columns)
+    sizes = F.broadcast(sizes.select("part", F.ceil(F.col("rows") / ROWS).cast("int").alias("_r"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("_a")))
+    mine = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.join(sizes, "part").select("vec_id", "embedding", "part", mine(1, "_r").alias("b"), every("_a").alias("q"), F.lit(False).alias("asks"))
+    right = asked.join(sizes, "part").select("vec_id", "embedding", "part", mine(2, "_a").alias("q"), every("_r").alias("b"), F.lit(True).alias("asks")).select(left.columns)
 
     def compare(pdf):
         import pandas as pd

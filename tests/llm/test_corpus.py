@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,6 +365,37 @@ def test_neighbours(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_neighbours_of_a_large_table(spark, monkeypatch):
+    """Far more rows than a router learns from, on one and on two levels: what is scanned and found; and the exact way."""
+    rng = np.random.default_rng(81)
+    centres = rng.normal(size=(300, 16))
+    x = (centres[rng.integers(0, 300, 50_000)] + 0.35 * rng.normal(size=(50_000, 16))).astype(np.float32)
+    t = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>").cache()
+    queries = t.filter("vec_id % 500 = 0")
+    want = exact(x, list(range(50_000)), range(0, 50_000, 500))
+    for fan in (256, 16):
+        monkeypatch.setattr(ann, "FAN", fan)
+        tree, size = ann.grow(t.selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding"))
+        assert size == 16 and bool(tree.second) == (fan == 16)
+        home, y = tree.home(x.astype(float)), x[::500].astype(float)
+        counts = dict(zip(*map(np.ndarray.tolist, np.unique(home, return_counts=True)), strict=True))
+        rows, parts = tree.routes(y, counts, 10)
+        scanned = sum(counts[p] for p in parts.tolist()) / len(y) / 50_000
+        got = {}
+        for r in ann.nearest(queries, t).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        recall = np.mean([len(got[q] & {v for v, _ in near}) / 10 for q, near in want.items()])
+        assert recall >= 0.9 and scanned <= 0.25, (fan, recall, scanned)
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(queries, t, reach=1).collect()]
+    assert sorted(got) == [(q, i + 1, v) for q, near in sorted(want.items()) for i, (v, _) in enumerate(near)]
+
+
+def test_neighbours_beside_columns_of_the_same_names(spark):
+    t = vectors(spark, np.eye(12), [100 * i for i in range(12)]).selectExpr("*", "1 AS part", "'x' AS score", "'y' AS rank", "2 AS rows", "3 AS b", "4 AS asks")
+    rows = ann.nearest(t, t, 3).collect()
+    assert len(rows) == 36 and all(r["score"] == pytest.approx(2**0.5) for r in rows)
+
+
 def test_neighbours_of_odd_tables(spark):
     nan, inf = float("nan"), float("inf")
     x = [[1, 0], [0, 1], [1, 1], None, [0, 0], [nan, 1], [1, inf], [None, 1], [1, 2, 3], []]
