@@ -32,7 +32,7 @@ from candela.llm.common import fresh_path, importable  # noqa: F401
 
 END = 1
 #: Ids in a block; uses that a rule needs; a round replaces pairs that stand at least 1/SHARE as often as the most frequent one.
-BLOCK, LEAST, SHARE = 1_000_000, 8, 4
+BLOCK, LEAST, SHARE = 1_000_000, 8, 3
 #: Symbols of two bytes, and plain ids beyond which symbols have four.
 TWO, MOST_PLAIN = 1 << 16, 60_000
 SCHEMA = "part int, block int, first_id long, last_id long, width int, base int, doc_ids array<bigint>, n_tokens array<bigint>, at array<bigint>, symbols binary, rules binary, lengths binary"
@@ -42,84 +42,123 @@ def width_of(base: int) -> int:
     return 2 if base <= MOST_PLAIN else 4
 
 
-def pair_counts(seq: np.ndarray, ends: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every different pair of neighbours, as left << shift | right in ascending order, and how often it stands there; none begins at a document's end."""
+def pair_keys(seq: np.ndarray, ends: np.ndarray, shift: int) -> np.ndarray:
+    """left << shift | right of all neighbours; all bits are set where left ends a document, which no pair of symbols under 2**shift - 1 is."""
     kind = np.uint32 if shift == 16 else np.uint64
-    keys = ((seq[:-1].astype(kind) << kind(shift)) | seq[1:])[~ends[:-1]]
-    keys.sort()
+    keys = seq[:-1].astype(kind)
+    keys <<= kind(shift)
+    keys |= seq[1:]
+    keys[ends[:-1]] = ~kind(0)
+    return keys
+
+
+def pair_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every different pair in ascending order and how often it stands there."""
+    keys = np.sort(keys)
+    keys = keys[: np.searchsorted(keys, ~keys.dtype.type(0))]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+class _Lookup:
+    """Which of some pairs a key is, through a table of slots. Of pairs that meet in a slot the first is known."""
+
+    BITS = 20
+
+    def __init__(self, pairs: np.ndarray):
+        self.pairs, self.table = pairs, np.zeros(1 << self.BITS, dtype=np.int32)
+        self.table[self.slot(pairs[::-1])] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        wide = keys.dtype.itemsize == 8
+        mixed = keys * (np.uint64(0x9E3779B97F4A7C15) if wide else np.uint32(0x9E3779B1))
+        return mixed >> keys.dtype.type((64 if wide else 32) - self.BITS)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys that are known pairs, and which."""
+        which = self.table[self.slot(keys)]
+        at = np.flatnonzero(self.pairs[which] == keys)
+        return at, which[at]
+
+
 def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, share: int = SHARE):
     """Re-Pair: (symbols, rules, lengths, each document's first symbol).
 
-    ids: plain ids under base; last: where a document ends. Each round counts all pairs of neighbours exactly and replaces the
+    ids: plain ids under base; last: where a document ends. Each round counts pairs exactly and replaces the
     most frequent one, and those at least 1/share as frequent, by new symbols, the more frequent first and from the left; then it counts
-    again over what is left, new symbols too, until no pair stands `least` times or symbols of width_of(base) bytes run out.
+    again over what is left, new symbols too, until no pair stands `least` times or symbols of width_of(base) bytes run out. The limit falls by
+    `share` at least from round to round. Once it is `least`, only pairs of new symbols can have become frequent, so that rounds
+    count around these alone, until a count of everything finds no more.
     """
     shift = 8 * width_of(base)
     seq, ends = ids.astype(np.uint32), last.copy()
-    rules, lengths, names = [], [np.ones(base, dtype=np.int64)], base
-    while len(seq) > 1 and names < 1 << shift:
-        pairs, count = pair_counts(seq, ends, shift)
+    rules, lengths, names, limit, fresh = [], [np.ones(base, dtype=np.int64)], base, np.inf, 0
+    while len(seq) > 1 and names < (1 << shift) - 1:
+        keys, spots = pair_keys(seq, ends, shift), None
+        if fresh:
+            near = seq >= fresh
+            spots = np.flatnonzero(near[:-1] | near[1:])
+        pairs, count = pair_counts(keys if spots is None else keys[spots])
         top = int(count.max()) if len(count) else 0
         if top < least:
-            break
-        chosen = np.flatnonzero(count >= max(least, -(-top // share)))
-        chosen = chosen[np.argsort(-count[chosen], kind="stable")][: (1 << shift) - names]
-        pairs, order = pairs[chosen], np.argsort(pairs[chosen])
-        left, right = pairs >> pairs.dtype.type(shift), pairs & pairs.dtype.type((1 << shift) - 1)
-        # Where both symbols stand in some chosen pair, the pair is looked up.
-        one, two = np.zeros(names, dtype=bool), np.zeros(names, dtype=bool)
-        one[left], two[right] = True, True
-        may = np.flatnonzero(one[seq[:-1]] & two[seq[1:]] & ~ends[:-1])
-        keys = (seq[may].astype(pairs.dtype) << pairs.dtype.type(shift)) | seq[may + 1]
-        place = np.minimum(np.searchsorted(pairs[order], keys), len(pairs) - 1)
-        hit = pairs[order][place] == keys
-        at, which = may[hit], order[place[hit]]
-        # Of matches side by side, a more frequent pair goes before its neighbours; every other one of a run of equals counts from the left.
+            if not fresh:
+                break
+            fresh = 0
+            continue
+        limit = max(least, min(-(-top // share), limit // share))
+        chosen = np.flatnonzero(count >= limit)
+        chosen = chosen[np.argsort(-count[chosen], kind="stable")][: (1 << shift) - 1 - names]
+        pairs = pairs[chosen]
+        at, which = _Lookup(pairs).find(keys if spots is None else keys[spots])
+        if spots is not None:
+            at = spots[at]
         keep = _apart(at, which)
         at, which = at[keep], which[keep]
-        # Pairs that overlap more frequent ones may have lost most of their places; they wait for another round.
-        used = np.bincount(which, minlength=len(pairs))
-        good = used >= 2
+        # Pairs that overlap more frequent ones may have lost their places; they wait for another round.
+        good = np.bincount(which, minlength=len(pairs)) >= 2
         good[0] = True
         at, which = at[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
-        left, right = left[good], right[good]
+        pairs = pairs[good]
         seq[at] = names + which
         ends[at] = ends[at + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
         seq, ends = seq[stay], ends[stay]
         known = np.concatenate(lengths)
-        rules.append(np.column_stack([left, right]).astype(np.int64))
+        rules.append(np.column_stack([pairs >> pairs.dtype.type(shift), pairs & pairs.dtype.type((1 << shift) - 1)]).astype(np.int64))
         lengths.append(known[rules[-1]].sum(axis=1))
-        names += len(left)
+        fresh = names if limit == least else 0
+        names += len(pairs)
     kind = f"<u{shift // 8}"
     flat = np.concatenate(rules) if rules else np.zeros((0, 2))
     return seq.astype(kind), flat.astype(kind), np.concatenate(lengths)[base:].astype("<u4"), np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
 
 
 def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which matches at ascending places are taken, so that no two overlap: every other one from the left of a run of matches side by side, and
-    before that those of least rank in their run whose neighbours rank behind them."""
-    if not len(at):
-        return np.zeros(0, dtype=bool)
+    """Which matches at ascending places are taken, so that no two overlap: in a run of matches side by side first those that rank before
+    both neighbours, then every other one from the left of what is left between."""
+    taken = np.ones(len(at), dtype=bool)
     touch = np.diff(at) == 1
-    before, after = np.concatenate([[False], touch]), np.concatenate([touch, [False]])
-    worse = np.int64(1 << 62)
-    ahead = np.where(before, np.concatenate([[worse], rank[:-1]]), worse)
-    behind = np.where(after, np.concatenate([rank[1:], [worse]]), worse)
-    best = (rank < ahead) & (rank < behind)
-    # What touches one of those is out; the rest falls into shorter runs.
-    out = (before & np.concatenate([[False], best[:-1]])) | (after & np.concatenate([best[1:], [False]]))
-    rest = np.flatnonzero(~out & ~best)
+    beside = np.zeros(len(at), dtype=bool)
+    beside[:-1] |= touch
+    beside[1:] |= touch
+    some = np.flatnonzero(beside)
+    if not len(some):
+        return taken
+    at, rank, touch = at[some], rank[some], np.diff(at[some]) == 1
+    best = np.ones(len(at), dtype=bool)
+    best[1:] &= ~touch | (rank[1:] < rank[:-1])
+    best[:-1] &= ~touch | (rank[:-1] < rank[1:])
+    out = best.copy()
+    out[:-1] |= touch & best[1:]
+    out[1:] |= touch & best[:-1]
+    rest = np.flatnonzero(~out)
     own = at[rest]
-    run = np.concatenate([[0], np.flatnonzero(np.diff(own) > 1) + 1]) if len(own) else np.zeros(0, dtype=np.int64)
-    begin = np.repeat(own[run], np.diff(np.append(run, len(own))))
-    taken = best
-    taken[rest[(own - begin) % 2 == 0]] = True
+    if len(own):
+        run = np.concatenate([[0], np.flatnonzero(np.diff(own) > 1) + 1])
+        begin = np.repeat(own[run], np.diff(np.append(run, len(own))))
+        best[rest[(own - begin) % 2 == 0]] = True
+    taken[some] = best
     return taken
 
 

@@ -231,13 +231,13 @@ def test_grammar_against_plain_repair():
     assert size <= 1.05 * size_by_hand and lengths.max() >= 190  # the passage is hardly more than a symbol
     ends = np.zeros(len(symbols), dtype=bool)
     ends[at[1:] - 1], ends[-1] = True, True
-    pairs, count = tokenfile.pair_counts(symbols.astype(np.uint32), ends, 16)
+    pairs, count = tokenfile.pair_counts(tokenfile.pair_keys(symbols.astype(np.uint32), ends, 16))
     assert count.max() < 8  # nothing that stands often enough is left
     by_hand = {}
     for d in made:
         for p in zip(d.tolist(), d.tolist()[1:], strict=False):
             by_hand[p] = by_hand.get(p, 0) + 1
-    pairs, count = tokenfile.pair_counts(ids.astype(np.uint32), last, 16)
+    pairs, count = tokenfile.pair_counts(tokenfile.pair_keys(ids.astype(np.uint32), last, 16))
     assert {(int(p) >> 16, int(p) & 65_535): int(n) for p, n in zip(pairs, count, strict=True)} == by_hand
 
 
