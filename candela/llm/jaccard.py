@@ -32,6 +32,8 @@ WHOLE, PIVOTS = 24, 8
 FEW, ALL, FEW_SETS, ALL_SETS = 200_000, 800_000, 2000, 8000
 #: Tokens, and rows, that a worker holds before it deals them out.
 HELD, MOST_SETS = 500_000, 60_000
+#: Lists that are broadcast by name at most, and sets of the least of them.
+HOT, LEAST_HOT = 50_000, 500
 #: Parts that the sets of a long list are dealt over.
 SALTS = 16
 #: Characters of texts whose tokens one task counts at most, about; more shuffle partitions than that asks for are kept.
@@ -373,7 +375,9 @@ def links(docs: DataFrame, rows: DataFrame, parts: int, words: int = WORDS, perc
     held = index.groupBy("token", "block", F.pmod(F.xxhash64("c"), F.lit(PIVOTS)).alias("g")).agg(F.count("*").alias("k"), F.max("home").alias("home"), F.min(item).alias("pivot"))
     blocks = held.groupBy("token", "block").agg(F.sum("k").alias("k"), F.max("home").alias("home"), F.collect_list("pivot").alias("pivots"))
     blocks = cut(blocks.filter("k > 1 AND home").drop("home"))
-    lists = index.join(blocks.filter(F.col("k") <= WHOLE).select("token", "block"), ["token", "block"], "left_semi").groupBy("token", "block").agg(F.collect_list(item).alias("l"))
+    # The rows of the longest lists don't go where the short ones are looked up. There are HOT such lists at most.
+    hot = blocks.filter(F.col("k") > max(LEAST_HOT, index.count() // HOT)).select("token", "block")
+    lists = index.join(F.broadcast(hot), ["token", "block"], "left_anti").join(blocks.filter(F.col("k") <= WHOLE).select("token", "block"), ["token", "block"], "left_semi").groupBy("token", "block").agg(F.collect_list(item).alias("l"))
     short = lists.select(F.explode(F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (y["c"] > x["c"]) & (x["home"] | y["home"]) & _may(x, y, percent)), lambda y: F.struct(*_ordered(x, y)))))).alias("p")).select("p.*")
     long = cut(_dealt_join(index, blocks.filter(F.col("k") > WHOLE).select("token", "block", "pivots")))
     # A set meets a pivot once, in however many lists they stand together.

@@ -42,13 +42,14 @@ def width_of(base: int) -> int:
     return 2 if base <= MOST_PLAIN else 4
 
 
-def pair_keys(seq: np.ndarray, ends: np.ndarray, shift: int) -> np.ndarray:
-    """left << shift | right of all neighbours; all bits are set where left ends a document, which no pair of symbols under 2**shift - 1 is."""
+def pair_keys(seq: np.ndarray, ends: np.ndarray, shift: int, spots: np.ndarray | None = None) -> np.ndarray:
+    """left << shift | right of all neighbours, or of those at `spots`; all bits are set where left ends a document, which no pair of symbols under 2**shift - 1 is."""
     kind = np.uint32 if shift == 16 else np.uint64
-    keys = seq[:-1].astype(kind)
+    left, right, last = (seq[:-1], seq[1:], ends[:-1]) if spots is None else (seq[spots], seq[spots + 1], ends[spots])
+    keys = left.astype(kind)
     keys <<= kind(shift)
-    keys |= seq[1:]
-    keys[ends[:-1]] = ~kind(0)
+    keys |= right
+    keys[last] = ~kind(0)
     return keys
 
 
@@ -61,18 +62,17 @@ def pair_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Lookup:
-    """Which of some pairs a key is, through a table of slots. Of pairs that meet in a slot the first is known."""
-
-    BITS = 20
+    """Which of some pairs a key is, through a table of slots, 32 or more for each pair. Of pairs that meet in a slot the first is known."""
 
     def __init__(self, pairs: np.ndarray):
-        self.pairs, self.table = pairs, np.zeros(1 << self.BITS, dtype=np.int32)
+        self.bits = min(20, max(10, len(pairs).bit_length() + 5))
+        self.pairs, self.table = pairs, np.zeros(1 << self.bits, dtype=np.int32)
         self.table[self.slot(pairs[::-1])] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         wide = keys.dtype.itemsize == 8
         mixed = keys * (np.uint64(0x9E3779B97F4A7C15) if wide else np.uint32(0x9E3779B1))
-        return mixed >> keys.dtype.type((64 if wide else 32) - self.BITS)
+        return mixed >> keys.dtype.type((64 if wide else 32) - self.bits)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of keys that are known pairs, and which."""
@@ -94,11 +94,12 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, s
     seq, ends = ids.astype(np.uint32), last.copy()
     rules, lengths, names, limit, fresh = [], [np.ones(base, dtype=np.int64)], base, np.inf, 0
     while len(seq) > 1 and names < (1 << shift) - 1:
-        keys, spots = pair_keys(seq, ends, shift), None
+        spots = None
         if fresh:
-            near = seq >= fresh
-            spots = np.flatnonzero(near[:-1] | near[1:])
-        pairs, count = pair_counts(keys if spots is None else keys[spots])
+            new = np.flatnonzero(seq >= fresh)
+            spots = np.union1d(new[new > 0] - 1, new[new < len(seq) - 1])
+        keys = pair_keys(seq, ends, shift, spots)
+        pairs, count = pair_counts(keys)
         top = int(count.max()) if len(count) else 0
         if top < least:
             if not fresh:
@@ -109,7 +110,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, s
         chosen = np.flatnonzero(count >= limit)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")][: (1 << shift) - 1 - names]
         pairs = pairs[chosen]
-        at, which = _Lookup(pairs).find(keys if spots is None else keys[spots])
+        at, which = _Lookup(pairs).find(keys)
         if spots is not None:
             at = spots[at]
         keep = _apart(at, which)
