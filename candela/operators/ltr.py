@@ -7,24 +7,26 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candela.constants import FEATURES, K, SEED
+from candela.constants import FEATURES, K, OVERLAP_FEATURES, ROUNDS, SEED, STRUCTURED_FEATURES
 from candela.errors import RankingGroupError
+from candela.operators import lambdamart
 from candela.operators.contracts import check_feature_subset, require_columns
+from candela.operators.lambdamart import Trees
 from candela.operators.ranking import per_query_metrics, rank_scored
 
 #: What each ablation trains on.
 ABLATIONS = {
     "full": FEATURES,
-    "lexical_scores": ("tfidf_score", "bm25_score"),
+    "lexical_scores": ("bm25_score", "tfidf_score"),
     "minus_tfidf": tuple(f for f in FEATURES if f != "tfidf_score"),
     "minus_bm25": tuple(f for f in FEATURES if f != "bm25_score"),
-    "minus_overlap": tuple(f for f in FEATURES if f not in ("shared_token_count", "query_token_coverage", "title_token_coverage", "exact_query_in_title", "query_bullet_coverage")),
-    "minus_structured": tuple(f for f in FEATURES if f not in ("brand_match", "title_token_count", "token_length_difference")),
+    "minus_overlap": tuple(f for f in FEATURES if f not in OVERLAP_FEATURES),
+    "minus_structured": tuple(f for f in FEATURES if f not in STRUCTURED_FEATURES),
 }
 
 
@@ -43,97 +45,79 @@ def grouped(df: DataFrame, features: Iterable[str] = FEATURES, label: str = "rel
 class Ranker:
     """M2-M5: boosted trees over grouped data.
 
-    objective "squares": GBTRegressor on the gains, point by point. "ndcg": LambdaMART, each round a tree on
-    the gradients that a query's pairs give, weighted by the NDCG that a swap would change; rounds run one after another
-    from the driver, so they are few by default. Neither is the same as another library's rank:ndcg.
+    objective "ndcg": LambdaMART, see candela.operators.lambdamart, with the reference's parameters as defaults; its trees aren't
+    those of another library's rank:ndcg. "squares": GBTRegressor on the gains, point by point.
     """
 
     features: tuple[str, ...] = FEATURES
-    objective: str = "squares"
-    rounds: int = 20
+    objective: str = "ndcg"
+    rounds: int = ROUNDS
     depth: int = 4
     rate: float = 0.1
     subsample: float = 0.8
+    columns: float = 0.8
     seed: int = SEED
+    tasks: int | None = None
     history: list[dict] = field(default_factory=list)
+    trees: Trees | None = None
     models: list = field(default_factory=list)
 
-    def fit(self, train: DataFrame, validation: DataFrame | None = None) -> Ranker:
-        """No early stopping. history has NDCG@10 of both sides after the last round."""
-        data = grouped(train, self.features)
+    def fit(self, train: DataFrame, validation: DataFrame | None = None, label: str = "relevance_gain") -> Ranker:
+        """No early stopping. history has NDCG@10 of both sides after each round, with gains 2**label - 1 and 1 for queries without gain
+        ("ndcg"), or after the last one, as per_query_metrics() has it ("squares")."""
+        features = check_feature_subset(self.features)
         if self.objective == "squares":
+            data = grouped(train, features, label)
             self.models = [GBTRegressor(maxIter=self.rounds, maxDepth=self.depth, stepSize=self.rate, subsamplingRate=self.subsample, seed=self.seed).fit(data.select("features", "label"))]
+            self.history = [{side: self.ndcg(t) for side, t in (("train", train), ("validation", validation)) if t is not None}]
         elif self.objective == "ndcg":
-            self._fit_lambda(data)
+            rows = None
+            for i, t in enumerate((train, validation)):
+                if t is not None:
+                    require_columns(t, ("example_id", "query_id", label, *features), error=RankingGroupError)
+                    t = t.select("example_id", "query_id", F.col(label).cast("double").alias("label"), *features, F.lit(i).alias("_side"))
+                    rows = t if rows is None else rows.unionByName(t)
+            self.trees = lambdamart.fit(rows, list(features), "label", "_side", self.tasks, self.rounds, self.depth, self.rate, self.subsample, self.columns, self.seed)
+            self.history = self.trees.history
         else:
             raise ValueError(f"unknown objective {self.objective!r}")
-        self.history = [{side: self.ndcg(t) for side, t in (("train", train), ("validation", validation)) if t is not None}]
         return self
 
-    def _fit_lambda(self, data: DataFrame) -> None:
-        from candela.plans.lineage import cut
-
-        data = cut(data.select("query_id", "example_id", "label", "features").withColumn("score", F.lit(0.0)))
-        self.models = []
-        by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("example_id").cast("string"))
-        by_gain = Window.partitionBy("query_id").orderBy(F.col("label").desc())
-        whole = Window.partitionBy("query_id")
-        discount = lambda r: 1.0 / F.log2(r + 1.0)
-        for i in range(self.rounds):
-            t = data.withColumns({"rank": F.row_number().over(by_score), "ideal": F.row_number().over(by_gain)})
-            t = t.withColumn("best", F.sum(F.col("label") * discount(F.col("ideal"))).over(whole))
-            # A query's own list meets each of its rows; both are as long as the candidates that were judged.
-            t = t.withColumn("list", F.collect_list(F.struct("label", "score", "rank")).over(whole))
-
-            def pair(acc, y):
-                swap = F.abs(F.col("label") - y["label"]) * F.abs(discount(F.col("rank")) - discount(y["rank"]))
-                swap = F.coalesce(F.try_divide(swap, F.col("best")), F.lit(0.0))
-                rho = 1.0 / (1.0 + F.exp(F.when(F.col("label") > y["label"], F.col("score") - y["score"]).otherwise(y["score"] - F.col("score"))))
-                sign = F.signum(F.col("label") - y["label"])
-                return F.struct((acc["g"] + sign * rho * swap).alias("g"), (acc["h"] + F.abs(sign) * rho * (1.0 - rho) * swap).alias("h"))
-
-            t = t.withColumn("l", F.aggregate("list", F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), pair))
-            target = cut(t.select("query_id", "example_id", "label", "features", "score", F.coalesce(F.try_divide(F.col("l.g"), F.col("l.h")), F.lit(0.0)).alias("step"), (F.col("l.h") + 1e-9).alias("weight")))
-            tree = DecisionTreeRegressor(labelCol="step", weightCol="weight", maxDepth=self.depth, predictionCol="add", seed=self.seed + i).fit(target.select("features", "step", "weight"))
-            self.models.append(tree)
-            data = cut(tree.transform(target).select("query_id", "example_id", "label", "features", (F.col("score") + self.rate * F.col("add")).alias("score")))
+    def history_final(self) -> dict[str, float | None]:
+        """M5: the last round's NDCG@10 of both sides; None for a side that wasn't evaluated."""
+        last = self.history[-1] if self.history else {}
+        return {f"{side}_ndcg@10": last.get(side) for side in ("train", "validation")}
 
     def transform(self, df: DataFrame, score: str = "xgb_score") -> DataFrame:
         """M4: df with a score for each row."""
-        t = grouped(df, self.features)
-        if self.objective == "squares":
-            return self.models[0].transform(t).withColumnRenamed("prediction", score).drop("features", "label", "group_size")
-        total = F.lit(0.0)
-        for i, tree in enumerate(self.models):
-            t = tree.setPredictionCol(f"_p{i}").transform(t)
-            total = total + self.rate * F.col(f"_p{i}")
-        return t.withColumn(score, total).drop("features", "label", "group_size", *[f"_p{i}" for i in range(len(self.models))])
+        if self.objective == "ndcg":
+            return df.withColumn(score, self.trees.column())
+        return self.models[0].transform(grouped(df, self.features)).withColumnRenamed("prediction", score).drop("features", "label", "group_size")
 
     def ndcg(self, df: DataFrame, k: int = K) -> float:
         return per_query_metrics(rank_scored(self.transform(df, "_s"), "_s"), k, with_query=False).agg(F.avg(f"`ndcg@{k}`")).first()[0]
 
     def importance(self) -> list[dict]:
-        """Features by Spark's importance, which is a total and not a mean gain for each split; shares of 1, or 0."""
-        totals = [0.0] * len(self.features)
-        for m in self.models:
-            for i, v in enumerate(m.featureImportances.toArray().tolist()):
-                totals[i] += v
-        return importance_table(dict(zip(self.features, totals, strict=True)), self.features)
+        """Features by the mean gain of their splits ("ndcg") or Spark's total ("squares"); shares of 1, or 0."""
+        if self.objective == "ndcg":
+            return importance_table(self.trees.mean_gains(), self.features)
+        return importance_table(dict(zip(check_feature_subset(self.features), self.models[0].featureImportances.toArray().tolist(), strict=True)), self.features)
 
     def save(self, path: str) -> None:
         """SK7."""
         spark = SparkSession.active()
-        meta = {k: getattr(self, k) for k in ("features", "objective", "rounds", "depth", "rate", "subsample", "seed", "history")} | {"n": len(self.models)}
+        meta = {k: getattr(self, k) for k in ("features", "objective", "rounds", "depth", "rate", "subsample", "columns", "seed", "history")}
         for i, m in enumerate(self.models):
             m.write().overwrite().save(f"{path}/model-{i}")
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        lines = [(0, json.dumps(meta)), *([(1, self.trees.to_json())] if self.trees else [])]
+        spark.createDataFrame(lines, "i int, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(path: str) -> Ranker:
-        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()[0])
-        kind = GBTRegressionModel if meta["objective"] == "squares" else DecisionTreeRegressionModel
-        models = [kind.load(f"{path}/model-{i}") for i in range(meta.pop("n"))]
-        return Ranker(**(meta | {"features": tuple(meta["features"])}), models=models)
+        lines = {r["i"]: r["value"] for r in SparkSession.active().read.parquet(f"{path}/meta").collect()}
+        meta = json.loads(lines[0])
+        models = [GBTRegressionModel.load(f"{path}/model-0")] if meta["objective"] == "squares" else []
+        return Ranker(**(meta | {"features": tuple(meta["features"])}), models=models, trees=Trees.from_json(lines[1]) if 1 in lines else None)
 
 
 def xgboost_ranker(features: Iterable[str] = FEATURES, **parameters):
@@ -170,5 +154,3 @@ def ablation(train: DataFrame, validation: DataFrame, subsets: dict[str, tuple[s
         r = per_query_metrics(rank_scored(model.transform(validation, "_s"), "_s"), k, with_query=False).agg(*[F.avg(f"`{m}`").alias(n) for m, n in ((f"ndcg@{k}", "ndcg"), (f"recall@{k}", "recall"), ("mrr", "mrr"))]).first()
         out.append({"name": name, "n_features": len(features), **r.asDict()})
     return out
-
-

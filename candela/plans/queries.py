@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.constants import FEATURES, K, ROUNDS, SEED
+from candela.constants import BASIC_FEATURES, K, SEED
 from candela.functions.text import contains_phrase, normalize_text, token_overlap, tokenize, has_digit, add_product_text, clean_text  # noqa: F401
 from candela.operators import compare, contracts, diagnostics, features, joins, lexical, ranking, split
 from candela.sources.adapters import CANDIDATES, LONG_TEXTS, PRODUCTS, VECTORS, candidates, products, select
@@ -246,7 +246,7 @@ _COVERAGES = ("query_token_coverage", "title_token_coverage", "query_bullet_cove
 
 @query(f"{CAND}, {_FEATURES} SELECT * FROM basic")
 def basic_features(spark, sf_dir):
-    t = features.add_basic_features(candidates(spark, sf_dir)).select("example_id", *features.FEATURES[:8])
+    t = features.add_basic_features(candidates(spark, sf_dir)).select("example_id", *BASIC_FEATURES)
     return t.withColumns({c: F.round(c, 6) for c in _COVERAGES})
 
 
@@ -541,7 +541,7 @@ def encoded_similarity(spark, sf_dir):
 # --- Features, learning -------------------------------------------------------------------------------------------------------
 
 
-@query(f"""{CAND}, {_SCORED}, {_FEATURES} SELECT example_id, s.query_id, s.product_id, s.query, s.product_title, s.esci_label, s.relevance_gain, {", ".join(f"b.{f}" for f in FEATURES[:8])}, round(s.tfidf_score, 6) AS tfidf_score, round(s.bm25_score, 6) + 0.0 AS bm25_score FROM scored s JOIN basic b USING (example_id)""")
+@query(f"""{CAND}, {_SCORED}, {_FEATURES} SELECT example_id, s.query_id, s.product_id, s.query, s.product_title, s.esci_label, s.relevance_gain, round(s.bm25_score, 6) + 0.0 AS bm25_score, round(s.tfidf_score, 6) AS tfidf_score, {", ".join(f"b.{f}" for f in BASIC_FEATURES)} FROM scored s JOIN basic b USING (example_id)""")
 def feature_table(spark, sf_dir):
     t = features.feature_table(candidates(spark, sf_dir), check=False)
     return t.withColumns({c: F.round(c, 6) for c in _COVERAGES} | {c: r6(F.round(c, 9)) for c in ("tfidf_score", "bm25_score")})
@@ -559,7 +559,7 @@ def ltr_train_score(spark, sf_dir):
     from candela.operators.ltr import Ranker
 
     train, validation = _sides(spark, sf_dir)
-    return ranking.rank_scored(Ranker(rounds=ROUNDS).fit(train).transform(validation), "xgb_score").select("example_id", "query_id", "xgb_score", "predicted_rank")
+    return ranking.rank_scored(Ranker().fit(train, validation).transform(validation), "xgb_score").select("example_id", "query_id", "xgb_score", "predicted_rank")
 
 
 @query()
@@ -567,7 +567,7 @@ def gain_importance(spark, sf_dir):
     from candela.operators.ltr import Ranker
 
     train, _ = _sides(spark, sf_dir)
-    return spark.createDataFrame(Ranker(rounds=ROUNDS).fit(train).importance(), "feature string, gain double, normalized_gain double, rank int")
+    return spark.createDataFrame(Ranker().fit(train).importance(), "feature string, gain double, normalized_gain double, rank int")
 
 
 @query()
@@ -575,7 +575,7 @@ def ablation(spark, sf_dir):
     from candela.operators.ltr import ablation
 
     train, validation = _sides(spark, sf_dir)
-    return spark.createDataFrame(ablation(train, validation, rounds=ROUNDS), "name string, n_features int, ndcg double, recall double, mrr double")
+    return spark.createDataFrame(ablation(train, validation), "name string, n_features int, ndcg double, recall double, mrr double")
 
 
 @query()

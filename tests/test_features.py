@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +6,7 @@ from candela import errors
 from candela.constants import FEATURES, IDENTIFIERS
 from candela.operators import features as X
 from candela.operators import joins, ranking
+from candela.operators import lambdamart
 from candela.operators.ltr import Ranker, ablation, importance_table, predictions_equivalent
 from candela.sources import tables
 from tests import frames
@@ -76,7 +78,7 @@ def ltr(spark):
 @pytest.mark.parametrize("objective", ["squares", "ndcg"])
 def test_ranker(spark, ltr, tmp_path, objective):
     model = Ranker(rounds=3, objective=objective).fit(ltr, ltr)
-    assert model.history[0]["validation"] > 0.95
+    assert model.history[-1]["validation"] > 0.95 and len(model.history) == (3 if objective == "ndcg" else 1) and set(model.history_final()) == {"train_ndcg@10", "validation_ndcg@10"}
     model.save(str(tmp_path / "m"))
     assert predictions_equivalent(model.transform(ltr), Ranker.load(str(tmp_path / "m")).transform(ltr.repartition(3)))
     rows = model.importance()
@@ -113,3 +115,61 @@ def test_sources(spark, tmp_path):
     assert both.count() == 7 and "_source_file" in both.columns
     assert tables.write_sample(t, str(tmp_path / "w"), ["query_id"], 1) and not tables.write_sample(t.limit(0), str(tmp_path / "v"), ["query_id"])
     assert tables.markdown_table(spark.createDataFrame([("a|b", 0.5)], "x string, y double")).splitlines()[2] == "| a\\|b | 0.5000 |"
+
+
+def test_gradients_by_hand():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 7, 40, 3])
+    starts, n = np.cumsum(sizes) - sizes, sizes.sum()
+    score, label = rng.normal(size=n).round(1), rng.integers(0, 4, n).astype(float)
+    g, h = lambdamart.gradients(score, label, starts, sizes)
+    for a, m in zip(starts, sizes, strict=True):
+        s, y = score[a : a + m], label[a : a + m]
+        rank = {j: i for i, j in enumerate(sorted(range(m), key=lambda j: (-s[j], j)))}
+        ideal = sum((2**v - 1) / np.log2(i + 2) for i, v in enumerate(sorted(y, reverse=True)))
+        want_g, want_h, total = np.zeros(m), np.zeros(m), 0.0
+        for i in range(m):
+            for j in range(m):
+                if y[i] > y[j] and min(rank[i], rank[j]) < 32:
+                    delta = abs(2 ** y[i] - 2 ** y[j]) * abs(1 / np.log2(rank[i] + 2) - 1 / np.log2(rank[j] + 2)) / ideal
+                    p = 1 / (1 + np.exp(s[i] - s[j]))
+                    want_g[i] -= p * delta
+                    want_g[j] += p * delta
+                    total += 2 * p * delta
+                    want_h[[i, j]] += 2 * p * (1 - p) * delta
+        scale = np.log2(1 + total) / total if total else 0
+        assert g[a : a + m] == pytest.approx(want_g * scale) and h[a : a + m] == pytest.approx(want_h * scale)
+
+
+def test_trees_are_the_same_in_one_task_and_in_many(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, i // 12, int(rng.integers(0, 4)), *map(float, rng.normal(size=len(FEATURES)))) for i in range(1200)]
+    rows = [(*r[:3], r[3] + r[2], *r[4:]) for r in rows]
+    t = spark.createDataFrame(rows, "example_id long, query_id long, relevance_gain int, " + ", ".join(f"{f} double" for f in FEATURES))
+    train, held = t.filter("query_id < 80"), t.filter("query_id >= 80")
+    one, many = (Ranker(rounds=12, tasks=n).fit(train, held) for n in (1, 4))
+    assert [len(x) for x in one.trees.nodes] == [len(x) for x in many.trees.nodes]
+    assert predictions_equivalent(one.transform(held), many.transform(held.repartition(3)), tolerance=1e-6)
+    assert one.history[-1]["train"] > one.history[0]["train"] and one.history[-1]["validation"] > 0.75
+    assert many.history[-1]["validation"] == pytest.approx(one.history[-1]["validation"])
+    found = one.importance()
+    assert found[0]["feature"] == FEATURES[0] and found[0]["rank"] == 1
+    splits = [n for tree in one.trees.nodes for n in tree if n[0] == 0]
+    assert found[0]["gain"] == pytest.approx(sum(n[5] for n in splits) / len(splits))
+
+
+def test_first_split_by_hand():
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 9, (200, 3)).astype(float), rng.integers(0, 4, 200).astype(float)
+    y = np.clip(y + (x[:, 1] > 4), 0, 3)
+    sizes = np.full(10, 20)
+    starts = np.cumsum(sizes) - sizes
+    options = {"features": list("abc"), "rounds": 1, "depth": 1, "rate": 0.1, "subsample": 1.0, "columns": 1.0, "seed": 1, "penalty": 1.0, "least": 1.0, "k": 10}
+    trees = lambdamart.train(x, y, starts, sizes, np.zeros(10, dtype=int), np.arange(200), lambdamart.Alone(), options)
+    g, h = lambdamart.gradients(np.zeros(200), y, starts, sizes)
+    value = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max((value(x[:, f] < c) + value(x[:, f] >= c) - value(x[:, f] < 99), f, c) for f in range(3) for c in range(1, 9) if h[x[:, f] < c].sum() >= 1 <= h[x[:, f] >= c].sum())
+    root = trees.nodes[0][0]
+    assert (root[5], root[0], root[1]) == (pytest.approx(best[0]), best[1], best[2])
+    left = x[:, best[1]] < best[2]
+    assert trees.predict(x)[left] == pytest.approx(-0.1 * g[left].sum() / (h[left].sum() + 1))
