@@ -32,7 +32,10 @@ def normalize_text(x: Column | str) -> Column:
 
 
 def tokenize(x: Column | str) -> Column:
-    return F.regexp_extract_all(normalize_text(x), F.lit(TOKEN), F.lit(0))
+    """Tokens of normalize_text(x): as its white space is in no token, the text needs lower case alone, unless it stands for nothing."""
+    low = F.lower(F.coalesce(_column(x).cast("string"), F.lit("")))
+    nothing = low.rlike(rf"(?U)^\s*(?:{'|'.join(NOTHING)})\s*$")
+    return F.when(nothing, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)))
 
 
 def clean_text(x: Column | str) -> Column:

@@ -59,11 +59,14 @@ def spearman_by_query(candidates: DataFrame, a: str, b: str, name: str = "spearm
     return t.groupBy("query_id").agg(F.when(several, rho).alias(name))
 
 
-def annotate_queries(per_query: DataFrame, candidates: DataFrame, a: str = "semantic_similarity", b: str = "tfidf_score", check: bool = True) -> DataFrame:
-    """Per-query deltas with four segments."""
+def annotate_queries(per_query: DataFrame, candidates: DataFrame, a: str = "semantic_similarity", b: str = "tfidf_score", check: bool = True, digits: tuple[int, int] | None = None) -> DataFrame:
+    """Per-query deltas with four segments. digits: those that overlaps and correlations are rounded to before they are segmented."""
     if check:
         require_same(per_query, candidates, error=SemanticDiagnosticError)
-    t = per_query.join(relevant_overlap(candidates), "query_id", "left").join(spearman_by_query(candidates, a, b), "query_id", "left")
+    overlap, rho = relevant_overlap(candidates), spearman_by_query(candidates, a, b)
+    if digits:
+        overlap, rho = overlap.withColumn("relevant_overlap", F.round("relevant_overlap", digits[0])), rho.withColumn("spearman", F.round("spearman", digits[1]))
+    t = per_query.join(overlap, "query_id", "left").join(rho, "query_id", "left")
     return t.withColumns({"length_segment": length_segment(), "overlap_segment": overlap_segment(F.col("relevant_overlap")), "disagreement_segment": disagreement_segment(F.col("spearman")), "identifier_segment": identifier_segment()})
 
 

@@ -15,12 +15,23 @@ from candela.operators.contracts import require_columns
 from candela.session import importable
 
 
-def _tokens(df: DataFrame, text: str, query: str = "query") -> DataFrame:
-    """df dealt by query_id, with _q (of the query's first row by example_id), _d, _n and _mean (documents and mean length)."""
+def _tokens(df: DataFrame, text: str, query: str = "query", spread: bool = False) -> DataFrame:
+    """df with _d (tokens), _q (of the query's first row by example_id), _n and _mean (documents and mean length).
+
+    Rows are dealt by query_id, which ranks after it share. With spread a query's few numbers are summed before they move and come
+    back by a join, so that queries of very many or very long documents don't meet in a task.
+    """
     require_columns(df, ("query_id", query, text), error=KeyError)
-    by = Window.partitionBy("query_id")
-    first = F.min_by(F.struct(F.coalesce(F.col(query), F.lit("")).alias("q")), F.col("example_id").cast("string") if "example_id" in df.columns else F.col(query)).over(by)
-    t = df.withColumn("_d", tokenize(text)).withColumns({"_first": first, "_n": F.count("*").over(by), "_mean": F.avg(F.size("_d")).over(by)})
+    t = df.withColumn("_d", tokenize(text))
+    values = {
+        "_first": F.min_by(F.struct(F.coalesce(F.col(query), F.lit("")).alias("q")), F.col("example_id").cast("string") if "example_id" in df.columns else F.col(query)),
+        "_n": F.count("*"),
+        "_mean": F.avg(F.size("_d")),
+    }
+    if spread:
+        t = _attach(t, t.groupBy("query_id").agg(*[v.alias(c) for c, v in values.items()]))
+    else:
+        t = t.withColumns({c: v.over(Window.partitionBy("query_id")) for c, v in values.items()})
     return t.withColumn("_q", tokenize(F.col("_first.q"))).drop("_first")
 
 
@@ -48,15 +59,8 @@ def _frequencies(t: DataFrame, wanted: bool) -> DataFrame:
     return terms.groupBy("query_id").agg(F.map_from_entries(F.collect_list(kept)).alias("_df"), F.sum(idf).alias("_idf_sum"), F.count("*").alias("_terms"))
 
 
-def add_bm25(df: DataFrame, text: str = "product_text", score: str = "bm25_score", query: str = "query") -> DataFrame:
-    """Okapi BM25 with k1 1.5, b 0.75; weights under 0 become a quarter of all terms' mean weight.
-
-    A query's frequency table holds its own terms only; its other terms matter through
-    their mean. Contributions are added in the query's order, so equal documents tie exactly. 0
-    for queries without tokens and where no candidate has any.
-    """
-    t = _tokens(df, text, query)
-    t = _attach(t, _frequencies(t, True))
+def _bm25() -> Column:
+    """Of rows with _q, _d, _n, _mean, _df, _idf_sum and _terms. Contributions are added in the query's order, so equal documents tie exactly."""
     mean = F.coalesce(F.try_divide(F.col("_idf_sum"), F.col("_terms")), F.lit(0.0))
 
     def add(total: Column, term: Column) -> Column:
@@ -67,8 +71,75 @@ def add_bm25(df: DataFrame, text: str = "product_text", score: str = "bm25_score
         long = K1 * (1 - B + B * F.size("_d") / F.greatest(F.col("_mean"), F.lit(1e-300)))
         return F.when(tf > 0, total + idf * tf * (K1 + 1) / (tf + long)).otherwise(total)
 
-    value = F.when(F.col("_df").isNull(), F.lit(0.0)).otherwise(F.aggregate("_q", F.lit(0.0), add))
-    return t.withColumn(score, value).select(*[c for c in df.columns if c != score], score)
+    return F.when(F.col("_df").isNull(), F.lit(0.0)).otherwise(F.aggregate("_q", F.lit(0.0), add))
+
+
+def _weight(n: Column) -> Column:
+    return F.ln((1.0 + F.col("_n")) / (1.0 + n)) + 1.0
+
+
+def _local_norm() -> Column:
+    """The norm of a row's own vector from the table of all terms, in their order, so that equal bags tie exactly."""
+    part = lambda total, x: total + F.pow(_count(F.col("_d"), x) * _weight(_look(F.col("_df"), x)), F.lit(2.0))
+    return F.sqrt(F.aggregate(F.array_sort(F.array_distinct("_d")), F.lit(0.0), part))
+
+
+def _cosine() -> Column:
+    """Of rows with _q, _d, _n, _df, _norm and _known (the query's terms that a candidate has)."""
+    of_query = lambda x: _count(F.col("_q"), x) * _weight(_look(F.col("_df"), x))
+    query_norm = F.sqrt(F.aggregate("_known", F.lit(0.0), lambda a, x: a + F.pow(of_query(x), F.lit(2.0))))
+    dot = F.aggregate("_known", F.lit(0.0), lambda a, x: a + of_query(x) * _count(F.col("_d"), x) * _weight(_look(F.col("_df"), x)))
+    return F.coalesce(F.try_divide(dot, query_norm * F.col("_norm")), F.lit(0.0))
+
+
+def _known() -> Column:
+    known = F.filter(F.array_sort(F.array_distinct("_q")), lambda x: _look(F.col("_df"), x) > 0)
+    return F.when(F.col("_df").isNull(), F.array().cast("array<string>")).otherwise(known)
+
+
+def _scored(df: DataFrame, text: str, query: str, bm25: str | None, tfidf: str | None, long_texts: bool) -> DataFrame:
+    """Both scores, or one, from one tokenisation and one table of frequencies."""
+    t = _tokens(df, text, query, long_texts)
+    if long_texts and tfidf:
+        require_columns(df, ("example_id",), error=KeyError)
+        term = t.select("query_id", "example_id", "_n", F.explode(term_counts(F.col("_d"))).alias("x")).select("query_id", "example_id", "_n", "x.*")
+        counts = term.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+        parts = _attach_terms(term, counts).groupBy("query_id", "example_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * _weight(F.col("df")), F.lit(2.0)))).alias("_norm"))
+    t = _attach(t, _frequencies(t, long_texts or not tfidf))
+    values = {}
+    if bm25:
+        values[bm25] = _bm25()
+    if tfidf:
+        if long_texts:
+            t = t.join(parts.withColumnsRenamed({"query_id": "_pq", "example_id": "_pe"}), t["query_id"].eqNullSafe(F.col("_pq")) & t["example_id"].eqNullSafe(F.col("_pe")), "left").drop("_pq", "_pe")
+            norm = F.coalesce("_norm", F.lit(0.0))
+        else:
+            norm = _local_norm()
+        t = t.withColumns({"_norm": norm, "_known": _known()})
+        values[tfidf] = _cosine()
+    return t.withColumns(values).select(*[c for c in df.columns if c not in values], *values)
+
+
+def term_counts(tokens: Column) -> Column:
+    """Each different token and how often it stands there: array of (term, tf), in order, from the row alone."""
+    ends = lambda s: F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1) != x, F.lit(True)), F.struct(x.alias("term"), (i + 1).alias("end")))), lambda x: x.isNotNull())
+    sizes = lambda e: F.transform(e, lambda x, i: F.struct(x["term"].alias("term"), (x["end"] - F.coalesce(F.when(i > 0, F.get(e, i - 1)["end"]), F.lit(0))).alias("tf")))
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return once(F.array_sort(tokens), lambda s: once(ends(s), sizes))
+
+
+def _attach_terms(term: DataFrame, counts: DataFrame) -> DataFrame:
+    other = counts.withColumnsRenamed({"query_id": "_cq", "term": "_ct"})
+    return term.join(other, term["query_id"].eqNullSafe(F.col("_cq")) & (term["term"] == F.col("_ct"))).drop("_cq", "_ct")
+
+
+def add_bm25(df: DataFrame, text: str = "product_text", score: str = "bm25_score", query: str = "query", long_texts: bool = False) -> DataFrame:
+    """Okapi BM25 with k1 1.5, b 0.75; weights under 0 become a quarter of all terms' mean weight.
+
+    A query's frequency table holds its own terms only; its other terms matter through
+    their mean. 0 for queries without tokens and where no candidate has any. long_texts as in add_tfidf().
+    """
+    return _scored(df, text, query, score, None, long_texts)
 
 
 def _attach(t: DataFrame, by_query: DataFrame) -> DataFrame:
@@ -83,31 +154,12 @@ def add_tfidf(df: DataFrame, text: str = "product_text", score: str = "tfidf_sco
     join of postings, so that no table of a query's whole vocabulary is made; otherwise from that table, in the order of
     terms, so that equal bags tie exactly.
     """
-    t = _tokens(df, text, query)
-    weight = lambda n: F.ln((1.0 + F.col("_n")) / (1.0 + n)) + 1.0
-    if long_texts:
-        require_columns(df, ("example_id",), error=KeyError)
-        term = t.select("query_id", "example_id", "_n", F.explode("_d").alias("term")).groupBy("query_id", "example_id", "_n", "term").agg(F.count("*").alias("tf"))
-        counts = term.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-        norms = term.join(counts, ["query_id", "term"]).groupBy("query_id", "example_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight(F.col("df")), F.lit(2.0)))).alias("_norm"))
-        t = _attach(t, _frequencies(t, True)).join(norms, ["query_id", "example_id"], "left")
-        norm = F.coalesce("_norm", F.lit(0.0))
-    else:
-        t = _attach(t, _frequencies(t, False))
-        part = lambda total, x: total + F.pow(_count(F.col("_d"), x) * weight(_look(F.col("_df"), x)), F.lit(2.0))
-        norm = F.sqrt(F.aggregate(F.array_sort(F.array_distinct("_d")), F.lit(0.0), part))
-    known = F.filter(F.array_sort(F.array_distinct("_q")), lambda x: _look(F.col("_df"), x) > 0)
-    t = t.withColumns({"_norm": norm, "_known": F.when(F.col("_df").isNull(), F.array().cast("array<string>")).otherwise(known)})
-    of_query = lambda x: _count(F.col("_q"), x) * weight(_look(F.col("_df"), x))
-    query_norm = F.sqrt(F.aggregate("_known", F.lit(0.0), lambda a, x: a + F.pow(of_query(x), F.lit(2.0))))
-    dot = F.aggregate("_known", F.lit(0.0), lambda a, x: a + of_query(x) * _count(F.col("_d"), x) * weight(_look(F.col("_df"), x)))
-    value = F.coalesce(F.try_divide(dot, query_norm * F.col("_norm")), F.lit(0.0))
-    return t.withColumn(score, value).select(*[c for c in df.columns if c != score], score)
+    return _scored(df, text, query, None, score, long_texts)
 
 
-def add_lexical(df: DataFrame, text: str = "product_title") -> DataFrame:
-    """bm25_score and tfidf_score over titles."""
-    return add_tfidf(add_bm25(df, text), text)
+def add_lexical(df: DataFrame, text: str = "product_title", long_texts: bool = False) -> DataFrame:
+    """bm25_score and tfidf_score over titles, from one tokenisation and one table of frequencies."""
+    return _scored(df, text, "query", "bm25_score", "tfidf_score", long_texts)
 
 
 def query_seed(query_id, seed: int = SEED) -> int:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from candela.constants import BASIC_FEATURES, K, SEED
 from candela.functions.text import contains_phrase, normalize_text, token_overlap, tokenize, has_digit, add_product_text, clean_text  # noqa: F401
 from candela.operators import compare, contracts, diagnostics, features, joins, lexical, ranking, split
+from candela.plans.lineage import cut
+from candela.sources import tables
 from candela.sources.adapters import CANDIDATES, LONG_TEXTS, PRODUCTS, VECTORS, candidates, products, select
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,8 +101,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumns({c: F.round(c, 9) for c in ("bm25_score", "tfidf_score", "random_score")})
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.add_ranks(scored(spark, sf_dir), {"bm25_score": "rank_bm25", "tfidf_score": "rank_tfidf", "random_score": "rank_random"})
+def ranked(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
+    return ranking.add_ranks(scored(spark, sf_dir) if t is None else t, {"bm25_score": "rank_bm25", "tfidf_score": "rank_tfidf", "random_score": "rank_random"})
 
 
 def per_query(t: DataFrame, model: str) -> DataFrame:
@@ -108,9 +110,9 @@ def per_query(t: DataFrame, model: str) -> DataFrame:
     return p.select("query_id", "query", "n_candidates", *[F.col(f"`{a}`").alias(b) for a, b in ((f"ndcg@{K}", "ndcg"), (f"recall@{K}", "recall"), ("mrr", "mrr"))])
 
 
-def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF-IDF against BM25 by query."""
-    t = ranked(spark, sf_dir)
+def deltas(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
+    """TF-IDF against BM25 by query, of ranked(); its rows are computed once for both."""
+    t = cut(ranked(spark, sf_dir, t).select("query_id", "query", "example_id", "esci_label", "relevance_gain", "rank_bm25", "rank_tfidf"))
     a, b = (per_query(t, m).withColumn("ndcg", F.round("ndcg", 9)) for m in ("tfidf", "bm25"))
     return compare.paired(a, b, "ndcg").withColumn("diff", F.round("diff", 9) + 0.0).join(a.select("query_id", "query"), "query_id")
 
@@ -270,7 +272,7 @@ def tfidf_scores(spark, sf_dir):
 
 @query(f"WITH cand AS ({LONG_TEXTS}), {_STATS}, {_BM25}, {_TFIDF} SELECT c.product_id, round(coalesce(bm.s, 0), 6) + 0.0 AS bm25_score, round(coalesce(tf.s, 0), 6) AS tfidf_score FROM cand c LEFT JOIN bm USING (example_id) LEFT JOIN tf USING (example_id)")
 def lexical_scores_longtext(spark, sf_dir):
-    t = lexical.add_tfidf(lexical.add_bm25(select(spark, sf_dir, LONG_TEXTS), "product_title"), "product_title", long_texts=True)
+    t = lexical.add_lexical(select(spark, sf_dir, LONG_TEXTS), long_texts=True)
     return t.select("product_id", r6("bm25_score", "bm25_score"), r6("tfidf_score", "tfidf_score"))
 
 
@@ -423,20 +425,15 @@ annotated AS (SELECT d.*, {_LENGTH} AS length_segment, {_OVERLAP_CASE} AS overla
 
 
 def annotated(spark, sf_dir) -> DataFrame:
-    t = _overlap(spark, sf_dir).select("query_id", "esci_label", "query_token_coverage", "example_id")
-    s = scored(spark, sf_dir)
-    d = deltas(spark, sf_dir)
-    o = diagnostics.relevant_overlap(t).withColumn("relevant_overlap", F.round("relevant_overlap", 4))
-    p = diagnostics.spearman_by_query(s, "bm25_score", "tfidf_score").withColumn("spearman", F.round("spearman", 6))
-    t = d.join(o, "query_id", "left").join(p, "query_id", "left")
-    return t.withColumns({"length_segment": diagnostics.length_segment(), "overlap_segment": diagnostics.overlap_segment(F.col("relevant_overlap")), "disagreement_segment": diagnostics.disagreement_segment(F.col("spearman")), "identifier_segment": diagnostics.identifier_segment()})
+    """All segments of all queries; candidates are scored once."""
+    t = scored(spark, sf_dir).withColumn("query_token_coverage", F.round(token_overlap(tokenize("query"), tokenize("product_title")), 6))
+    t = cut(t.select("query_id", "query", "example_id", "product_id", "esci_label", "relevance_gain", "query_token_coverage", "bm25_score", "tfidf_score", "random_score"))
+    return diagnostics.annotate_queries(deltas(spark, sf_dir, t), t, "bm25_score", "tfidf_score", check=False, digits=(4, 6))
 
 
 @query(f"""{CAND}, {_ANNOTATED}, s AS (SELECT unnest(['length', 'overlap', 'disagreement', 'identifier']) AS family, unnest([length_segment, overlap_segment, disagreement_segment, identifier_segment]) AS segment, diff, left_value FROM annotated)
 SELECT family, segment, count(*) AS n_queries, round(avg(diff), 6) + 0.0 AS mean_diff, round(avg(left_value), 6) AS mean_left FROM s GROUP BY ALL HAVING count(*) >= 5""")
 def segment_summary(spark, sf_dir):
-    from candela.plans.lineage import cut
-
     t, out = cut(annotated(spark, sf_dir)), None
     for family in ("length", "overlap", "disagreement", "identifier"):
         own = diagnostics.summarize_segments(t, f"{family}_segment", {"mean_diff": "diff", "mean_left": "left_value"}, 5).select(F.lit(family).alias("family"), "segment", "n_queries", r6("mean_diff", "mean_diff"), r6("mean_left", "mean_left"))
@@ -453,8 +450,6 @@ def diagnostic_selection(spark, sf_dir):
 
 @query()
 def inspection_selection(spark, sf_dir):
-    from candela.plans.lineage import cut
-
     t = cut(ranked(spark, sf_dir).select("query_id", "query", "example_id", "product_title", "esci_label", "relevance_gain", "rank_bm25", "rank_tfidf"))
     a, b = per_query(t, "bm25"), per_query(t, "tfidf")
     m = cut(a.join(b.select("query_id", F.col("ndcg").alias("other_ndcg")), "query_id"))
@@ -465,8 +460,6 @@ def inspection_selection(spark, sf_dir):
 @query(f"""{CAND}, {_DELTA}, s AS (SELECT min(diff) AS a, max(diff) AS b FROM delta), h AS (SELECT CASE WHEN b = a THEN 1 ELSE least(floor((diff - a) / ((b - a) / 35))::INTEGER + 1, 35) END AS bin, a, b FROM delta, s)
 SELECT bin, count(*) AS n, round(a + (bin - 1) * ((b - a) / 35), 6) + 0.0 AS low, round(a + bin * ((b - a) / 35), 6) + 0.0 AS high FROM h GROUP BY bin, a, b""")
 def delta_histogram(spark, sf_dir):
-    from candela.plans.lineage import cut
-
     return diagnostics.histogram(cut(deltas(spark, sf_dir).select("diff")), "diff", 35).select("bin", "n", r6("low", "low"), r6("high", "high"))
 
 
@@ -548,8 +541,6 @@ def feature_table(spark, sf_dir):
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    from candela.plans.lineage import cut
-
     t = cut(features.feature_table(split.hash_split(candidates(spark, sf_dir)), check=False, keep=("partition",)))
     return t.filter("partition = 'train'"), t.filter("partition = 'validation'")
 
