@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from candela.constants import B, EPSILON, K1, SEED
 from candela.functions.text import tokenize
 from candela.operators.contracts import require_columns
+from candela.plans.lineage import written
 from candela.session import importable
 
 
@@ -22,7 +23,13 @@ def _tokens(df: DataFrame, text: str, query: str = "query", spread: bool = False
     back by a join, so that queries of very many or very long documents don't meet in a task.
     """
     require_columns(df, ("query_id", query, text), error=KeyError)
+    if spread:
+        # Long texts are dealt evenly, tokenised and counted once; what is made of them reads that.
+        df = df.repartition(F.xxhash64("query_id", "example_id" if "example_id" in df.columns else text))
     t = df.withColumn("_d", tokenize(text))
+    if spread:
+        t = t.withColumn("_tc", F.explode(F.array(term_counts(F.col("_d")))))
+        t = written(t.select(*t.columns[:-1], F.transform("_tc", lambda x: x["term"]).alias("_tl"), F.transform("_tc", lambda x: x["tf"]).alias("_tf")), "tokens")
     values = {
         "_first": F.min_by(F.struct(F.coalesce(F.col(query), F.lit("")).alias("q")), F.col("example_id").cast("string") if "example_id" in df.columns else F.col(query)),
         "_n": F.count("*"),
@@ -50,16 +57,23 @@ def _count(tokens: Column, term: Column) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term)).cast("double")
 
 
+def _listed_count(term: Column) -> Column:
+    """As _count() of _d, from its counts."""
+    return F.coalesce(F.get("_tf", F.array_position("_tl", term).cast("int") - 1), F.lit(0)).cast("double")
+
+
 def _frequencies(t: DataFrame, wanted: bool) -> DataFrame:
     """query_id, _df (map of terms to frequencies; of the query's terms alone if wanted), _idf_sum and _terms (over all terms)."""
-    terms = t.select("query_id", "_q", "_n", F.explode(F.array_distinct("_d")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df"), F.first("_q").alias("_q"), F.first("_n").alias("_n"))
+    # A query's own tokens and its size are one row for each query, beside which its terms are counted without them.
+    queries = t.groupBy("query_id").agg(F.first("_q").alias("_q"), F.first("_n").alias("_n"))
+    terms = _attach(t.select("query_id", F.explode(F.array_distinct("_d")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df")), queries)
     idf = F.ln(F.col("_n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     entry = F.struct("term", "df")
     kept = F.when(F.array_contains("_q", F.col("term")), entry) if wanted else entry
     return terms.groupBy("query_id").agg(F.map_from_entries(F.collect_list(kept)).alias("_df"), F.sum(idf).alias("_idf_sum"), F.count("*").alias("_terms"))
 
 
-def _bm25() -> Column:
+def _bm25(tf_of) -> Column:
     """Of rows with _q, _d, _n, _mean, _df, _idf_sum and _terms. Contributions are added in the query's order, so equal documents tie exactly."""
     mean = F.coalesce(F.try_divide(F.col("_idf_sum"), F.col("_terms")), F.lit(0.0))
 
@@ -67,7 +81,7 @@ def _bm25() -> Column:
         n = _look(F.col("_df"), term).cast("double")
         raw = F.ln(F.col("_n") - n + 0.5) - F.ln(n + 0.5)
         idf = F.when(raw < 0, EPSILON * mean).otherwise(raw)
-        tf = _count(F.col("_d"), term)
+        tf = tf_of(term)
         long = K1 * (1 - B + B * F.size("_d") / F.greatest(F.col("_mean"), F.lit(1e-300)))
         return F.when(tf > 0, total + idf * tf * (K1 + 1) / (tf + long)).otherwise(total)
 
@@ -84,11 +98,11 @@ def _local_norm() -> Column:
     return F.sqrt(F.aggregate(F.array_sort(F.array_distinct("_d")), F.lit(0.0), part))
 
 
-def _cosine() -> Column:
+def _cosine(tf_of) -> Column:
     """Of rows with _q, _d, _n, _df, _norm and _known (the query's terms that a candidate has)."""
     of_query = lambda x: _count(F.col("_q"), x) * _weight(_look(F.col("_df"), x))
     query_norm = F.sqrt(F.aggregate("_known", F.lit(0.0), lambda a, x: a + F.pow(of_query(x), F.lit(2.0))))
-    dot = F.aggregate("_known", F.lit(0.0), lambda a, x: a + of_query(x) * _count(F.col("_d"), x) * _weight(_look(F.col("_df"), x)))
+    dot = F.aggregate("_known", F.lit(0.0), lambda a, x: a + of_query(x) * tf_of(x) * _weight(_look(F.col("_df"), x)))
     return F.coalesce(F.try_divide(dot, query_norm * F.col("_norm")), F.lit(0.0))
 
 
@@ -100,23 +114,24 @@ def _known() -> Column:
 def _scored(df: DataFrame, text: str, query: str, bm25: str | None, tfidf: str | None, long_texts: bool) -> DataFrame:
     """Both scores, or one, from one tokenisation and one table of frequencies."""
     t = _tokens(df, text, query, long_texts)
+    tf_of = _listed_count if long_texts else lambda x: _count(F.col("_d"), x)
     if long_texts and tfidf:
         require_columns(df, ("example_id",), error=KeyError)
-        term = t.select("query_id", "example_id", "_n", F.explode(term_counts(F.col("_d"))).alias("x")).select("query_id", "example_id", "_n", "x.*")
+        term = t.select("query_id", "example_id", "_n", F.explode(F.arrays_zip(F.col("_tl").alias("term"), F.col("_tf").alias("tf"))).alias("x")).select("query_id", "example_id", "_n", "x.*")
         counts = term.groupBy("query_id", "term").agg(F.count("*").alias("df"))
         parts = _attach_terms(term, counts).groupBy("query_id", "example_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * _weight(F.col("df")), F.lit(2.0)))).alias("_norm"))
     t = _attach(t, _frequencies(t, long_texts or not tfidf))
     values = {}
     if bm25:
-        values[bm25] = _bm25()
+        values[bm25] = _bm25(tf_of)
     if tfidf:
         if long_texts:
-            t = t.join(parts.withColumnsRenamed({"query_id": "_pq", "example_id": "_pe"}), t["query_id"].eqNullSafe(F.col("_pq")) & t["example_id"].eqNullSafe(F.col("_pe")), "left").drop("_pq", "_pe")
+            t = t.join(parts.withColumnsRenamed({"query_id": "_pq", "example_id": "_pe"}), F.col("query_id").eqNullSafe(F.col("_pq")) & F.col("example_id").eqNullSafe(F.col("_pe")), "left").drop("_pq", "_pe")
             norm = F.coalesce("_norm", F.lit(0.0))
         else:
             norm = _local_norm()
         t = t.withColumns({"_norm": norm, "_known": _known()})
-        values[tfidf] = _cosine()
+        values[tfidf] = _cosine(tf_of)
     return t.withColumns(values).select(*[c for c in df.columns if c not in values], *values)
 
 
@@ -130,7 +145,7 @@ def term_counts(tokens: Column) -> Column:
 
 def _attach_terms(term: DataFrame, counts: DataFrame) -> DataFrame:
     other = counts.withColumnsRenamed({"query_id": "_cq", "term": "_ct"})
-    return term.join(other, term["query_id"].eqNullSafe(F.col("_cq")) & (term["term"] == F.col("_ct"))).drop("_cq", "_ct")
+    return term.join(other, F.col("query_id").eqNullSafe(F.col("_cq")) & (F.col("term") == F.col("_ct"))).drop("_cq", "_ct")
 
 
 def add_bm25(df: DataFrame, text: str = "product_text", score: str = "bm25_score", query: str = "query", long_texts: bool = False) -> DataFrame:
@@ -144,7 +159,8 @@ def add_bm25(df: DataFrame, text: str = "product_text", score: str = "bm25_score
 
 def _attach(t: DataFrame, by_query: DataFrame) -> DataFrame:
     """Left join on query_id that also matches null ids, over the partitioning that both sides have."""
-    return t.join(by_query, t["query_id"].eqNullSafe(by_query["query_id"]), "left").drop(by_query["query_id"])
+    other = by_query.withColumnRenamed("query_id", "_id")
+    return t.join(other, F.col("query_id").eqNullSafe(F.col("_id")), "left").drop("_id")
 
 
 def add_tfidf(df: DataFrame, text: str = "product_text", score: str = "tfidf_score", query: str = "query", long_texts: bool = False) -> DataFrame:
