@@ -31,3 +31,7 @@ class RankerEvalError(ValueError):
 
 class SemanticDiagnosticError(ValueError):
     """Diagnostics of different query sets."""
+
+
+#: What a contract raises.
+ERRORS = (MissingRawDataError, SchemaError, DataIntegrityError, SplitError, SemanticJoinError, RankingGroupError, RankerEvalError, SemanticDiagnosticError)

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.constants import REPLICATES, SEED, TIE_TOLERANCE
-from candela.operators.contracts import require_same
+from candela.errors import RankerEvalError
+from candela.operators.contracts import require_same, require_unique
 from candela.session import importable
 
 
@@ -17,6 +18,16 @@ def paired(left: DataFrame, right: DataFrame, metric: str) -> DataFrame:
     return pick(left, "left_value").join(pick(right, "right_value"), "query_id").withColumn("diff", F.col("left_value") - F.col("right_value"))
 
 
+def merge_scores(left: DataFrame, right: DataFrame, score: str) -> DataFrame:
+    """Left with another ranker's score by example_id; ids must be unique and the same on both sides, and no column is overwritten."""
+    for side, name in ((left, "left"), (right, "right")):
+        require_unique(side, ["example_id"], name)
+    require_same(left, right, "example_id")
+    if score in left.columns:
+        raise RankerEvalError(f"both sides have {score}")
+    return left.join(right.select("example_id", score), "example_id")
+
+
 def outcome_counts(diff: Column, tolerance: float = 0.0) -> list[Column]:
     """Wins, losses and ties; a difference up to the tolerance is a tie."""
     count = lambda c: F.count(F.when(c, 1))
@@ -60,6 +71,18 @@ def paired_metric_table(left: DataFrame, right: DataFrame, left_name: str, right
     return t.withColumns({f"delta_{n}": F.col(f"{left_name}_{n}") - F.col(f"{right_name}_{n}") for n in names.values()})
 
 
+def _poisson(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """A Poisson number of mean 1 for each key (row) and replicate (column), which depends on both and the seed alone."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        x = (keys + np.uint64(seed) * odd)[:, None] ^ ((np.arange(replicates, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))[None, :]
+        for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(m)
+        x ^= x >> np.uint64(31)
+    shares = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 16.0)])))
+    return np.searchsorted(shares, (x >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
+
+
 def bootstrap_mean(deltas: DataFrame, column: str, replicates: int = REPLICATES, seed: int = SEED, level: float = 0.95, method: str = "exact") -> dict:
     """SP2: mean and percentile interval of the mean, resampling queries.
 
@@ -86,9 +109,10 @@ def bootstrap_mean(deltas: DataFrame, column: str, replicates: int = REPLICATES,
 
             total = np.zeros((2, replicates))
             for pdf in frames:
-                for q, v in zip(pdf["q"], pdf["v"], strict=True):
-                    w = np.random.default_rng([seed, int(q) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, replicates)
-                    total += np.array([w * v, w])
+                q, v = pdf["q"].to_numpy().view(np.uint64), pdf["v"].to_numpy()
+                for at in range(0, len(v), 512):
+                    w = _poisson(q[at : at + 512], replicates, seed)
+                    total += np.stack([v[at : at + 512] @ w, w.sum(axis=0)])
             yield pd.DataFrame({"i": np.arange(replicates), "s": total[0], "n": total[1]})
 
         rows = deltas.select(F.xxhash64("query_id").alias("q"), F.col(column).cast("double").alias("v"))

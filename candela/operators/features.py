@@ -81,23 +81,77 @@ class HashingEncoder:
         return texts.withColumn("_places", places).withColumn("_counts", counts).withColumn("_norm", norm).withColumn("embedding", F.transform("_counts", lambda x: F.coalesce(F.try_divide(x, F.col("_norm")), F.lit(0.0)))).drop("_places", "_counts", "_norm")
 
 
+def resolve_device(asked: str | None = None) -> str:
+    """V5: the device asked for, else the executors' CUDA device where torch finds one, else the CPU."""
+    if asked:
+        return asked
+    try:
+        from torch import cuda
+    except ImportError:
+        return "cpu"
+    return "cuda" if cuda.is_available() else "cpu"
+
+
+def default_batch_size(device: str) -> int:
+    """V5. Fixed values."""
+    return 256 if device.startswith("cuda") else 32
+
+
+def runtime_metadata(encoder, device: str, batch_size: int, normalized: bool = True) -> dict:
+    """V5: what made the vectors, with the versions of the libraries that are there."""
+    import importlib.metadata as installed
+
+    found = {"model_identifier": getattr(encoder, "name", type(encoder).__name__), "model_revision": getattr(encoder, "revision", None), "embedding_dimension": getattr(encoder, "dimensions", None)}
+    found |= {"device": device, "batch_size": batch_size, "normalization": "l2" if normalized else "none"}
+    for name in ("sentence-transformers", "torch"):
+        try:
+            found[f"{name.replace('-', '_')}_version"] = installed.version(name)
+        except installed.PackageNotFoundError:
+            pass
+    return found
+
+
 class FunctionEncoder:
-    """encode(list of texts) -> matrix, run on Arrow batches of different texts."""
+    """encode(list of texts) -> matrix, run on batches of different texts.
+
+    make: called once in each task, with the device, for a function that holds a model; function otherwise.
+    """
 
-    def __init__(self, function):
-        self.function = function
+    def __init__(self, function=None, make=None, device: str | None = None, batch_size: int | None = None, name: str = "function", dimensions: int | None = None):
+        self.function, self.make, self.device, self.batch_size, self.name, self.dimensions = function, make, device, batch_size, name, dimensions
 
     def encode(self, texts: DataFrame, text: str = "text") -> DataFrame:
-        function = self.function
+        function, make, device, batch_size = self.function, self.make, self.device, self.batch_size
         importable(texts.sparkSession)
 
         def run(frames):
+            from candela.operators.features import default_batch_size, resolve_device
+
+            own = resolve_device(device)
+            call, most = make(own) if make else function, batch_size or default_batch_size(own)
             for pdf in frames:
-                yield pdf.assign(embedding=[list(map(float, v)) for v in function(pdf[text].tolist())])
+                for at in range(0, len(pdf), most):
+                    part = pdf.iloc[at : at + most]
+                    yield part.assign(embedding=[list(map(float, v)) for v in call(part[text].tolist())])
 
         return texts.mapInPandas(run, f"{text} string, embedding array<double>")
 
 
+class SentenceEncoder(FunctionEncoder):
+    """V4: a pretrained sentence transformer, loaded once in each task, with unit vectors. Needs the library sentence-transformers on the executors."""
+
+    def __init__(self, name: str, device: str | None = None, batch_size: int | None = None, revision: str | None = None):
+        self.revision = revision
+
+        def make(own: str):
+            from sentence_transformers import SentenceTransformer
+
+            model = SentenceTransformer(name, device=own, revision=revision)
+            return lambda x: model.encode(x, batch_size=len(x), normalize_embeddings=True, show_progress_bar=False)
+
+        super().__init__(make=make, device=device, batch_size=batch_size, name=name)
+
+
 def encode_unique(texts: DataFrame, encoder, text: str = "text") -> DataFrame:
     """V1: text, embedding of every different cleaned text, encoded once."""
     return encoder.encode(texts.select(clean_text(text).alias(text)).distinct(), text)

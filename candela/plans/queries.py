@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from candela.constants import BASIC_FEATURES, K, SEED
 from candela.functions.text import contains_phrase, normalize_text, token_overlap, tokenize, has_digit, add_product_text, clean_text  # noqa: F401
 from candela.operators import compare, contracts, diagnostics, features, joins, lexical, ranking, split
-from candela.plans.lineage import cut
+from candela import errors
+from candela.plans.lineage import cut, fresh_path
 from candela.sources import tables
 from candela.sources.adapters import CANDIDATES, LONG_TEXTS, PRODUCTS, VECTORS, candidates, products, select
 
@@ -127,7 +128,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000")
 def scan_pruned_pushdown(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    t = tables.scan(spark, f"{sf_dir}/orders.parquet", ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "orders")
     return t.filter("o_orderpriority = '1-URGENT' AND o_totalprice > 100000").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
@@ -448,10 +449,24 @@ def diagnostic_selection(spark, sf_dir):
     return diagnostics.diagnostic_queries(deltas(spark, sf_dir), "diff", "right_value").select("kind", "place", "query_id", "diff")
 
 
-@query()
+_INSPECT = f"""top AS (SELECT query_id, esci_label AS top_label, coalesce(len(list_intersect(list_distinct({tok("query")}), list_distinct({tok("product_title")})))::DOUBLE / nullif(len(list_distinct({tok("query")})), 0), 0) AS top_overlap FROM ranked WHERE rank_bm25 = 1),
+labels AS (SELECT query_id, count(DISTINCT esci_label) AS labels, bool_or(rel) AS has_relevant FROM ranked GROUP BY query_id),
+im AS (SELECT b.query_id, b.n_candidates, round(b.ndcg, 9) AS ndcg, abs(round(t.ndcg, 9) - round(b.ndcg, 9)) AS diff, regexp_matches(b.query, '[0-9]') AS digit, len({tok("b.query")}) AS tokens, labels, has_relevant, top_label, top_overlap
+  FROM per_bm25 b JOIN per_tfidf t USING (query_id) JOIN labels USING (query_id) JOIN top USING (query_id)),
+firsts AS (SELECT 1 AS i, 'strong' AS rule, (SELECT query_id FROM im WHERE labels >= 2 ORDER BY ndcg DESC, query_id LIMIT 1) AS query_id
+  UNION ALL SELECT 2, 'weak', (SELECT query_id FROM im WHERE has_relevant ORDER BY ndcg, query_id LIMIT 1)
+  UNION ALL SELECT 3, 'brand_or_model', (SELECT query_id FROM im WHERE digit ORDER BY ndcg DESC, query_id LIMIT 1)
+  UNION ALL SELECT 4, 'broad', (SELECT query_id FROM im WHERE tokens <= 2 ORDER BY n_candidates DESC, query_id LIMIT 1)
+  UNION ALL SELECT 5, 'misleading', (SELECT query_id FROM im WHERE top_label = 'I' AND top_overlap >= 0.5 ORDER BY top_overlap DESC, query_id LIMIT 1)
+  UNION ALL SELECT 6, 'disagree', (SELECT query_id FROM im ORDER BY diff DESC, query_id LIMIT 1)),
+picked AS (SELECT rule, query_id FROM firsts f WHERE query_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM firsts e WHERE e.i < f.i AND e.query_id = f.query_id)),
+rest AS (SELECT query_id, row_number() OVER (ORDER BY query_id) AS n FROM im WHERE query_id NOT IN (SELECT query_id FROM picked))"""
+
+
+@query(f"{CAND}, {_PER}, {_INSPECT} SELECT rule, query_id FROM picked UNION ALL SELECT 'fill', query_id FROM rest WHERE n <= 6 - (SELECT count(*) FROM picked)")
 def inspection_selection(spark, sf_dir):
     t = cut(ranked(spark, sf_dir).select("query_id", "query", "example_id", "product_title", "esci_label", "relevance_gain", "rank_bm25", "rank_tfidf"))
-    a, b = per_query(t, "bm25"), per_query(t, "tfidf")
+    a, b = (per_query(t, m).withColumn("ndcg", F.round("ndcg", 9)) for m in ("bm25", "tfidf"))
     m = cut(a.join(b.select("query_id", F.col("ndcg").alias("other_ndcg")), "query_id"))
     rows = diagnostics.inspection_queries(t, m, t.withColumnRenamed("rank_bm25", "predicted_rank"))
     return spark.createDataFrame(rows, "rule string, query_id long")
@@ -523,7 +538,11 @@ def unique_text_stats(spark, sf_dir):
     return features.text_statistics(candidates(spark, sf_dir), "query", "product_title")
 
 
-@query()
+@query(f"""{CAND}, texts AS (SELECT DISTINCT text, {tok("text")} AS tokens FROM (SELECT query AS text FROM cand WHERE split = 'train' UNION ALL SELECT product_title FROM cand WHERE split = 'train')),
+vectors AS (SELECT text, [len(list_filter(tokens, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 16 = i)) FOR i IN range(16)] AS v FROM texts),
+norms AS (SELECT text, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM vectors)
+SELECT example_id, query_id, round(greatest(-1, least(1, coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / nullif(a.norm * b.norm, 0), 0))), 6) + 0.0 AS semantic_similarity
+FROM cand c JOIN norms a ON a.text = c.query JOIN norms b ON b.text = c.product_title WHERE split = 'train'""")
 def encoded_similarity(spark, sf_dir):
     """Texts of both sides of a split encoded once each."""
     t = split.hash_split(candidates(spark, sf_dir))
@@ -580,3 +599,118 @@ def rank_random(spark, sf_dir):
 def bootstrap_ci(spark, sf_dir):
     r = compare.bootstrap_mean(deltas(spark, sf_dir), "diff", method="poisson")
     return spark.createDataFrame([(r["mean"], r["ci_low"], r["ci_high"], r["n"])], "mean double, ci_low double, ci_high double, n long")
+
+
+# --- Sources, sinks, contracts ------------------------------------------------------------------------------------------------
+
+_EXAMPLE_COLUMNS = "example_id, query, query_id, product_id, product_locale, esci_label, small_version, 1 AS large_version, split"
+
+
+def _raw(spark, sf_dir) -> str:
+    """A folder with the candidates and products as raw files, in the shared folder."""
+    folder = fresh_path(spark, "raw")
+    candidates(spark, sf_dir).selectExpr(*_EXAMPLE_COLUMNS.split(", ")).write.parquet(f"{folder}/{tables.EXAMPLES}")
+    products(spark, sf_dir).withColumns({"product_bullet_point": F.lit("b"), "product_brand": F.col("product_color")}).write.parquet(f"{folder}/{tables.PRODUCTS}")
+    tables.require_raw_files(spark, folder)
+    return folder
+
+
+@query(f"{CAND} SELECT {_EXAMPLE_COLUMNS} FROM cand WHERE product_locale = 'us' AND small_version = 1")
+def source_examples(spark, sf_dir):
+    return joins.filter_examples(tables.load_examples(spark, f"{_raw(spark, sf_dir)}/{tables.EXAMPLES}"))
+
+
+@query(f"WITH prod AS ({PRODUCTS}) SELECT product_id, product_title, product_description, 'b' AS product_bullet_point, product_color AS product_brand, product_color, product_locale FROM prod WHERE product_locale = 'us'")
+def source_products(spark, sf_dir):
+    return joins.filter_products(tables.load_products(spark, f"{_raw(spark, sf_dir)}/{tables.PRODUCTS}"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sink_csv_roundtrip(spark, sf_dir):
+    path = fresh_path(spark, "csv")
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+    tables.write_csv(t, path)
+    return tables.load_csv(spark, path, t.schema)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 50")
+def sink_sample(spark, sf_dir):
+    """The sample that is written has the first 50 rows of an order."""
+    path = fresh_path(spark, "sample")
+    t = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal").withColumn("_o", -F.col("s_acctbal"))
+    tables.write_sample(t, path, ["_o", "s_suppkey"])
+    return tables.load_csv(spark, path, t.schema).drop("_o")
+
+
+@query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name, f AS _source_kind FROM region, (VALUES ('csv'), ('json'), ('parquet')) k(f)")
+def source_mixed_files(spark, sf_dir):
+    """One table written as CSV, JSON and Parquet and read as one."""
+    folder = fresh_path(spark, "mixed")
+    t = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name").coalesce(1)
+    t.write.option("header", True).csv(f"{folder}/a.csv")
+    t.write.parquet(f"{folder}/c.parquet")
+    tables.write_json(spark, f"{folder}/b.json", [r.asDict() for r in t.collect()])
+    out = None
+    for kind, path in (("csv", "a.csv"), ("json", "b.json"), ("parquet", "c.parquet")):
+        own = tables.load_mixed(spark, [f"{folder}/{path}"]).select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name", F.lit(kind).alias("_source_kind"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"{CAND}, {_SCORED} SELECT example_id, query_id, round(bm25_score, 6) + 0.0 AS bm25_score, round(tfidf_score, 6) AS tfidf_score FROM scored")
+def merged_scores(spark, sf_dir):
+    """Two rankers' scores of the same candidates, one to one."""
+    t = cut(scored(spark, sf_dir).select("example_id", "query_id", "bm25_score", "tfidf_score"))
+    t = compare.merge_scores(t.drop("tfidf_score"), t.select("example_id", "tfidf_score"), "tfidf_score")
+    return t.select("example_id", "query_id", r6("bm25_score", "bm25_score"), r6("tfidf_score", "tfidf_score"))
+
+
+_CHECKS = (
+    ("unique_examples", "(SELECT count(*) > count(DISTINCT example_id) FROM cand)"),
+    ("unique_pairs", "(SELECT count(*) > count(DISTINCT (query_id, product_id)) FROM cand)"),
+    ("no_test_rows", "(SELECT count(*) > 0 FROM cand WHERE split = 'test')"),
+    ("no_test_rows_in_train", "false"),
+    ("pure_split", "(SELECT count(*) > 0 FROM (SELECT query_id FROM cand GROUP BY query_id HAVING count(DISTINCT split) > 1))"),
+    ("sides_together", "(SELECT count(*) > 0 FROM (SELECT query_id FROM cand GROUP BY query_id HAVING count(DISTINCT split) > 1))"),
+    ("locales_together", "(SELECT count(*) > 0 FROM (SELECT query_id FROM cand GROUP BY query_id HAVING count(DISTINCT product_locale) > 1))"),
+    ("same_queries", "(SELECT count(DISTINCT query_id) > count(DISTINCT query_id) FILTER (split = 'train') FROM cand)"),
+    ("sizes", "(SELECT count(*) <> 1000 FROM cand)"),
+    ("finite_gains", "(SELECT count(*) > 0 FROM cand WHERE relevance_gain IS NULL)"),
+    ("finite_logs", "(SELECT count(*) > 0 FROM cand WHERE relevance_gain = 0)"),
+    ("kept_in_top_5", "false"),
+    ("kept_whole", "(SELECT count(*) > 0 FROM (SELECT query_id FROM cand GROUP BY query_id HAVING count(*) > 5))"),
+    ("real_data", "(SELECT count(DISTINCT query_id) < 1000 FROM cand)"),
+    ("label_conflicts", "(SELECT count(*) > 0 FROM (SELECT query_id, product_id FROM cand GROUP BY ALL HAVING count(DISTINCT esci_label) > 1))"),
+)
+
+
+@query(f"{CAND} " + " UNION ALL ".join(f"SELECT '{name}' AS contract, {sql} AS raised" for name, sql in _CHECKS))
+def contract_outcomes(spark, sf_dir):
+    """Which contracts the candidates break."""
+    t = cut(candidates(spark, sf_dir))
+    train, top = t.filter("split = 'train'"), ranking.sort_and_rank(lexical.add_random(t), "random_score", 5)
+    calls = {
+        "unique_examples": lambda: contracts.require_unique(t, ["example_id"]),
+        "unique_pairs": lambda: contracts.require_unique(t, ["query_id", "product_id"]),
+        "no_test_rows": lambda: contracts.require_no_test_rows(t),
+        "no_test_rows_in_train": lambda: contracts.require_no_test_rows(train),
+        "pure_split": lambda: contracts.require_pure_split(t),
+        "sides_together": lambda: contracts.require_together(train, t.filter("split = 'test'")),
+        "locales_together": lambda: contracts.require_together(t.filter("product_locale = 'us'"), t.filter("product_locale = 'jp'")),
+        "same_queries": lambda: contracts.require_same(t, train),
+        "sizes": lambda: contracts.require_sizes(t, 1000, None),
+        "finite_gains": lambda: contracts.require_finite(t, ["relevance_gain"]),
+        "finite_logs": lambda: contracts.require_finite(t.withColumn("l", F.ln("relevance_gain")), ["l"]),
+        "kept_in_top_5": lambda: contracts.require_kept(t, top, 5),
+        "kept_whole": lambda: contracts.require_kept(t, top),
+        "real_data": lambda: contracts.require_real_data(t),
+        "label_conflicts": lambda: contracts.check_duplicate_pairs(t),
+    }
+    rows = []
+    for name, call in calls.items():
+        try:
+            call()
+            rows.append((name, False))
+        except errors.ERRORS:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "contract string, raised boolean")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,8 +29,15 @@ def session(app: str = "candela", master: str | None = None, **settings: str) ->
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    here, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if here not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+    """Let Python workers import this package: from where the driver has it on this machine, and on others from an archive that Spark hands out."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if str(root) not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([str(root), *filter(None, paths)])
+    if not sc.master.startswith("local") and not getattr(sc, "_candela", None):
+        # addPyFile() serves the driver's copy to executors; nothing of it needs to be shared.
+        sc._candela = Path(tempfile.mkdtemp(prefix="candela-")) / "candela.zip"
+        with zipfile.ZipFile(sc._candela, "w") as z:
+            for f in sorted((root / "candela").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(sc._candela))

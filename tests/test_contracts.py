@@ -113,3 +113,10 @@ def test_profiles(spark):
     assert m["product_description"] == (2, 3) and m["product_id"] == (0, 0)
     counts = {(x["column"], x["value"]): x["n"] for x in joins.value_counts(e, "query").collect()}
     assert counts["query", None] == 1
+
+
+def test_features_are_checked_in_the_published_order():
+    published = ("bm25_score", "tfidf_score", "shared_token_count", "query_token_coverage", "title_token_coverage", "exact_query_in_title", "brand_match", "title_token_count", "token_length_difference", "query_bullet_coverage")
+    assert C.check_features(published) == published
+    with pytest.raises(errors.RankingGroupError):
+        C.check_features(published[::-1])

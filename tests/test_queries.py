@@ -43,6 +43,48 @@ def test_runs(spark, name):
     assert Q.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_random_ranks_and_split_against_numpy(spark, duck):
+    """What SQL can't express, from NumPy's generator itself."""
+    import hashlib
+
+    import numpy as np
+
+    from candela.sources.adapters import CANDIDATES
+
+    rows = duck.sql(f"SELECT query_id, product_id::VARCHAR, example_id, split FROM ({CANDIDATES})").fetchall()
+    by: dict = {}
+    for q, p, e, _ in rows:
+        by.setdefault(q, []).append((p, e))
+    got = {r["example_id"]: r for r in Q.QUERIES["rank_random"](spark, DATA).collect()}
+    for q, own in by.items():
+        seed = int.from_bytes(hashlib.blake2b(f"1234:{q}".encode(), digest_size=8).digest(), "little") % 2**32
+        draws = sorted(np.random.default_rng(seed).random(len(own)).tolist())
+        mine = sorted(((got[e]["random_score"], got[e]["predicted_rank"]) for _, e in own), reverse=True)
+        assert sorted(s for s, _ in mine) == draws and [r for _, r in mine] == list(range(1, len(own) + 1))
+        if len({p for p, _ in own}) == len(own):
+            assert [got[e]["random_score"] for _, e in sorted(own)] == np.random.default_rng(seed).random(len(own)).tolist()
+    ids = np.array(sorted({q for q, _, _, s in rows if s == "train"}))
+    np.random.default_rng(1234).shuffle(ids)
+    sides = {q: "train" for q in ids[: int(len(ids) * 0.85)].tolist()} | {q: "validation" for q in ids[int(len(ids) * 0.85) :].tolist()}
+    want: dict = {}
+    for q, *_ in rows:
+        n = want.setdefault(sides.get(q, "test"), [0, set()])
+        n[0] += 1
+        n[1].add(q)
+    assert {r["partition"]: (r["n_rows"], r["n_queries"]) for r in Q.QUERIES["query_split_exact"](spark, DATA).collect()} == {k: (n, len(s)) for k, (n, s) in want.items()}
+
+
+def test_bootstrap_query_against_numpy(spark):
+    import numpy as np
+
+    x = np.array([r["diff"] for r in Q.deltas(spark, DATA).collect()])
+    means = np.random.default_rng(3).choice(x, size=(4000, len(x))).mean(axis=1)
+    r = Q.QUERIES["bootstrap_ci"](spark, DATA).first()
+    assert r["n"] == len(x) and r["mean"] == pytest.approx(x.mean())
+    for got, want in zip((r["ci_low"], r["ci_high"]), np.quantile(means, [0.025, 0.975]), strict=True):
+        assert abs(got - want) < 0.15 * means.std()
+
+
 def test_learning_queries_are_whole_jobs(spark, monkeypatch):
     fits, drawn, draw = [], [], compare.bootstrap_mean
 
