@@ -32,20 +32,29 @@ def _repeats(w: Column, n: Column) -> Column:
     place = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n))) - 1
     size3 = F.lit(3).cast("long")
 
-    def count(mask: Column) -> Column:
-        hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
+    def count(mask: Column, hashes: Column) -> Column:
+        keyed = F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
         high = lambda x: x.bitwiseAND(F.bitwise_not(mask))
         same = lambda x, y: F.coalesce(high(x) == high(y), F.lit(False))
         twice = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.when(i > 0, F.get(s, i - 1)))), lambda x: x.bitwiseAND(mask)))
         gaps = lambda p: F.transform(p, lambda x, i: F.least(size3, F.coalesce(F.get(p, i + 1) - x, size3)))
-        return let(let(let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), hashed)), twice), gaps), lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + b))
+        return let(let(let(F.sort_array(keyed), twice), gaps), lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + b))
 
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(place, count))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+
+    # Most texts have no window twice, which a set of their hashes tells.
+    some = lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(let(place, lambda mask: count(mask, x)))
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(let(hashes, windows), some))
 
 
 def _common(text: Column, listed: Column) -> Column:
     """How often each listed word stands in a text, in the list's order."""
-    found = F.sort_array(F.filter(F.transform(F.split(F.regexp_replace(F.lower(text), MARKS, ""), BLANK), lambda x: F.array_position(listed, x)), lambda x: x > 0))
+    # No word is looked up that is longer than all of them.
+    words = lambda most: F.filter(F.split(F.regexp_replace(F.lower(text), MARKS, ""), BLANK), lambda x: F.octet_length(x) <= most)
+    longest = F.coalesce(F.array_max(F.transform(listed, lambda x: F.octet_length(x))), F.lit(0))
+    found = F.sort_array(F.filter(F.transform(let(longest, words), lambda x: F.array_position(listed, x)), lambda x: x > 0))
     ends = lambda s: F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1) != x, F.lit(True)), F.struct(x.alias("word"), (i + 1).alias("end")))), lambda x: x.isNotNull())
     counts = lambda e: F.transform(e, lambda x, i: F.struct(x["word"].alias("word"), (x["end"] - F.coalesce(F.when(i > 0, F.get(e, i - 1)["end"]), F.lit(0))).alias("n")))
     one = lambda c, b: F.coalesce(F.get(F.filter(c, lambda x: x["word"] == b), F.lit(0))["n"], F.lit(0)).cast("long")
