@@ -40,6 +40,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
     def cut_up(frames):
         import pandas as pd
 
+        from candela.llm import memory
+
         code, last = tokens.encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
         for frame in frames:
             for pdf in tokens.slices(frame):
@@ -50,6 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
                         part = ids[at : at + 4 * length]
                         rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"doc_id": "Int64"})
+        memory.rest("tokens")
 
     return docs.select("doc_id", "text").mapInPandas(cut_up, PIECES + (", ids binary" if with_ids else ""))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candela.llm import tokens
+from candela.llm import memory, tokens
 from candela.llm.common import fresh_path, importable  # noqa: F401
 
 END = 1
@@ -234,6 +234,7 @@ def _blocks(part: int, frames, tokenizer: str, end: int, most: int):
                     docs, held, size, block = [], [], 0, block + 1
     if docs:
         yield row()
+    memory.rest("tokens")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, block: int = BLOCK) -> None:
