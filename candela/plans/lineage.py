@@ -46,5 +46,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df computed once, written as Parquet in the shared folder and read again, so that later steps read the columns they need."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # zstd's buffers are freed with each file; snappy's stay outside the heap until some collection.
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
