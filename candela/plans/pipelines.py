@@ -89,7 +89,7 @@ def train_ranker(train: DataFrame, validation: DataFrame, path: str, names: tupl
     model.save(path)
     if not ltr.predictions_equivalent(model.transform(validation), ltr.Ranker.load(path).transform(validation)):
         raise contracts.RankerEvalError("the saved ranker predicts something else")
-    return {"objective": model.objective, "rounds": model.rounds, "features": list(model.features), "ndcg": model.history_final(), "history": model.history, "importance": model.importance()}
+    return {"objective": model.objective, "rounds": model.rounds, "features": list(model.features), "ndcg": model.history[-1], **model.history_final(), "history": model.history, "importance": model.importance()}
 
 
 def evaluate_ranker(validation: DataFrame, path: str, reference: DataFrame, score: str = "xgb_score", k: int = K, replicates: int = 2000, method: str = "exact") -> dict:
