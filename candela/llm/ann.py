@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candela.llm.common import cut, importable
+from candela.llm.common import importable, written
 
 #: Rows that a router learns from, neighbours of each in the graph, rows that a partition is meant to hold, most partitions of one router.
 SAMPLE, NEIGHBOURS, HELD, FAN = 8192, 10, 256, 256
 #: Share of the sample's neighbours that a router's most probable partitions must hold. They are farther apart than the table's.
 REACH = 0.93
-#: Rows and queries that one task compares.
-ROWS, QUERIES = 8192, 32_768
+#: Most rows and queries that are compared at once, the rows that blocks of a small table have at least, and blocks that a table is dealt into if it can.
+ROWS, QUERIES, FEWEST, BLOCKS = 65_536, 65_536, 1024, 64
+#: Distances, places of routes and routed rows that a task holds at once; equal vectors that are listed by hash.
+CELLS, PLACES, ROUTED, ALIKE = 1 << 21, 1 << 20, 1 << 14, 50_000
 HIDDEN, EPOCHS, SEED = 128, 30, 7
 
 
@@ -147,12 +149,23 @@ class Tree:
                 out[own] += self.second[p].home(x[own])
         return out
 
-    def routes(self, x: np.ndarray, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of x and partitions that they go to: as many of the most probable as each router probes, and more until these hold over k rows."""
+    def dense(self, counts: dict[int, int]) -> np.ndarray:
+        """Rows by first and second part."""
+        out = np.zeros((self.first.parts, self.fan), dtype=np.int64)
+        for part, n in counts.items():
+            out[part // self.fan, part % self.fan] = n
+        return out
+
+    def routes(self, x: np.ndarray, counts: dict[int, int] | np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and partitions that they go to: as many of the most probable as each router probes, and more until these hold over k rows.
+
+        counts: rows by partition, or dense() of them.
+        """
+        counts = counts if isinstance(counts, np.ndarray) else self.dense(counts)
         rows, parts = [], []
         z = self.first.logits(x)
         order = np.argsort(-z, axis=1, kind="stable")
-        held = np.array([sum(counts.get(p * self.fan + i, 0) for i in range(self.second[p].parts if p in self.second else 1)) for p in range(self.first.parts)])
+        held = counts.sum(axis=1)
         need = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
         goes = np.arange(self.first.parts)[None, :] < np.maximum(self.first.probes, need)[:, None]
         i, j = np.nonzero(goes)
@@ -160,13 +173,13 @@ class Tree:
         for part in np.unique(p).tolist():
             own = i[p == part]
             if part not in self.second:
-                if counts.get(part * self.fan):
+                if counts[part, 0]:
                     rows.append(own)
                     parts.append(np.full(len(own), part * self.fan))
                 continue
             sub = self.second[part]
             inner = np.argsort(-sub.logits(x[own]), axis=1, kind="stable")
-            n = np.array([counts.get(part * self.fan + c, 0) for c in range(sub.parts)])
+            n = counts[part, : sub.parts]
             need = (np.cumsum(n[inner], axis=1) <= k).sum(axis=1) + 1
             a, b = np.nonzero(np.arange(sub.parts)[None, :] < np.maximum(sub.probes, need)[:, None])
             c = inner[a, b]
@@ -177,6 +190,94 @@ class Tree:
         return np.concatenate(rows or [none]), np.concatenate(parts or [none])
 
 
+@dataclass
+class Blocks:
+    """Partitions packed into blocks of a bounded number of rows, so that a query goes to a block once, whatever partitions of it it asks.
+
+    A partition of more rows is dealt over several blocks of its own.
+    """
+
+    parts: np.ndarray
+    block: np.ndarray
+    place: np.ndarray
+    split: np.ndarray
+    starts: np.ndarray
+    blocks: np.ndarray
+
+    @staticmethod
+    def pack(counts: dict[int, int], most: int) -> Blocks:
+        parts = np.array(sorted(counts), dtype=np.int64)
+        block, place, split, starts, blocks = [], [], [], [], []
+        at, room = 0, 0
+        for i, part in enumerate(parts.tolist()):
+            n, new = counts[part], counts[part] > room
+            if new:
+                starts.append(i)
+                blocks.append(at)
+                split.append(-(-n // most))
+                at, room = at + split[-1], most - n if n <= most else 0
+            else:
+                split.append(1)
+                room -= n
+            block.append(blocks[-1])
+            place.append(i - starts[-1])
+        # The end of the last.
+        return Blocks(parts, *(np.array(v, dtype=np.int64) for v in (block, place, split, [*starts, len(parts)], [*blocks, at])))
+
+    def step(self) -> int:
+        """Queries that are routed at once."""
+        return int(max(1, min(PLACES // max(1, len(self.parts)), ROUTED // max(1, self.blocks[-1]))))
+
+    def asked(self, rows: np.ndarray, parts: np.ndarray, n: int):
+        """Of routes of n queries: (queries, block, a bit for each of its partitions)."""
+        goes = np.zeros((n, len(self.parts)), dtype=bool)
+        goes[rows, np.searchsorted(self.parts, parts)] = True
+        for a, e, first, end in zip(self.starts[:-1], self.starts[1:], self.blocks[:-1], self.blocks[1:], strict=True):
+            own = np.flatnonzero(goes[:, a:e].any(axis=1))
+            if len(own):
+                bits = np.packbits(goes[own, a:e], axis=1)
+                for block in range(first, end):
+                    yield own, block, bits
+
+
+def matrix(vectors) -> np.ndarray:
+    """Arrow's lists of one length as rows of doubles."""
+    import pyarrow as pa
+
+    one = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    if isinstance(one, pa.ChunkedArray):
+        one = pa.concat_arrays(one.chunks)
+    return one.flatten().to_numpy(zero_copy_only=False).reshape(len(one), -1).astype(float)
+
+
+def closest(ids: np.ndarray, x: np.ndarray, bounds: np.ndarray, names: np.ndarray, y: np.ndarray, bits: np.ndarray, k: int):
+    """Each query's k nearest rows of the partitions that it asks: (places of queries, ids, distances). Rows lie by partition, bits say which a query asks."""
+    norms, by_id = (x * x).sum(axis=1), np.argsort(ids, kind="stable")
+    low, high = (np.searchsorted(ids[by_id], names, side) for side in ("left", "right"))
+    kk, step = min(k, len(x)), max(1, CELLS // len(x))
+    for at in range(0, len(y), step):
+        z, goes = y[at : at + step], bits[at : at + step]
+        own_norms = (z * z).sum(axis=1)
+        d = np.full((len(z), len(x)), np.inf)
+        for p, (a, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            asks = np.flatnonzero(goes[:, p])
+            if a < e and len(asks):
+                d[asks, a:e] = norms[None, a:e] + own_norms[asks, None] - 2 * z[asks] @ x[a:e].T
+        for i in np.flatnonzero(high[at : at + step] > low[at : at + step]).tolist():
+            d[i, by_id[low[at + i] : high[at + i]]] = np.inf
+        # All that might tie with the last one, then exactly.
+        limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        limit = limit + 1e-9 * (1 + np.abs(limit) + own_norms + norms.max())
+        i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        exact = np.empty(len(i))
+        for b in range(0, len(i), 1 << 16):
+            exact[b : b + (1 << 16)] = np.sqrt(((x[j[b : b + (1 << 16)]] - z[i[b : b + (1 << 16)]]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield at + i[first], ids[j[first]], exact[first]
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector is there, not all zero, and all its components are finite."""
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -197,12 +298,29 @@ def _fit(vectors: DataFrame, rows: int, reach: float) -> list:
 
         sizes = [len(v) for v in pdf["embedding"]]
         size = max(sorted(set(sizes)), key=sizes.count)
-        router = ann.learn(np.array([v for v in pdf["embedding"] if len(v) == size]), int(pdf["rows"].iloc[0]), reach, fan)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "size": [size], "router": [pickle.dumps(router)]})
+        x = np.array([v for v in pdf["embedding"] if len(v) == size], dtype=float)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "size": [size], "router": [pickle.dumps(ann.learn(x, int(pdf["rows"].iloc[0]), reach, fan))]})
 
     return vectors.groupBy("part").applyInPandas(fit, "part int, size int, router binary").collect()
 
 
+def _homes(rows: DataFrame, home) -> DataFrame:
+    """vec_id, embedding and part, which home() gives for a matrix of vectors."""
+    kind = rows.schema["embedding"].dataType.simpleString()
+
+    def homes(batches):
+        import pyarrow as pa
+
+        from candela.llm import ann
+
+        for b in batches:
+            if b.num_rows:
+                part = pa.array(home(ann.matrix(b.column("embedding"))), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), part], ["vec_id", "embedding", "part"])
+
+    return rows.select("vec_id", "embedding").mapInArrow(homes, f"vec_id long, embedding {kind}, part int")
+
+
 def grow(candidates: DataFrame, reach: float = REACH) -> tuple[Tree, int] | None:
     """The routers of a table (vec_id, embedding) and the length of its vectors; None for an empty table.
 
@@ -219,13 +337,8 @@ def grow(candidates: DataFrame, reach: float = REACH) -> tuple[Tree, int] | None
         return None
     size, tree = found[0]["size"], Tree(pickle.loads(found[0]["router"]), {}, FAN)
     if total > FAN * HELD and tree.first.parts > 1:
-        rows = candidates.filter(F.size("embedding") == size)
-
-        def homes(frames):
-            for pdf in frames:
-                yield pdf.assign(part=tree.first.home(np.stack(pdf["embedding"].to_list())) if len(pdf) else [])
-
-        placed = cut(rows.mapInPandas(homes, "vec_id long, embedding array<double>, part int"))
+        # Homes are worked out twice, which is less than to keep all vectors for the second time.
+        placed = _homes(candidates.filter(F.size("embedding") == size), tree.first.home)
         sums = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
         large = {p: n for p, n in sums.items() if n > 2 * HELD}
         share = F.create_map(*[x for p, n in large.items() for x in (F.lit(p), F.struct(F.lit(n).alias("n"), F.lit(min(1.0, SAMPLE / n)).alias("f")))]) if large else None
@@ -236,13 +349,28 @@ def grow(candidates: DataFrame, reach: float = REACH) -> tuple[Tree, int] | None
     return tree, size
 
 
+def _fewer(candidates: DataFrame, k: int) -> DataFrame:
+    """candidates without those that k + 1 of smaller ids equal. Hashes are counted before any vector moves."""
+    by = [F.xxhash64(F.lit(i), "embedding").alias(f"_h{i}") for i in (1, 2)]
+    many = candidates.select(*by).groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).filter(F.col("_n") > k + 1).select("_h1", "_h2").limit(ALIKE + 1).collect()
+    if not many:
+        return candidates
+    named = candidates.select("*", *by)
+    first = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("vec_id"))).filter(F.col("_n") <= k + 1).select("vec_id", "embedding")
+    if len(many) > ALIKE:
+        return first(named)
+    hot = F.broadcast(candidates.sparkSession.createDataFrame(many, "_h1 long, _h2 long"))
+    return named.join(hot, ["_h1", "_h2"], "left_anti").select("vec_id", "embedding").unionByName(first(named.join(hot, ["_h1", "_h2"], "left_semi")))
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, reach: float = REACH) -> DataFrame:
     """Each query's k nearest candidates by Euclidean distance: query_id, rank, vec_id, score.
 
     queries, candidates: vec_id, embedding. A candidate with the query's own id isn't compared. A
     neighbour graph of a sample is cut into balanced partitions and a small network
     learns them, on two levels for large tables (grow()); every candidate goes to its most probable one, every query to as many of the most probable as
-    reached `reach` of the sample's neighbours, and to more while they hold k others or fewer; reach=1 compares all, which is exact. There
+    reached `reach` of the sample's neighbours, and to more while they hold k others or fewer; reach=1 compares all, which is exact. Partitions lie in
+    blocks of ROWS rows at most, and a query goes to a block once, with a bit for each partition. There
     all distances are computed in double precision on the original vectors; ties go to the smaller
     vec_id. Of candidates with one vector the k + 1 of smallest ids alone can be among a query's k, so the others go first, and a vector that
     a third of all rows share is no large partition.
@@ -252,7 +380,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, reach: float
     """
     spark = candidates.sparkSession
     importable(spark)
-    own = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    # Floats move as such and are doubles where they are compared.
+    kind = "array<float>" if all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (candidates, queries)) else "array<double>"
+    own = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind)).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     candidates, queries = own(candidates), own(queries).dropDuplicates(["vec_id"])
     schema = "query_id long, rank int, vec_id long, score double"
     grown = grow(candidates, reach)
@@ -260,58 +390,53 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, reach: float
         return spark.createDataFrame([], schema)
     tree, size = grown
     candidates, queries = (df.filter(F.size("embedding") == size) for df in (candidates, queries))
-    alike = Window.partitionBy(F.xxhash64(F.lit(1), "embedding"), F.xxhash64(F.lit(2), "embedding")).orderBy("vec_id")
-    candidates = candidates.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k + 1).drop("_n")
     # At most (FAN + 1) routers of some 100 kB.
     shared = spark.sparkContext.broadcast(tree)
-
-    def homes(frames):
-        for pdf in frames:
-            yield pdf.assign(part=shared.value.home(np.stack(pdf["embedding"].to_list())) if len(pdf) else [])
-
-    placed = cut(candidates.mapInPandas(homes, "vec_id long, embedding array<double>, part int"))
+    placed = written(_homes(_fewer(candidates, k), lambda x: shared.value.home(x)), "placed")
     # One number for each partition, FAN * FAN at most.
     held = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    total, asks = sum(held.values()), queries.count()
+    if not total or not asks:
+        return spark.createDataFrame([], schema)
+    blocks = Blocks.pack(held, int(min(ROWS, max(FEWEST, -(-total // BLOCKS)))))
+    dealt = spark.sparkContext.broadcast((blocks, tree.dense(held)))
+    chunks = -(-asks // QUERIES)
+
+    def routes(batches):
+        import pyarrow as pa
+
+        blocks, counts = dealt.value
+        step = blocks.step()
+        for b in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            rows, parts = shared.value.routes(matrix(b.column("embedding")), counts, k)
+            for own, block, bits in blocks.asked(rows, parts, b.num_rows):
+                part = b.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array(np.full(len(own), block), pa.int32()), pa.array([r.tobytes() for r in bits], pa.binary())], ["vec_id", "embedding", "block", "bits"])
+
+    asked = queries.mapInArrow(routes, f"vec_id long, embedding {kind}, block int, bits binary")
+    names = spark.createDataFrame(list(zip(blocks.parts.tolist(), blocks.block.tolist(), blocks.place.tolist(), blocks.split.tolist(), strict=True)), "part int, _b int, place int, _n int")
+    mine = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), n).cast("int")
+    left = placed.join(F.broadcast(names), "part").select("vec_id", "embedding", (F.col("_b") + mine(1, F.col("_n"))).alias("block"), F.lit(None).cast("binary").alias("bits"), "place", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("q"))
+    right = asked.select("vec_id", "embedding", "block", "bits", F.lit(-1).alias("place"), mine(2, F.lit(chunks)).alias("q"))
+
+    def compare(table):
+        import pyarrow as pa
 
-    def routes(frames):
-        for pdf in frames:
-            if len(pdf):
-                rows, parts = shared.value.routes(np.stack(pdf["embedding"].to_list()), held, k)
-                yield pdf.iloc[rows].assign(part=parts)
-
-    asked = cut(queries.mapInPandas(routes, "vec_id long, embedding array<double>, part int"))
-    sizes = placed.groupBy("part").agg(F.count("*").alias("rows")).join(asked.groupBy("part").agg(F.count("*").alias("asks")), "part")
-    # Blocks of a partition: rows by one hash, queries by another; each meets all blocks of the other.
-    sizes = F.broadcast(sizes.select("part", F.ceil(F.col("rows") / ROWS).cast("int").alias("_r"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("_a")))
-    mine = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(sizes, "part").select("vec_id", "embedding", "part", mine(1, "_r").alias("b"), every("_a").alias("q"), F.lit(False).alias("asks"))
-    right = asked.join(sizes, "part").select("vec_id", "embedding", "part", mine(2, "_a").alias("q"), every("_r").alias("b"), F.lit(True).alias("asks")).select(left.columns)
-
-    def compare(pdf):
-        import pandas as pd
+        from candela.llm import ann
 
-        asks = pdf["asks"].to_numpy(dtype=bool)
-        out = []
-        if asks.any() and not asks.all():
-            ids, x = pdf["vec_id"].to_numpy()[~asks], np.stack(pdf["embedding"][~asks].to_list())
-            names, y = pdf["vec_id"].to_numpy()[asks], np.stack(pdf["embedding"][asks].to_list())
-            norms = (x * x).sum(axis=1)
-            for at in range(0, len(y), 256):
-                z = y[at : at + 256]
-                d = norms[None, :] + (z * z).sum(axis=1)[:, None] - 2 * z @ x.T
-                for name, q, row in zip(names[at : at + 256].tolist(), z, d, strict=True):
-                    row[ids == name] = np.inf
-                    n = min(k, int(np.isfinite(row).sum()))
-                    if n:
-                        # All that might tie with the last one, then exactly.
-                        limit = np.partition(row, n - 1)[n - 1]
-                        near = np.flatnonzero(row <= limit + 1e-9 * (1 + abs(limit) + norms.max()))
-                        exact = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
-                        best = np.lexsort((ids[near], exact))[:k]
-                        out += [(name, int(v), float(s)) for v, s in zip(ids[near][best], exact[best], strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.unionByName(right).groupBy("part", "b", "q").applyInPandas(compare, "query_id long, vec_id long, score double")
+        place, out = table.column("place").to_numpy(), []
+        rows, asks = table.take(pa.array(np.argsort(place, kind="stable")[(place < 0).sum() :])), table.take(pa.array(np.flatnonzero(place < 0)))
+        if rows.num_rows and asks.num_rows:
+            bits = np.frombuffer(b"".join(asks.column("bits").to_pylist()), dtype=np.uint8).reshape(asks.num_rows, -1)
+            place = rows.column("place").to_numpy()
+            bounds = np.searchsorted(place, np.arange(place[-1] + 2))
+            names = asks.column("vec_id").to_numpy()
+            found = ann.closest(rows.column("vec_id").to_numpy(), ann.matrix(rows.column("embedding")), bounds, names, ann.matrix(asks.column("embedding")), np.unpackbits(bits, axis=1), k)
+            out = [(names[i], ids, far) for i, ids, far in found]
+        columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
+        return pa.table([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+    every = left.unionByName(right).repartition(int(min(4096, blocks.blocks[-1] * chunks)), "block", "q")
+    found = every.groupBy("block", "q").applyInArrow(compare, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -390,6 +390,22 @@ def test_neighbours_of_a_large_table(spark, monkeypatch):
     assert sorted(got) == [(q, i + 1, v) for q, near in sorted(want.items()) for i, (v, _) in enumerate(near)]
 
 
+def test_queries_go_to_a_block_once():
+    """However many partitions a query asks, its vector moves once for each block; partitions over a block's size are dealt over several."""
+    counts = {p: 10 + p % 7 for p in range(0, 2000, 2)} | {2001: 950}
+    blocks = ann.Blocks.pack(counts, 300)
+    n = blocks.blocks[-1]
+    assert n <= 2 + 2 * sum(counts.values()) / 300 and all(sum(list(counts.values())[a:e]) <= 300 for a, e in zip(blocks.starts[:-2], blocks.starts[1:-1], strict=True))
+    rows, parts = np.repeat(np.arange(5), 600), np.concatenate([np.random.default_rng(i).choice(blocks.parts, 600, replace=False) for i in range(5)])
+    got, sent = set(), 0
+    for own, block, bits in blocks.asked(rows, parts, 5):
+        sent += len(own)
+        here = np.flatnonzero((blocks.block <= block) & (block < blocks.block + blocks.split))
+        got |= {(q, blocks.parts[here[c]]) for q, b in zip(own.tolist(), np.unpackbits(bits, axis=1), strict=True) for c in np.flatnonzero(b).tolist()}
+    assert got == set(zip(rows.tolist(), parts.tolist(), strict=True)) and sent <= 5 * n < len(rows) / 5
+    assert blocks.split[-1] == 4 and n == blocks.block[-1] + 4
+
+
 def test_neighbours_beside_columns_of_the_same_names(spark):
     t = vectors(spark, np.eye(12), [100 * i for i in range(12)]).selectExpr("*", "1 AS part", "'x' AS score", "'y' AS rank", "2 AS rows", "3 AS b", "4 AS asks")
     rows = ann.nearest(t, t, 3).collect()
