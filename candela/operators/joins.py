@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from candela.constants import EXAMPLE_COLUMNS, PRODUCT_COLUMNS
 from candela.errors import DataIntegrityError
@@ -118,3 +123,24 @@ def outer_examples(tables: dict[str, DataFrame], key: str | list[str] = "example
     return out
 
 
+def outer_ranked(df: DataFrame, models: Iterable[str], keys: Iterable[str] = ("query_id", "example_id")) -> DataFrame:
+    """J8 for whole rankings of one table, which has {model}_score and {model}_rank: what outer_examples() makes of the lists, where they lie.
+
+    Every row is in every list, so nothing moves that a window by the first key hasn't moved. A key of several rows gives all their combinations, and
+    rows with a null in their key meet no other, as in the joins.
+    """
+    models, keys = list(models), list(keys)
+    entry = {m: F.struct(F.col(f"{m}_score").alias("score"), F.col(f"{m}_rank").alias("rank")) for m in models}
+    none = {m: F.struct(*[F.lit(None).cast(df.schema[f"{m}_{c}"].dataType).alias(c) for c in ("score", "rank")]) for m in models}
+    df = df.withColumns({f"_{m}": F.collect_list(entry[m]).over(Window.partitionBy(*keys)) for m in models[1:]})
+
+    def with_next(found: Column, before: list[str], m: str) -> Column:
+        return F.flatten(F.transform(found, lambda x: F.transform(F.col(f"_{m}"), lambda y: F.struct(*[x[k].alias(k) for k in before], y.alias(m)))))
+
+    met = F.array(F.struct(entry[models[0]].alias(models[0])))
+    for i, m in enumerate(models[1:], 1):
+        met = with_next(met, models[:i], m)
+    alone = F.array(*[F.struct(*[(entry if k == m else none)[k].alias(k) for k in models]) for m in models])
+    missing = reduce(or_, [F.col(k).isNull() for k in keys])
+    t = df.select(*keys, F.explode(F.when(missing, alone).otherwise(met)).alias("_x"))
+    return t.select(*keys, *[F.col(f"_x.{m}.{c}").alias(f"{m}_{c}") for m in models for c in ("score", "rank")])

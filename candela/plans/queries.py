@@ -366,9 +366,8 @@ _LISTS = ", ".join(f"list_{m} AS (SELECT query_id, example_id, round({m}_score,
 @query(f"{CAND}, {_RANKED}, {_LISTS} SELECT query_id, example_id, bm25_score, bm25_rank, tfidf_score, tfidf_rank, random_score, random_rank FROM list_bm25 FULL JOIN list_tfidf USING (query_id, example_id) FULL JOIN list_random USING (query_id, example_id)")
 def example_outer_merge_all(spark, sf_dir):
     """Whole ranked lists of all queries under all three models; example_outer_merge shows one query's first ten."""
-    t, models = scored(spark, sf_dir), ("bm25", "tfidf", "random")
-    whole = lambda s: ranking.sort_and_rank(t, s).select("query_id", "example_id", F.col(s).alias("score"), "predicted_rank")
-    t = joins.outer_examples({m: whole(f"{m}_score") for m in models}, ["query_id", "example_id"])
+    models = ("bm25", "tfidf", "random")
+    t = joins.outer_ranked(ranked(spark, sf_dir).withColumnsRenamed({f"rank_{m}": f"{m}_rank" for m in models}), models)
     return t.select("query_id", "example_id", *[c for m in models for c in (r6(f"{m}_score", f"{m}_score"), f"{m}_rank")])
 
 

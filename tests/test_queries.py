@@ -4,9 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from candela.constants import REPLICATES
-from candela.operators import compare, ltr
+from candela.operators import compare, joins, ltr
 from candela.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -111,3 +112,16 @@ def test_outer_merge_has_all_queries_and_models(spark):
     sizes = {q: sum(q == x for x, _ in want) for q in {q for q, _ in want}}
     for m in ("bm25", "tfidf", "random"):
         assert max(sizes.values()) > 10 and {q: max(r[f"{m}_rank"] for r in rows if r["query_id"] == q) for q in sizes} == sizes
+
+
+def test_outer_merge_in_place(spark):
+    """As the joins have it, also for repeated keys and nulls; the query deals its scored rows out once for all models."""
+    rows = [(1, "a", 0.5, 0.1), (1, "b", 0.4, 0.9), (1, "b", 0.3, 0.2), (2, "a", 0.5, 0.5), (None, "c", 0.1, 0.7), (2, None, 0.2, 0.3)]
+    t = spark.createDataFrame(rows, "query_id long, example_id string, x_score double, y_score double").withColumn("product_id", F.col("example_id"))
+    lists = {m: Q.ranking.sort_and_rank(t, f"{m}_score") for m in "xy"}
+    want = joins.outer_examples({m: d.withColumn("score", F.col(f"{m}_score")) for m, d in lists.items()}, ["query_id", "example_id"])
+    both = Q.ranking.add_ranks(t, {"x_score": "x_rank", "y_score": "y_rank"})
+    got = joins.outer_ranked(both, "xy")
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 10
+    plan = Q.QUERIES["example_outer_merge_all"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and plan.count("Relation [l_orderkey") <= Q.QUERIES["multi_model_ranks"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
