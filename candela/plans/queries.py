@@ -15,7 +15,7 @@ from candela.constants import BASIC_FEATURES, K, SEED
 from candela.functions.text import contains_phrase, normalize_text, token_overlap, tokenize, has_digit, add_product_text, clean_text  # noqa: F401
 from candela.operators import compare, contracts, diagnostics, features, joins, lexical, ranking, split
 from candela import errors
-from candela.plans.lineage import cut, fresh_path
+from candela.plans.lineage import cut, fresh_path, written
 from candela.sources import tables
 from candela.sources.adapters import CANDIDATES, LONG_TEXTS, PRODUCTS, VECTORS, candidates, products, select
 
@@ -559,7 +559,9 @@ def feature_table(spark, sf_dir):
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    t = cut(features.feature_table(split.hash_split(candidates(spark, sf_dir)), check=False, keep=("partition",)))
+    t = features.feature_table(split.hash_split(candidates(spark, sf_dir)), check=False, keep=("partition",))
+    # Rankers read neither the texts nor the rows of the other side.
+    t = written(t.drop("query", "product_title"), "features")
     return t.filter("partition = 'train'"), t.filter("partition = 'validation'")
 
 

@@ -173,3 +173,24 @@ def test_first_split_by_hand():
     assert (root[5], root[0], root[1]) == (pytest.approx(best[0]), best[1], best[2])
     left = x[:, best[1]] < best[2]
     assert trees.predict(x)[left] == pytest.approx(-0.1 * g[left].sum() / (h[left].sum() + 1))
+
+
+def test_training_keeps_bytes_not_matrices(monkeypatch):
+    """What training holds for a row at once, above its input, is some tens of bytes, and parts of a feature give the bins of the whole."""
+    import tracemalloc
+
+    monkeypatch.setattr(lambdamart, "ROWS", 4096)
+    rng, n = np.random.default_rng(9), 200_000
+    x = np.column_stack([rng.normal(size=n).round(9), *[rng.integers(0, 8, n) / 7.0 for _ in range(9)]])
+    whole, parts = (lambdamart.Values.of(x[:, 0]) for _ in range(2))
+    parts.parts = [p for a in parts.parts for p in np.array_split(a, 3)]
+    cuts = np.quantile(x[:, 0], np.linspace(0, 1, 257)[1:-1])
+    assert (whole.bins(cuts) == parts.bins(cuts)).all()
+    columns = [lambdamart.Values.of(x[:, f]) for f in range(10)]
+    sizes = np.full(n // 40, 40)
+    options = {"features": list("abcdefghij"), "rounds": 2, "depth": 4, "rate": 0.1, "subsample": 0.8, "columns": 0.8, "seed": 1, "penalty": 1.0, "least": 1.0, "k": 10}
+    tracemalloc.start()
+    trees = lambdamart.train(columns, rng.integers(0, 4, n).astype(float), np.cumsum(sizes) - sizes, sizes, np.zeros(len(sizes), dtype=int), np.arange(n), lambdamart.Alone(), options)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(trees.nodes) == 2 and peak < 100 * n
