@@ -12,8 +12,8 @@ from candela.llm.common import importable
 
 #: The bound of what is learnt from: documents of each language, characters of each document, characters of all languages (but LEAST of each document).
 DOCS, CHARS, ALL_CHARS, LEAST = 128, 1500, 32_000_000, 64
-#: Languages whose dictionaries a text is compressed with: those whose trigrams are nearest. Columns of the trigrams' table; coders that a worker keeps.
-SHORT, GRAMS, CODERS = 12, 4096, 64
+#: Columns of the trigrams' table; coders that a worker keeps.
+GRAMS, CODERS = 4096, 64
 #: Bytes compressed at a time, so that the dictionary matters at every place of a long text; the level.
 STEP, LEVEL = 1024, 6
 #: Gain over the second language, relative, below which a prediction is marked as unreliable.
@@ -104,13 +104,12 @@ def _score(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return best, share, gain
 
 
-def identify(docs: DataFrame, learn: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
+def identify(docs: DataFrame, learn: DataFrame | None = None, margin: float = MARGIN, short: int | None = None) -> DataFrame:
     """The language of every whole text.
 
     docs: doc_id, text. learn: doc_id, text, lang (docs by default). Returns doc_id, held_out, lang_pred,
-    score (0 to 1), gain and reliable. The text is compressed in steps with the dictionaries of the SHORT languages whose
-    trigrams are nearest to its own, of every learnt language if there are no more, and the
-    smallest total wins, ties to the language of more documents; every value of lang that is learnt from can be predicted; a gain under `margin` is rejected in `reliable`. lang_pred
+    score (0 to 1), gain and reliable. The text is compressed in steps with the dictionary of every learnt language, or, if
+    asked for, of the `short` ones alone whose trigrams are nearest to its own, and the smallest total wins, ties to the language of more documents; every value of lang that is learnt from can be predicted; a gain under `margin` is rejected in `reliable`. lang_pred
     is und, with score 0, where text is null or has no letter, or nothing could be learnt. A null doc_id
     counts as not held out. No row moves.
     """
@@ -124,18 +123,23 @@ def identify(docs: DataFrame, learn: DataFrame | None = None, margin: float = MA
         import pandas as pd
         from candela.llm import langid, tokens
 
-        coders, many = langid.Coders(raw), len(raw) > langid.SHORT
+        coders, many = langid.Coders(raw), bool(short) and len(raw) > short
         table = langid.profiles(raw).T if many else None
         for pdf in (part for frame in frames for part in tokens.slices(frame)):
             sizes = np.full((len(pdf), max(len(raw), 1)), np.inf if many else 0.0)
+            rows = []
             for i, (text, ok) in enumerate(zip(pdf["text"], pdf["letters"], strict=True)):
                 if ok and raw:
                     data = langid.plain(text)
-                    parts = [data[k : k + langid.STEP] for k in range(0, len(data), langid.STEP)]
-                    for j in np.sort(np.argsort(-(langid.trigrams(data) @ table), kind="stable")[: langid.SHORT]).tolist() if many else range(len(raw)):
-                        sizes[i, j] = coders.size(j, parts)
-                elif many:
+                    tried = set(np.argsort(-(langid.trigrams(data) @ table), kind="stable")[:short].tolist()) if many else None
+                    rows.append((i, [data[k : k + langid.STEP] for k in range(0, len(data), langid.STEP)], tried))
+                else:
                     sizes[i] = 0
+            # A language at a time, so that a coder is made once for a slice, however many there are.
+            for j in range(len(raw)):
+                for i, parts, tried in rows:
+                    if tried is None or j in tried:
+                        sizes[i, j] = coders.size(j, parts)
             best, share, gain = langid._score(sizes)
             ok = pdf["letters"].to_numpy(dtype=bool) & bool(raw)
             yield pd.DataFrame({

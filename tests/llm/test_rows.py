@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,26 @@ def test_language_of_very_many(spark):
     assert len({made[i][0] for i in held}) > 60 and sum(made[i][0] == x for i, x in held.items()) >= 0.95 * len(held)
 
 
+def test_every_language_is_tried(spark):
+    """Random letters, which are nearly as long under any dictionary: the least of all 30 wins, not of those with near trigrams."""
+    rng, letters = random.Random(63), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    texts, langs = [], []
+    for i in range(30):
+        own = [word() for _ in range(30)]
+        texts += [" ".join(rng.choice(own) for _ in range(30)) for _ in range(6)]
+        langs += [f"l{i:02d}"] * 6
+    t = docs(spark, texts + [" ".join(word() for _ in range(n)) for n in range(1, 41)], langs + [None] * 40)
+    known = langid.dictionaries(t)
+    assert len(known) == 30
+    coders, names = langid.Coders(list(known.values())), list(known)
+    for r in langid.identify(t).join(t.select("doc_id", "text"), "doc_id").collect():
+        data = langid.plain(r["text"])
+        sizes = [coders.size(j, [data[k : k + langid.STEP] for k in range(0, len(data), langid.STEP)]) for j in range(30)]
+        assert r["lang_pred"] == names[int(np.argmin(sizes))]
+    assert {r["lang_pred"] for r in langid.identify(t, short=12).collect()} <= set(names)
+
+
 def test_language_by_hand(spark):
     """Sizes from zstandard itself, of the dictionaries as they are."""
     import zstandard
