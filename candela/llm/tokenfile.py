@@ -43,13 +43,21 @@ def width_of(base: int) -> int:
 
 
 def pair_keys(seq: np.ndarray, ends: np.ndarray, shift: int, spots: np.ndarray | None = None) -> np.ndarray:
-    """left << shift | right of all neighbours, or of those at `spots`; all bits are set where left ends a document, which no pair of symbols under 2**shift - 1 is."""
+    """left << shift | right of all neighbours, or of those at `spots`; all bits are set where left ends a document, which no pair of symbols under 2**shift - 1 is.
+
+    ends: whether a symbol ends a document, or the places of those that do, in order.
+    """
     kind = np.uint32 if shift == 16 else np.uint64
-    left, right, last = (seq[:-1], seq[1:], ends[:-1]) if spots is None else (seq[spots], seq[spots + 1], ends[spots])
+    left, right = (seq[:-1], seq[1:]) if spots is None else (seq[spots], seq[spots + 1])
     keys = left.astype(kind)
     keys <<= kind(shift)
     keys |= right
-    keys[last] = ~kind(0)
+    if ends.dtype == bool:
+        ends = np.flatnonzero(ends)
+    if spots is not None:
+        at = np.searchsorted(spots, ends)
+        ends = at[(at < len(spots)) & (spots[np.minimum(at, len(spots) - 1)] == ends)] if len(spots) else ends[:0]
+    keys[ends[: np.searchsorted(ends, len(keys))]] = ~kind(0)
     return keys
 
 
@@ -91,13 +99,13 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, s
     count around these alone, until a count of everything finds no more.
     """
     shift = 8 * width_of(base)
-    seq, ends = ids.astype(np.uint32), last.copy()
+    seq, ends = ids.astype(np.uint32), np.flatnonzero(last)
     rules, lengths, names, limit, fresh = [], [np.ones(base, dtype=np.int64)], base, np.inf, 0
     while len(seq) > 1 and names < (1 << shift) - 1:
         spots = None
         if fresh:
-            new = np.flatnonzero(seq >= fresh)
-            spots = np.union1d(new[new > 0] - 1, new[new < len(seq) - 1])
+            new = seq >= fresh
+            spots = np.flatnonzero(new[:-1] | new[1:])
         keys = pair_keys(seq, ends, shift, spots)
         pairs, count = pair_counts(keys)
         top = int(count.max()) if len(count) else 0
@@ -121,10 +129,12 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, s
         at, which = at[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
         pairs = pairs[good]
         seq[at] = names + which
-        ends[at] = ends[at + 1]
+        at += 1
         stay = np.ones(len(seq), dtype=bool)
-        stay[at + 1] = False
-        seq, ends = seq[stay], ends[stay]
+        stay[at] = False
+        seq = seq[stay]
+        # Where a pair ended a document, what stands for it ends it.
+        ends -= np.searchsorted(at, ends, side="right")
         known = np.concatenate(lengths)
         rules.append(np.column_stack([pairs >> pairs.dtype.type(shift), pairs & pairs.dtype.type((1 << shift) - 1)]).astype(np.int64))
         lengths.append(known[rules[-1]].sum(axis=1))
@@ -132,7 +142,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, s
         names += len(pairs)
     kind = f"<u{shift // 8}"
     flat = np.concatenate(rules) if rules else np.zeros((0, 2))
-    return seq.astype(kind), flat.astype(kind), np.concatenate(lengths)[base:].astype("<u4"), np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
+    return seq.astype(kind), flat.astype(kind), np.concatenate(lengths)[base:].astype("<u4"), np.concatenate([[0], ends[:-1] + 1])
 
 
 def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -204,17 +214,26 @@ def window(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
     return out, opened
 
 
+def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the end id after each document's."""
+    counts = counts + 1
+    ends = np.cumsum(counts) - 1
+    out, plain = np.empty(len(ids) + len(counts), dtype="<u4"), np.ones(len(ids) + len(counts), dtype=bool)
+    plain[ends] = False
+    out[plain], out[ends] = ids, end
+    return out, counts
+
+
 def _blocks(part: int, frames, tokenizer: str, end: int, most: int):
     """Rows of the format from frames of (doc_id, text) in order."""
     import pandas as pd
 
-    code, last = tokens.encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
+    code = tokens.encoder(tokenizer)
     base = max(code.ids, end + 1)
-    docs, held, size, block = [], [], 0, 0
+    docs, held, counted, size, block = [], [], [], 0, 0
 
     def row():
-        counts = np.array([len(x) // 4 for x in held], dtype=np.int64)
-        ids = np.frombuffer(b"".join(held), dtype="<u4")
+        counts, ids = np.concatenate(counted), np.concatenate(held)
         final = np.zeros(len(ids), dtype=bool)
         final[np.cumsum(counts) - 1] = True
         symbols, rules, lengths, at = compress(ids, final, base)
@@ -224,14 +243,20 @@ def _blocks(part: int, frames, tokenizer: str, end: int, most: int):
 
     for frame in frames:
         for pdf in tokens.slices(frame):
-            ids = code.encode([x if isinstance(x, str) else None for x in pdf["text"]])
-            for doc, x in zip(pdf["doc_id"].tolist(), ids, strict=True):
-                docs.append(None if doc is None or doc != doc else int(doc))
-                held.append(x + last)
-                size += len(x) // 4 + 1
+            ids, counts = with_end(*code.arrays([x if isinstance(x, str) else None for x in pdf["text"]]), end)
+            names = [None if doc is None or doc != doc else int(doc) for doc in pdf["doc_id"].tolist()]
+            ends, first, at = np.cumsum(counts), 0, 0
+            while first < len(names):
+                # A block ends with the document that fills it.
+                stop = min(len(names), int(np.searchsorted(ends, at + most - size)) + 1)
+                docs += names[first:stop]
+                counted.append(counts[first:stop])
+                held.append(ids[at : ends[stop - 1]])
+                size += int(ends[stop - 1]) - at
+                first, at = stop, int(ends[stop - 1])
                 if size >= most:
                     yield row()
-                    docs, held, size, block = [], [], 0, block + 1
+                    docs, held, counted, size, block = [], [], [], 0, block + 1
     if docs:
         yield row()
     memory.rest("tokens")

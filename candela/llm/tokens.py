@@ -122,7 +122,7 @@ class Encoder:
         out = []
         for at in range(0, len(words), 512):
             own = words[at : at + 512]
-            ids = np.array(self.tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(stops) != len(own):
                 out += self._each(own)
@@ -137,28 +137,55 @@ class Encoder:
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def arrays(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one text's after another's, and how many each has.
+
+        A call's different words are looked up once each, its words are their numbers.
+        """
         if not self.words:
-            return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
-        get, held, missing = self.young.get, [], set()
-        for x in texts:
-            data = (x or "").encode()
-            if b"<|" in data:
-                held.append(((), [self.pack(self.tokenizer.encode(x, add_special_tokens=False).ids)], ()))
-                continue
-            words = data.lower().split()
-            ids = list(map(get, words))
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            missing.update(words[i] for i in gaps)
-            held.append((words, ids, gaps))
+            parts = [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+            return np.frombuffer(b"".join(parts), dtype="<u4"), _sizes(parts)
+        if not texts:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        special = [i for i, x in enumerate(texts) if x and "<|" in x]
+        plain = [x or "" for x in texts]
+        for i in special:
+            plain[i] = ""
+        # Every text has a word at least: an empty one, if no other.
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(plain, pa.large_string())))
+        ends = split.offsets.to_numpy()[1:].astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        del split, plain
+        words, number = numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        ids = list(map(self.young.get, words))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        missing = {words[i] for i in gaps if words[i]}
         found = self._learn(missing) if missing else {}
-        out = []
-        for words, ids, gaps in held:
-            for i in gaps:
-                ids[i] = found[words[i]]
-            out.append(b"".join(ids))
-        return out
+        for i in gaps:
+            ids[i] = found[words[i]] if words[i] else b""
+        if special:
+            number = number.copy()
+            number[ends[special] - 1] = np.arange(len(ids), len(ids) + len(special))
+            ids += [self.pack(self.tokenizer.encode(texts[i], add_special_tokens=False).ids) for i in special]
+        data, size = np.frombuffer(b"".join(ids), dtype="<u4"), _sizes(ids)
+        own = size[number]
+        after = np.cumsum(own)
+        at = np.repeat((np.cumsum(size) - size)[number] - (after - own), own)
+        at += np.arange(len(at))
+        return data[at], np.diff(after[ends - 1], prepend=0)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, counts = self.arrays(texts)
+        data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _sizes(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
 
 
 def encoder(file: str) -> Encoder:

@@ -158,6 +158,29 @@ def test_encoder_is_the_tokenizers(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(x or "", add_special_tokens=False).ids, repr(x)
 
 
+def test_encoder_looks_a_word_up_once():
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    plain, own = Tokenizer.from_file(tokens.path()), tokens.Encoder(tokens.path())
+    texts = ["Same words, same  words. " * 400, "", None, " \t\n", "<|endoftext|> same words", "same", "\x0bsame\x0c words.\r"] * 20
+    own.encode(texts)
+    own.young = Counted(own.young)
+    ids, counts = own.arrays(texts)
+    want = [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert Counted.asked <= 8
+    assert [x.tolist() for x in own.arrays([])] == [[], []]
+    ids, counts = tokenfile.with_end(ids, counts, 1)
+    assert counts.tolist() == [len(x) + 1 for x in want] and ids.tolist() == [i for x in want for i in (*x, 1)]
+
+
 def test_token_file_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
