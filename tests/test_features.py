@@ -194,3 +194,25 @@ def test_training_keeps_bytes_not_matrices(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(trees.nodes) == 2 and peak < 100 * n
+
+
+def test_features_share_codes():
+    rng = np.random.default_rng(9)
+    n, counts = 150_000, [256, 4, 9, 2, 40, 1, 7]
+    low = rng.integers(0, 4, n)
+    bins = [(low % c if c < 10 else rng.integers(0, c, n)).astype(np.uint8) for c in counts]
+    mixes = lambdamart.mixed(list(bins), counts)
+    assert len(mixes) == 2 and sorted(f for m in mixes for f in m.tables) == list(range(7))
+    assert all((t[m.codes] == bins[f]).all() for m in mixes for f, t in m.tables.items())
+    # Features whose rows of bins are too many different ones are in several codes.
+    bins = [rng.integers(0, c, n).astype(np.uint8) for c in (60, 60, 60)]
+    assert [m.size for m in lambdamart.mixed(list(bins), [60] * 3)] == [60] * 3
+
+
+def test_ablation_deals_rows_once(ltr, monkeypatch):
+    subsets, calls, fit = {"lexical": ("bm25_score", "tfidf_score"), "one": ("bm25_score",), "all": FEATURES}, [], lambdamart.fit
+    monkeypatch.setattr(lambdamart, "fit", lambda *a, **k: calls.append(1) or fit(*a, **k))
+    got = ablation(ltr, ltr, subsets, rounds=3)
+    assert len(calls) == 1 and [(r["name"], r["n_features"]) for r in got] == [(k, len(v)) for k, v in subsets.items()]
+    for r, features in zip(got, subsets.values(), strict=True):
+        assert ablation(ltr, ltr, {"own": features}, rounds=3)[0] | {"name": r["name"]} == pytest.approx(r)
