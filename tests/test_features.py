@@ -7,7 +7,7 @@ from candela.constants import FEATURES, IDENTIFIERS
 from candela.operators import features as X
 from candela.operators import joins, ranking
 from candela.operators import lambdamart
-from candela.operators.ltr import Ranker, ablation, importance_table, predictions_equivalent
+from candela.operators.ltr import Ranker, Together, ablation, importance_table, predictions_equivalent
 from candela.sources import tables
 from tests import frames
 
@@ -216,3 +216,43 @@ def test_ablation_deals_rows_once(ltr, monkeypatch):
     assert len(calls) == 1 and [(r["name"], r["n_features"]) for r in got] == [(k, len(v)) for k, v in subsets.items()]
     for r, features in zip(got, subsets.values(), strict=True):
         assert ablation(ltr, ltr, {"own": features}, rounds=3)[0] | {"name": r["name"]} == pytest.approx(r)
+
+
+def test_rows_of_equal_bins_share_sums(monkeypatch):
+    """Rows with equal bins are one code, and trees are the same as without codes, in groups of several sizes and with a side held out."""
+    rng, n, counts = np.random.default_rng(11), 6000, [40, 3, 5, 2]
+    bins = [rng.integers(0, c, n).astype(np.uint8) for c in counts]
+    for met in (lambdamart.MET, 0):
+        monkeypatch.setattr(lambdamart, "MET", met)
+        monkeypatch.setattr(lambdamart, "ROWS", 1000)
+        tables = list(bins)
+        codes = lambdamart.shared(tables, counts)
+        assert len(tables[0]) == len(set(zip(*[b.tolist() for b in bins], strict=True))) <= 1200
+        assert all((t[codes] == b).all() for t, b in zip(tables, bins, strict=True))
+    different = [np.arange(200, dtype=np.uint8), np.zeros(200, dtype=np.uint8)]
+    assert lambdamart.shared(different, [200, 1]) is None and len(different[1]) == 200
+    sizes = np.concatenate([np.full(100, 10), np.full(40, 45), np.arange(20, 80), [230]])
+    n = sizes.sum()
+    x = np.column_stack([rng.integers(0, c, n) for c in counts]).astype(float)
+    y = np.clip(rng.integers(0, 4, n) + (x[:, 0] > 30) - (x[:, 1] > 1), 0, 3).astype(float)
+    side, keys = (np.arange(len(sizes)) % 5 == 0).astype(int), rng.integers(0, 1 << 62, n)
+    options = {"features": list("abcd"), "rounds": 8, "depth": 3, "rate": 0.1, "subsample": 0.8, "columns": 0.8, "seed": 3, "penalty": 1.0, "least": 1.0, "k": 10}
+    trained = lambda: lambdamart.train(x, y, np.cumsum(sizes) - sizes, sizes, side, keys, lambdamart.Alone(), options)
+    one = trained()
+    monkeypatch.setattr(lambdamart, "shared", lambda bins, counts: None)
+    other = trained()
+    assert [[m[:2] for m in t] for t in one.nodes] == [[m[:2] for m in t] for t in other.nodes] and len(one.nodes) == 8
+    assert one.predict(x) == pytest.approx(other.predict(x), abs=1e-6) and len(set(one.predict(x).tolist())) > 20
+    assert one.history[-1] == pytest.approx(other.history[-1], abs=1e-6)
+
+
+def test_rankers_fit_to_shared_rows(ltr):
+    """Each subset's ranker is fitted by its own fit(), which leaves the training to the rows they share; other parameters can't differ."""
+    together = Together(ltr)
+    models = [Ranker(features=f, rounds=2, tasks=4).fit(together) for f in (("bm25_score",), FEATURES)]
+    assert all(m.trees is None for m in models)
+    together.train_all()
+    assert [len(m.trees.nodes) for m in models] == [2, 2] and [m.trees.features for m in models] == [["bm25_score"], list(FEATURES)]
+    Ranker(rounds=3, tasks=4).fit(together)
+    with pytest.raises(ValueError):
+        together.train_all()
