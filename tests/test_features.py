@@ -256,3 +256,19 @@ def test_rankers_fit_to_shared_rows(ltr):
     Ranker(rounds=3, tasks=4).fit(together)
     with pytest.raises(ValueError):
         together.train_all()
+
+
+def test_mean_metrics_in_one_pass(ltr):
+    """As per_query_metrics() has them one by one, ties and NaN too; one dealing by query for all scores."""
+    from candela.operators import ranking
+
+    t = ltr.withColumns({"a": F.col("bm25_score"), "b": F.round("tfidf_score", 1), "c": F.when(F.col("bm25_score") > 1, float("nan")).otherwise(F.col("tfidf_score"))})
+    for score, got in zip("abc", ranking.mean_metrics(t, list("abc"), 5), strict=True):
+        want = ranking.per_query_metrics(ranking.rank_scored(t, score), 5).agg(F.avg("`ndcg@5`").alias("ndcg"), F.avg("`recall@5`").alias("recall"), F.avg("mrr").alias("mrr")).first()
+        assert got == pytest.approx(want.asDict())
+
+
+def test_trees_predict_by_node():
+    trees = lambdamart.Trees(["a", "b"], [[[0, 0.5, 1, 2, 0.0, 1.0], [-1, 0, 0, 0, 1.0, 0], [1, 2.0, 3, 4, 0.0, 1.0], [-1, 0, 0, 0, 2.0, 0], [-1, 0, 0, 0, 4.0, 0]], [[-1, 0, 0, 0, 0.25, 0]]])
+    x = [[0.4, 9.0], [0.5, 1.9], [0.5, 2.0], [float("nan"), float("nan")]]
+    assert trees.predict(np.array(x)).tolist() == [1.25, 2.25, 4.25, 4.25] and trees.predict(np.zeros((0, 2))).tolist() == []
